@@ -47,11 +47,12 @@ def parse_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Typed log table from raw lines; lines of another shape are dropped.
 
     The pattern is evaluated as one rewrite into newline-separated fields (a line cannot contain a
-    newline) instead of one extraction per field.
+    newline) instead of one extraction per field.  The one-row ``explode`` fixes the fields as columns:
+    later filters are not pushed below it, which would evaluate the pattern once more per use.
     """
     extra = [c for c in lines.columns if c != col]
     fields = F.split(F.regexp_replace(strip(F.col(col)), LINE_PATTERN, "$1\n$2\n$3\n$4\n$5\n$6"), "\n", 6)
-    parts = lines.select(*extra, fields.alias("_f")).filter(F.size("_f") == 6)
+    parts = lines.select(*extra, F.explode(F.array(fields)).alias("_f")).filter(F.size("_f") == 6)
     message = F.col("message")
     return (
         parts.select(

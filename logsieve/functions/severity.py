@@ -128,14 +128,10 @@ def with_severity(logs: DataFrame) -> DataFrame:
         })
         .withColumn("severity_score", F.greatest("level_weight", "http_status_weight", "exception_weight"))
         .withColumn("severity_level", severity_bucket(F.col("severity_score")))
-        .withColumn("severity_description", lookup_text(SEVERITY_TEXT)[F.col("severity_level")])
+        .withColumn("severity_description", lookup(SEVERITY_TEXT)[F.col("severity_level")])
     )
 
 
-def lookup_text(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for item in table.items() for x in item])
-
-
 def severity_score(level: Column, message: Column) -> Column:
     """Only the score, for operators that need nothing else."""
     return F.greatest(

@@ -28,15 +28,18 @@ def strip(col: Column) -> Column:
 def contains_any(col: Column, needles: list[str]) -> Column:
     """True where ``col`` contains one of ``needles``.
 
-    A needle that itself contains another needle can never decide the answer and is left out.
+    A needle that itself contains another needle can never decide the answer and is left out.  A long
+    list becomes one search for any of the quoted needles, which keeps the generated code small.
     """
     decisive = [n for n in needles if not any(o != n and o in n for o in needles)]
+    if len(decisive) > 8:
+        return col.rlike("|".join(rf"\Q{n}\E" for n in decisive))
     return reduce(or_, [col.contains(n) for n in decisive])
 
 
-def lookup(table: dict[str, int]) -> Column:
+def lookup(table: dict[str, int | str]) -> Column:
     """A small constant map column."""
-    return F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    return F.expr(f"map({', '.join(repr(x) for item in table.items() for x in item)})")
 
 
 def stable_bucket(col: Column, buckets: int = 1000) -> Column:

@@ -21,7 +21,7 @@ def tails(df: DataFrame, cols: list[str], train: str | None = None) -> DataFrame
     keys = [] if train is None else [train]
     long = long_features(df, cols, *keys)
     n = F.count("*") if train is None else F.count_if(train)
-    counted = long.groupBy("feature", "value").agg(n.alias("n"))
+    counted = lay_out(long.groupBy("feature", "value").agg(n.alias("n")), ["feature", "value"], "ecdf")
     # central moments from the value counts; the mean comes first for the sake of precision
     means = counted.groupBy("feature").agg(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("total")
@@ -33,7 +33,7 @@ def tails(df: DataFrame, cols: list[str], train: str | None = None) -> DataFrame
         (F.sum(dev * dev * dev * F.col("n")) / F.first("total")).alias("m3"),
     )
     skew = F.when(F.col("m2") > 0, F.col("m3") / F.pow("m2", F.lit(1.5))).otherwise(0.0)
-    ranked = running_sums(lay_out(counted, ["feature", "value"], "ecdf"), {"upto": "n"}, ["feature"])
+    ranked = running_sums(counted, {"upto": "n"}, ["feature"])
     upto = F.greatest(F.col("upto"), F.lit(1))
     above = F.greatest(F.col("total") - F.col("upto") + F.col("n"), F.lit(1))
     return ranked.join(F.broadcast(moments.withColumn("skewness", skew)), "feature").select(

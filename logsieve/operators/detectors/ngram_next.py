@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ...scratch import materialize
 from ..ordering import row_count
 from ..sequences import BUCKET_ROWS, over_sequences
 from ..vocabulary import template_vocab, with_template_id
@@ -58,7 +59,8 @@ def fit(
     vocab = template_vocab(logs) if vocab is None else vocab
     ids = with_template_id(logs, vocab, UNKNOWN).select("idx", "template_id")
     seen = _contexts(_targets(ids, w, order, bucket_rows), order)
-    pairs = seen.groupBy("size", "context", F.col("actual_template").alias("next_id")).agg(F.count("*").alias("n"))
+    counted = seen.groupBy("size", "context", F.col("actual_template").alias("next_id")).agg(F.count("*").alias("n"))
+    pairs = materialize(counted, "pairs")
     contexts = pairs.groupBy("size", "context").agg(
         F.sum("n").alias("total"),
         F.min(F.struct((-F.col("n")).alias("n"), "next_id"))["next_id"].alias("top_id"),

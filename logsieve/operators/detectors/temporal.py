@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
+from ...scratch import materialize
 from ..baseline import fit_scaler, flag_top, scale
 from ..ordering import lay_out, number_rows, row_count
 from ..sequences import BUCKET_ROWS, over_sequences
@@ -78,7 +79,7 @@ def _scores(runs: DataFrame, fitted: Fitted) -> DataFrame:
 def score(runs: DataFrame, fitted: Fitted, contamination: float = 0.1) -> DataFrame:
     """(sequence_index, time_windows, anomaly_score, is_anomaly)."""
     slim = [KEY, "time_windows", "anomaly_score"]
-    scored = _scores(runs, fitted).select(*slim)
+    scored = materialize(_scores(runs, fitted).select(*slim), "run_scores")
     training = scored if runs is fitted.training else _scores(fitted.training, fitted).select(*slim)
     return flag_top(scored, training, contamination=contamination)
 

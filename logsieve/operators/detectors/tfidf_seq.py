@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ...scratch import materialize
 from ..ordering import row_count
 from ..sequences import BUCKET, BUCKET_ROWS, with_forward_halo
 from ..vocabulary import tfidf_entries
@@ -31,11 +32,18 @@ class Fitted:
 
 def sequence_moments(indexed: DataFrame, entries: DataFrame, w: int) -> DataFrame:
     """Mean and population deviation of each dimension over all cells of all sequences."""
+    return _moments(template_cells(indexed, w), entries, (row_count(indexed) - w + 1) * w)
+
+
+def template_cells(indexed: DataFrame, w: int) -> DataFrame:
+    """(template, cells): how many cells of all sequences hold the template."""
     n = row_count(indexed)
     i = F.col("idx")
     covers = F.least(i + 1, F.lit(w), n - i, n - w + 1)
-    per_template = indexed.groupBy("template").agg(F.sum(covers).alias("cells"))
-    cells = (n - w + 1) * w
+    return indexed.groupBy("template").agg(F.sum(covers).alias("cells"))
+
+
+def _moments(per_template: DataFrame, entries: DataFrame, cells: Column) -> DataFrame:
     weighted = entries.join(per_template, "template").groupBy("dim", "term").agg(
         F.sum(F.col("value") * F.col("cells")).alias("_s1"),
         F.sum(F.col("value") * F.col("value") * F.col("cells")).alias("_s2"),
@@ -49,11 +57,13 @@ def sequence_moments(indexed: DataFrame, entries: DataFrame, w: int) -> DataFram
 
 def fit(indexed: DataFrame, w: int = 15, max_terms: int = 100) -> Fitted:
     """``indexed``: normal rows with ``idx`` (dense, from 0) and ``template``."""
-    entries = tfidf_entries(indexed, max_terms)
+    # one pass over the rows; everything else works on templates
+    per_template = materialize(template_cells(indexed, w), "templates")
+    entries = materialize(tfidf_entries(per_template, max_terms), "entries")
     vectors = entries.groupBy("template").agg(
         F.collect_list("dim").alias("dims"), F.collect_list("value").alias("vals")
     )
-    return Fitted(vectors, sequence_moments(indexed, entries, w), w)
+    return Fitted(vectors, _moments(per_template, entries, (row_count(indexed) - w + 1) * w), w)
 
 
 def score(indexed: DataFrame, fitted: Fitted, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

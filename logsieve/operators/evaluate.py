@@ -56,24 +56,23 @@ def score_counts(df: DataFrame, keys: list[str], y: str, score: str) -> DataFram
 
 def curve_points(df: DataFrame, keys: list[str] = (), y: str = "y_true", score: str = "anomaly_score") -> DataFrame:
     """Cumulative true and false positives at each distinct score, from the highest score down."""
-    keys = list(keys)
-    laid = lay_out(score_counts(df, keys, y, score), [*keys, F.col("score").desc()], "scores")
-    return running_sums(laid, {"tp": "pos", "fp": "neg"}, keys).select(*keys, "score", "pos", "neg", "tp", "fp")
+    return _curve(df, list(keys), y, score).drop("_t")
 
 
-def _with_totals(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Class totals per key next to the points; one row per key (a few models) is sent around."""
+def _curve(df: DataFrame, keys: list[str], y: str, score: str) -> DataFrame:
+    """Curve points with the class totals ``_t`` of their key (there are as many keys as models)."""
+    laid = lay_out(score_counts(df, keys, y, score), [*keys, F.col("score").desc()], "scores")
+    points = running_sums(laid, {"tp": "pos", "fp": "neg"}, keys).select(*keys, "score", "pos", "neg", "tp", "fp")
+    both = F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     if not keys:
-        totals = points.select(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-        return points.withColumn("_t", totals)
-    totals = points.groupBy(*keys).agg(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n")).alias("_t"))
-    return points.join(totals, keys)
+        return points.withColumn("_t", laid.select(both).scalar())
+    return points.join(laid.groupBy(*keys).agg(both.alias("_t")), keys)
 
 
 def roc_points(df: DataFrame, keys: list[str] = (), y: str = "y_true", score: str = "anomaly_score") -> DataFrame:
     """False and true positive rate at each distinct score."""
     keys = list(keys)
-    return _with_totals(curve_points(df, keys, y, score), keys).select(
+    return _curve(df, keys, y, score).select(
         *keys, F.col("score").alias("threshold"),
         ratio(F.col("fp"), F.col("_t.n")).alias("fpr"), ratio(F.col("tp"), F.col("_t.p")).alias("tpr"),
     )
@@ -82,7 +81,7 @@ def roc_points(df: DataFrame, keys: list[str] = (), y: str = "y_true", score: st
 def pr_points(df: DataFrame, keys: list[str] = (), y: str = "y_true", score: str = "anomaly_score") -> DataFrame:
     """Precision and recall at each distinct score."""
     keys = list(keys)
-    return _with_totals(curve_points(df, keys, y, score), keys).select(
+    return _curve(df, keys, y, score).select(
         *keys, F.col("score").alias("threshold"),
         ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio(F.col("tp"), F.col("_t.p")).alias("recall"),

@@ -56,10 +56,12 @@ def number_rows(laid: DataFrame, name: str = "idx") -> DataFrame:
 def number_rows_within(laid: DataFrame, groups: list[str], name: str = "idx") -> DataFrame:
     """Dense 0-based row number per group, or of a filtered layout when ``groups`` is empty.
 
-    Also for a few huge groups: a group is numbered piecewise in the partitions it spans.
+    Also for a few huge groups: a group is numbered piecewise in the partitions it spans.  Rows are
+    gathered by partition number alone, so several numberings in a row share one shuffle.
     """
     sizes = laid.groupBy(PART, *groups).agg(F.count("*").alias("_start"))
     local = W.partitionBy(PART, *groups).orderBy(POS)
+    laid = laid.repartition(PART)
     return (
         laid.withColumn("_rn", F.row_number().over(local) - 1)
         .join(_starts(sizes, groups, "_start"), [PART, *groups])
@@ -110,8 +112,9 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols
     ]))).filter(F.col("value").isNotNull())
     counted = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    ranks = running_sums(lay_out(counted, ["feature", "value"], "quantiles"), {"upto": "n"}, ["feature"])
-    sizes = ranks.groupBy("feature").agg(F.sum("n").alias("total"))
+    laid = lay_out(counted, ["feature", "value"], "quantiles")
+    ranks = running_sums(laid, {"upto": "n"}, ["feature"])
+    sizes = laid.groupBy("feature").agg(F.sum("n").alias("total"))
     wanted = sizes.select("feature", "total", F.explode(F.array(*map(F.lit, probs))).alias("prob")).withColumn(
         "at", F.col("prob") * (F.col("total") - 1)
     )

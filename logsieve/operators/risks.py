@@ -13,12 +13,19 @@ def sequence_details(
 ) -> DataFrame:
     """Rows, distinct levels and the first three messages of each sequence."""
     rows = indexed.select("idx", "level", "message")
-    # The frame is in index order, so the list is too; a struct keeps rows and starts apart.
-    packed = for_sequences(anomalies, rows, w, {
+    return unpack_details(for_sequences(anomalies, rows, w, detail_aggs(), bucket_rows))
+
+
+def detail_aggs() -> dict[str, Column]:
+    """Aggregates behind the details; the frame is in index order, so the list of messages is too."""
+    return {
         "log_count": F.count("message"),
         "_levels": F.collect_set("level"),
         "_texts": F.collect_list("message"),
-    }, bucket_rows)
+    }
+
+
+def unpack_details(packed: DataFrame) -> DataFrame:
     return (
         packed.withColumn("log_levels", F.array_join(F.array_sort("_levels"), ", "))
         .withColumn("sample_messages", F.array_join(F.slice("_texts", 1, 3), " | "))

@@ -17,7 +17,7 @@ def severity_aggs(score: str = "severity_score") -> dict[str, Column]:
     s = F.col(score)
     aggs = {"max_severity_score": F.max(s), "avg_severity_score": F.avg(s)}
     for name in COUNTED:
-        aggs[f"{name.lower()}_count"] = F.count_if(severity_bucket(s) == name)
+        aggs[f"{name.lower()}_count"] = F.count_if(s.isNotNull() & (severity_bucket(s) == name))
     return aggs
 
 

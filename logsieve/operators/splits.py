@@ -49,21 +49,21 @@ def split_by_time(
 
 
 def split_nested(
-    logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule: str = "is_error"
+    logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule: str = "is_error", layout: bool = False
 ) -> DataFrame:
     """First ``train`` share against the test rest; then the last ``valid`` share of each class of train.
 
-    Rows of neither class are dropped before the order is taken.
+    Rows of neither class are dropped before the order is taken.  ``layout=True`` keeps the layout
+    columns and the class ``_problem``, for further numbering.
     """
     laid = lay_out_logs(logs.withColumn("_problem", is_problem(split_rule)).filter(F.col("_problem").isNotNull()))
     indexed = number_rows(laid)
     train_end = part_of(row_count(laid), train)
-    ranked = number_rows_within(
-        indexed.withColumn("_test", F.col("idx") >= train_end), ["_test", "_problem"], "_rank"
-    )
-    sizes = ranked.groupBy("_test", "_problem").agg(F.count("*").alias("_size"))
+    sided = indexed.withColumn("_test", F.col("idx") >= train_end)
+    ranked = number_rows_within(sided, ["_test", "_problem"], "_rank")
+    sizes = sided.groupBy("_test", "_problem").agg(F.count("*").alias("_size"))
     # two classes times two sides: four rows at most
-    return (
+    parted = (
         ranked.join(F.broadcast(sizes), ["_test", "_problem"])
         .withColumn(
             "split",
@@ -71,8 +71,9 @@ def split_nested(
             .when(F.col("_rank") < part_of(F.col("_size"), 1 - valid), "train")
             .otherwise("valid"),
         )
-        .drop("_test", "_problem", "_rank", "_size", PART, POS)
+        .drop("_test", "_rank", "_size")
     )
+    return parted if layout else parted.drop("_problem", PART, POS)
 
 
 def split_chunked(
@@ -117,15 +118,15 @@ def sample_random(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 def sample_even(indexed: DataFrame, n: int, idx: str = "idx") -> DataFrame:
     """``n`` rows at even, truncated positions from the first to the last row; all rows if fewer."""
-    total = row_count(indexed)
     if n == 1:
         return indexed.filter(F.col(idx) == 0)
-    gap = (total - 1) / F.lit(float(n - 1))
-    # Row i is hit when some k has floor(k * gap) = i; only the k next to i / gap can.
+    sized = indexed.withColumn("_total", row_count(indexed))
+    gap = (F.col("_total") - 1) / F.lit(float(n - 1))
+    # Row i is hit when some k has floor(k * gap) = i; only a k next to i / gap can.
     near = F.floor(F.col(idx) / gap)
     hit = F.exists(
         F.array(near - 1, near, near + 1, near + 2),
         lambda k: (k >= 0) & (k < n)
-        & (F.when(k == n - 1, total - 1).otherwise(F.floor(k * gap)) == F.col(idx)),
+        & (F.when(k == n - 1, F.col("_total") - 1).otherwise(F.floor(k * gap)) == F.col(idx)),
     )
-    return indexed.filter((total <= n) | hit)
+    return sized.filter((F.col("_total") <= n) | hit).drop("_total")

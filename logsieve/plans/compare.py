@@ -8,9 +8,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as E
-from ..operators.ordering import index_logs
+from ..operators.ordering import PART, POS, number_rows_within
 from ..operators.sequences import spread_scores
-from ..operators.splits import is_problem, split_nested
+from ..operators.splits import split_nested
 from ..operators.vocabulary import with_template
 from ..scratch import materialize
 from . import sequences as P
@@ -25,11 +25,11 @@ class Data(NamedTuple):
 
 
 def prepare(logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule: str = "is_error") -> Data:
-    """Nested split; every part in time order with its own ``idx``."""
-    parted = materialize(
-        split_nested(with_template(logs).select(*COLUMNS), train, valid, split_rule), "nested"
-    )
-    return Data(*[index_logs(parted.filter(F.col("split") == s)) for s in ("train", "valid", "test")])
+    """Nested split; every part with ``idx`` in time order, and ``class_idx`` within its class."""
+    parted = split_nested(with_template(logs).select(*COLUMNS), train, valid, split_rule, layout=True).drop("idx")
+    numbered = number_rows_within(number_rows_within(parted, ["split"], "idx"), ["split", "_problem"], "class_idx")
+    written = materialize(numbered.drop(PART, POS).withColumnRenamed("_problem", "problem"), "nested")
+    return Data(*[written.filter(F.col("split") == s) for s in ("train", "valid", "test")])
 
 
 def predict(test: DataFrame, fitted, w: int = P.WIDTH, mark: str = "sequence") -> DataFrame:
@@ -75,10 +75,11 @@ def evaluate(predictions: dict[str, DataFrame], optimize_threshold: bool = True,
 def compare(logs: DataFrame, detectors: tuple[str, ...] = ("ngram", "tfidf"), w: int = P.WIDTH, split_rule: str = "is_error") -> DataFrame:
     """Fit on the normal training lines, predict the test lines, evaluate and rank."""
     data = prepare(logs, split_rule=split_rule)
-    normal = index_logs(data.train.drop("idx").filter(~is_problem(split_rule)))
+    normal = data.train.filter(~F.col("problem")).drop("idx").withColumnRenamed("class_idx", "idx")
     predictions = {}
     for name in detectors:
         # the classifier needs both labels
         fitted = P.fit(data.train if name == "classifier" else normal, name, w)
-        predictions[name] = predict(data.test, fitted, w)
+        # written once: threshold search, metrics and AUC all read it
+        predictions[name] = materialize(predict(data.test, fitted, w), "predictions")
     return E.compare_models(evaluate(predictions))

@@ -29,7 +29,10 @@ def prepare(logs: DataFrame, split_rule: str = "is_error") -> DataFrame:
 
 
 def score(prepared: DataFrame, detector: str, contamination: float = 0.1) -> DataFrame:
-    """Rows with ``anomaly_score`` and ``is_anomaly``, fitted on the normal training rows."""
+    """Rows with ``anomaly_score`` and ``is_anomaly``, fitted on the normal training rows.
+
+    The scores are written once; the threshold and the evaluation read them back.
+    """
     normal = prepared.filter((F.col("split") == "train") & ~F.col("is_error"))
     if detector == "copod":
         marked = prepared.withColumn("_train", (F.col("split") == "train") & ~F.col("is_error"))
@@ -42,6 +45,8 @@ def score(prepared: DataFrame, detector: str, contamination: float = 0.1) -> Dat
         scored = rff_ocsvm.score(prepared, rff_ocsvm.fit(normal, ROW_FEATURES))
     else:
         raise ValueError(f"unknown detector {detector!r}")
+    slim = scored.select(KEY, "split", "is_error", "level", "message", "anomaly_score")
+    scored = materialize(slim, "row_scores")
     training = scored.filter((F.col("split") == "train") & ~F.col("is_error"))
     return B.flag_top(scored, training, contamination=contamination, exact_rows=True)
 

@@ -10,8 +10,10 @@ from ..operators import risks as R
 from ..operators import severities as S
 from ..operators.detectors import ngram_next, seq_classifier, tfidf_seq
 from ..operators.ordering import PART, POS, lay_out_logs, number_rows_within, row_count
-from ..operators.splits import normal_rows, part_of, sample_systematic
+from ..operators.sequences import for_sequences
+from ..operators.splits import part_of, sample_systematic
 from ..operators.vocabulary import with_template
+from ..scratch import materialize
 
 WIDTH = 15
 COLUMNS = ["timestamp", "file_path", "line_number", "level", "message", "is_error", "template"]
@@ -33,6 +35,12 @@ def train_test(
     """
     laid = lay_out_logs(with_template(logs).select(*COLUMNS))
     ranked = number_rows_within(laid, ["is_error"], "_rank")
+    if max_normal is max_test_normal is max_test_error is None:
+        # both parts are numbered and written in one pass
+        train_end = part_of(row_count(laid.filter(~F.col("is_error"))), share)
+        sided = ranked.withColumn("in_test", F.col("is_error") | (F.col("_rank") >= train_end)).drop("_rank")
+        parted = materialize(number_rows_within(sided, ["in_test"], "idx").drop(PART, POS), "train_test")
+        return Split(*[parted.filter(side).drop("in_test") for side in (~F.col("in_test"), F.col("in_test"))])
     normal, errors = ranked.filter(~F.col("is_error")), ranked.filter("is_error")
     if max_normal is not None:
         normal = number_rows_within(sample_systematic(normal, max_normal, "_rank"), [], "_rank")
@@ -46,13 +54,10 @@ def train_test(
         rest = sample_systematic(rest.withColumn("_rank", F.col("_rank") - train_end), max_test_normal, "_rank")
     if max_test_error is not None:
         errors = sample_systematic(errors, max_test_error, "_rank")
-    if max_normal is max_test_normal is max_test_error is None:
-        # one scan instead of a union of two
-        test = ranked.filter(F.col("is_error") | (F.col("_rank") >= train_end))
-    else:
-        test = rest.unionByName(errors)
-    numbered = number_rows_within(test.drop("_rank"), [], "idx")
-    return Split(train.drop(PART, POS), numbered.drop(PART, POS))
+    numbered = number_rows_within(rest.unionByName(errors).drop("_rank"), [], "idx")
+    return Split(
+        materialize(train.drop(PART, POS), "train"), materialize(numbered.drop(PART, POS), "test")
+    )
 
 
 def fit(train: DataFrame, detector: str = "tfidf", w: int = WIDTH, **options):
@@ -105,6 +110,15 @@ def analyse_risk(anomalies: DataFrame, test: DataFrame, w: int = WIDTH) -> DataF
     return R.with_risk(R.sequence_details(anomalies, test, w))
 
 
+def describe(anomalies: DataFrame, test: DataFrame, w: int = WIDTH) -> DataFrame:
+    """Severity and details of each sequence together: the rows are shuffled once for both."""
+    rows = S.with_score(test.select("idx", "level", "message"))
+    packed = for_sequences(
+        anomalies.select("sequence_index", "anomaly_score"), rows, w, {**S.severity_aggs(), **R.detail_aggs()}
+    )
+    return R.unpack_details(S.fill_severity(packed))
+
+
 def risk_report(risks: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     """Report tables: totals, distribution, the top of each level and one frame per level."""
     return {
@@ -115,14 +129,8 @@ def risk_report(risks: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     }
 
 
-def risk_chain(logs: DataFrame, w: int = WIDTH, share: float = 0.8) -> DataFrame:
+def risk_chain(logs: DataFrame, w: int = WIDTH, share: float = 0.8, threshold: float | None = None) -> DataFrame:
     """Raw parsed logs to risk-rated sequences."""
     split = train_test(logs, share)
-    anomalies = with_severity(detect(split.test, fit(split.train, "tfidf", w)), split.test, w)
-    return analyse_risk(anomalies, split.test, w).drop("sequence_text")
-
-
-__all__ = [
-    "Split", "analyse_risk", "detect", "fit", "normal_rows", "risk_chain", "risk_report", "scores",
-    "sequence_anomalies", "summary", "train_test", "with_severity",
-]
+    found = detect(split.test, fit(split.train, "tfidf", w), threshold)
+    return R.with_risk(describe(found, split.test, w)).drop("sequence_text")

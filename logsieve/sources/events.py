@@ -5,67 +5,46 @@ Only integer and text operations, so the lines are the same in any engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.parsing import parse_lines
 
 
-def event_lines(events: DataFrame) -> DataFrame:
-    """(value, file_path, line_number): one log line per event."""
-    e, u, kind, ts = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("ts")
-    burst = (ts >= F.lit("2024-01-28 12:00:00").cast("timestamp_ntz")) & (
-        ts < F.lit("2024-01-28 18:00:00").cast("timestamp_ntz")
-    )
-
-    def every(k: int):
-        return e % k == 0
-
-    level = (
-        F.when((kind == "error") & every(7), "ERROR").when(burst, "ERROR")
-        .when(kind == "signup", "DEBUG").when((kind == "click") & every(3), "TRACE")
-        .when((kind == "purchase") & every(4), "WARN").otherwise("INFO")
-    )
-
-    def pick(on, texts: list):
-        out = F
-        for i, text in enumerate(texts[:-1]):
-            out = out.when(on == i, text)
-        return out.otherwise(texts[-1])
+LEVEL = """CASE
+  WHEN event_type = 'error' AND event_id % 7 = 0 THEN 'ERROR'
+  WHEN ts >= timestamp_ntz'2024-01-28 12:00:00' AND ts < timestamp_ntz'2024-01-28 18:00:00' THEN 'ERROR'
+  WHEN event_type = 'signup' THEN 'DEBUG'
+  WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'TRACE'
+  WHEN event_type = 'purchase' AND event_id % 4 = 0 THEN 'WARN'
+  ELSE 'INFO' END"""
+MESSAGE = """CASE
+  WHEN event_id = 4321 THEN 'com.acme.RareException: once'
+  WHEN _level = 'ERROR' THEN element_at(array(
+    concat('java.sql.SQLException: query failed after ', event_id, ' tries'),
+    'java.lang.NullPointerException at com.x.Y',
+    'java.lang.OutOfMemoryError: Java heap space',
+    'Request failed status 500',
+    'java.net.SocketTimeoutException: timeout',
+    'com.acme.CustomError code: 503'), int(event_id % 6) + 1)
+  ELSE element_at(array(
+    concat('GET /api/v1/items/', user_id, ' returned: 200 in ', event_id, ' ms'),
+    concat('Connection to 10.0.', user_id % 256, '.', event_id % 256, ':5432 established'),
+    concat('binding parameter [', event_id % 9, '] as [TIMESTAMP] - [2024-01-02T03:04:05]'),
+    concat('Completed POST /orders/', event_id, ' status: 404'),
+    concat('Cache refresh took ', event_id, ' ms'),
+    concat('User ', user_id, ' signed in from /var/log/app/', user_id, '.log'),
+    concat('event ', event_type, ' handled')), least(int(event_id % 10), 6) + 1)
+  END"""
+LINE = f"""concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS'), '  ', _level, ' ', 1000 + user_id % 7,
+  ' --- [ http-nio-8080-exec-', user_id % 5, '] c.e.', event_type, '.Svc', user_id % 11, ' : ', {MESSAGE})"""
 
-    def say(*parts):
-        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
-    problem = pick(e % 6, [
-        say("java.sql.SQLException: query failed after ", e, " tries"),
-        say("java.lang.NullPointerException at com.x.Y"),
-        say("java.lang.OutOfMemoryError: Java heap space"),
-        say("Request failed status 500"),
-        say("java.net.SocketTimeoutException: timeout"),
-        say("com.acme.CustomError code: 503"),
-    ])
-    usual = pick(e % 10, [
-        say("GET /api/v1/items/", u, " returned: 200 in ", e, " ms"),
-        say("Connection to 10.0.", u % 256, ".", e % 256, ":5432 established"),
-        say("binding parameter [", e % 9, "] as [TIMESTAMP] - [2024-01-02T03:04:05]"),
-        say("Completed POST /orders/", e, " status: 404"),
-        say("Cache refresh took ", e, " ms"),
-        say("User ", u, " signed in from /var/log/app/", u, ".log"),
-        say("event ", kind, " handled"),
-    ])
-    message = (
-        F.when(e == 4321, "com.acme.RareException: once").when(F.col("_level") == "ERROR", problem).otherwise(usual)
-    )
-    return (
-        events.withColumn("_level", level)
-        .select(
-            F.concat(
-                F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("  "), F.col("_level"), F.lit(" "),
-                (1000 + u % 7).cast("string"), F.lit(" --- [ http-nio-8080-exec-"), (u % 5).cast("string"),
-                F.lit("] c.e."), kind, F.lit(".Svc"), (u % 11).cast("string"), F.lit(" : "), message,
-            ).alias("value"),
-            F.concat(F.lit("app-"), F.date_format(ts, "yyyy-MM-dd"), F.lit(".log")).alias("file_path"),
-            (e + 1).alias("line_number"),
-        )
+def event_lines(events: DataFrame) -> DataFrame:
+    """(value, file_path, line_number): one log line per event."""
+    return events.selectExpr("*", f"{LEVEL} AS _level").selectExpr(
+        f"{LINE} AS value",
+        "concat('app-', date_format(ts, 'yyyy-MM-dd'), '.log') AS file_path",
+        "event_id + 1 AS line_number",
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 W, D, S = r"[\p{L}\p{N}_]", r"\p{Nd}", r"[\t-\r\x1c-\x20\x85\p{Z}]"
+THRESHOLD = "0.6::DOUBLE"
 FEATURES = [
     "total_logs", "error_count", "warn_count", "error_rate", "warn_rate", "unique_classes", "unique_threads",
     "avg_message_length", "exception_count", "exception_rate", "unique_files", "info_count", "debug_count",
@@ -219,7 +220,7 @@ test AS MATERIALIZED (SELECT * EXCLUDE (idx), row_number() OVER (ORDER BY idx) -
 def tfidf(src: str, max_terms: int = 100) -> str:
     return f""", tpl AS MATERIALIZED (SELECT DISTINCT template FROM {src}),
 tok AS (SELECT template, regexp_extract_all(lower(template), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws FROM tpl),
-grams AS (SELECT template, unnest(list_concat(ws, list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1]))) AS term FROM tok),
+grams AS (SELECT template, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM tok),
 tf AS MATERIALIZED (SELECT template, term, count(*) AS tf FROM grams GROUP BY ALL),
 kept AS (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {max_terms}),
 raw AS (SELECT template, term, tf * (ln((1 + (SELECT count(*) FROM tpl))::DOUBLE / (1 + df)) + 1) AS v FROM tf JOIN kept USING (term)),
@@ -246,7 +247,7 @@ used AS (SELECT s, list(term) AS terms FROM sums GROUP BY s),
 scores AS MATERIALIZED (SELECT t.idx AS sequence_index, greatest(coalesce(p.z, 0), coalesce((SELECT max(z0) FROM order0 o
   WHERE NOT list_contains(coalesce(u.terms, []), o.term)), 0)) AS max_z_score
   FROM test t CROSS JOIN n_test LEFT JOIN present p ON p.s = t.idx LEFT JOIN used u ON u.s = t.idx WHERE t.idx <= n_test.c - {w}),
-found AS MATERIALIZED (SELECT sequence_index, max_z_score, max_z_score / 3 AS anomaly_score FROM scores WHERE max_z_score > 3)"""
+found AS MATERIALIZED (SELECT sequence_index, max_z_score, max_z_score / {THRESHOLD} AS anomaly_score FROM scores WHERE max_z_score > {THRESHOLD})"""
 
 
 FOUND = tfidf_scores(15)
@@ -442,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_seq_anomalies": FOUND + f" SELECT {n('sequence_index', 'sequence_index')}, {r6('max_z_score', 'max_z_score')}, {r6('anomaly_score', 'anomaly_score')} FROM found",
         "tfidf_seq_scores": tfidf_scores(10) + f" SELECT {n('sequence_index', 'sequence_index')}, {r6('max_z_score', 'max_z_score')} FROM scores",
         "spread_scores": FOUND + f" SELECT {n('t.idx', 'idx')}, {n('(max(f.anomaly_score) IS NOT NULL)::INT', 'y_pred')}, {r6('coalesce(max(f.anomaly_score), 0)', 'anomaly_score')} FROM test t LEFT JOIN found f ON t.idx BETWEEN f.sequence_index AND f.sequence_index + 14 GROUP BY t.idx",
-        "spread_raw_scores": FOUND + f" SELECT {n('t.idx', 'idx')}, {n('(max(f.max_z_score) IS NOT NULL)::INT', 'y_pred')}, {r6('coalesce(max(f.max_z_score) / 3, 0)', 'anomaly_score')} FROM test t LEFT JOIN scores f ON t.idx BETWEEN f.sequence_index AND f.sequence_index + 14 GROUP BY t.idx",
+        "spread_raw_scores": FOUND + f" SELECT {n('t.idx', 'idx')}, {n('(max(f.max_z_score) IS NOT NULL)::INT', 'y_pred')}, {r6('coalesce(max(f.max_z_score) / 0.6::DOUBLE, 0)', 'anomaly_score')} FROM test t LEFT JOIN scores f ON t.idx BETWEEN f.sequence_index AND f.sequence_index + 14 GROUP BY t.idx",
         "sequence_severity": SEQ_SEV + f" SELECT {n('sequence_index', 'sequence_index')}, {r6('anomaly_score', 'anomaly_score')}, {n('max_severity_score', 'max_severity_score')}, {BUCKET.format('max_severity_score')} AS max_severity_level, {r6('avg_severity_score', 'avg_severity_score')}, critical_count, high_count, medium_count, low_count, info_count FROM seqsev",
         "sequence_priority": SEQ_SEV + f" SELECT {n('sequence_index', 'sequence_index')}, {n('max_severity_score', 'max_severity_score')}, row_number() OVER (ORDER BY max_severity_score DESC, round(anomaly_score, 9) DESC, sequence_index) AS priority FROM seqsev",
         "sequence_summary": SEQ_SEV + f", b AS (SELECT *, {BUCKET.format('max_severity_score')} AS lv FROM seqsev) SELECT {n('count(*)', 'total_anomalies')}, {counts_of('lv')}, {r6('avg(max_severity_score)', 'avg_severity_score')}, {n('max(max_severity_score)', 'max_severity_score')} FROM b",
@@ -451,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "sequence_risk": SEQ_RISK + f" SELECT {n('sequence_index', 'sequence_index')}, {r6('anomaly_score', 'anomaly_score')}, {n('max_severity_score', 'max_severity_score')}, {r6('risk_score', 'risk_score')}, risk_level FROM risk1",
         "risk_distribution": SEQ_RISK + f" SELECT risk_level, {n('count(*)', 'n')}, {r6('avg(risk_score)', 'avg_risk_score')}, {r6('max(risk_score)', 'max_risk_score')} FROM risk1 GROUP BY 1",
         "risk_totals": SEQ_RISK + f" SELECT {n('count(*)', 'total_anomalies')}, " + ", ".join(f"CAST(count(*) FILTER (risk_level = '{v}') AS BIGINT) AS {v.lower()}_anomalies" for v in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")) + f", {r6('avg(risk_score)', 'avg_risk_score')}, {r6('max(risk_score)', 'max_risk_score')} FROM risk1",
-        "risk_top": SEQ_RISK + f" SELECT risk_level, row_number() OVER w AS rank, {r6('risk_score', 'risk_score')} FROM risk1 QUALIFY row_number() OVER w <= 10 WINDOW w AS (PARTITION BY risk_level ORDER BY risk_score DESC, sequence_index)",
+        "risk_top": SEQ_RISK + f" SELECT risk_level, row_number() OVER w AS rank, {r6('risk_score', 'risk_score')} FROM risk1 WINDOW w AS (PARTITION BY risk_level ORDER BY risk_score DESC, sequence_index) QUALIFY row_number() OVER w <= 10",
         "ngram_next": NGRAM + f" SELECT {n('sequence_index', 'sequence_index')}, {r6('p', 'prediction_prob')}, {r6('1 - p', 'anomaly_score')} FROM prob",
         "confusion_metrics": RANKED + f" SELECT model, {METRIC_OUT} FROM met",
         "roc_auc": POINTS + AUC + f" SELECT model, {r6('roc_auc', 'roc_auc')} FROM auc",
