@@ -20,9 +20,13 @@ SPACE = f"[{SPACE_CHARS}]"
 BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
+# The white space characters, as a list for trimming (SPACE is the same set as a class).
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(col, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col, F.lit(SPACES))
 
 
 def contains_any(col: Column, needles: list[str]) -> Column:

@@ -12,14 +12,12 @@ from ..ordering import lay_out, running_sums
 from ..windows import long_features
 
 
-def tails(df: DataFrame, cols: list[str], train: str | None = None) -> DataFrame:
-    """(feature, value, left, right, skewness) with -log tail probabilities.
+def tails(long: DataFrame, train: str | None = None) -> DataFrame:
+    """(feature, value, left, right, skewness) with -log tail probabilities, from (feature, value) rows.
 
     With ``train`` (a boolean column) the probabilities come from those rows alone; values beyond all
     of them count as if seen once.
     """
-    keys = [] if train is None else [train]
-    long = long_features(df, cols, *keys)
     n = F.count("*") if train is None else F.count_if(train)
     counted = lay_out(long.groupBy("feature", "value").agg(n.alias("n")), ["feature", "value"], "ecdf")
     # central moments from the value counts; the mean comes first for the sake of precision
@@ -47,8 +45,12 @@ def tails(df: DataFrame, cols: list[str], train: str | None = None) -> DataFrame
 def score(df: DataFrame, cols: list[str], key: str, train: str | None = None) -> DataFrame:
     """(key, anomaly_score): the largest of the three tail sums of each row."""
     keys = [key] if train is None else [key, train]
-    table = tails(df, cols, train)
-    rows = long_features(df.select(*keys, *cols), cols, key)
+    return score_long(long_features(df.select(*keys, *cols), cols, *keys), key, train)
+
+
+def score_long(rows: DataFrame, key: str, train: str | None = None) -> DataFrame:
+    """The same from (key, feature, value) rows."""
+    table = tails(rows.drop(key), train)
     picked = F.when(F.col("skewness") < 0, F.col("left")).otherwise(F.col("right"))
     sums = rows.join(table, ["feature", "value"]).groupBy(key).agg(
         F.sum("left").alias("l"), F.sum("right").alias("r"), F.sum(picked).alias("p")

@@ -8,72 +8,96 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ...scratch import materialize
-from ..baseline import fit_scaler, flag_top, scale
-from ..ordering import lay_out, number_rows, row_count
+from ..baseline import flag_top
+from ..ordering import lay_out, number_rows
 from ..sequences import BUCKET_ROWS, over_sequences
 from ..windows import WINDOW, WINDOW_FEATURES
 from . import copod, iforest, lof, pca_recon
 
-KEY = "sequence_index"
+KEY, FLAT = "sequence_index", "flat"
 
 
 def window_runs(
     features: DataFrame, w: int = 10, step: int = 1, cols: list[str] | None = None, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """(sequence_index, time_windows, f0..fn): ``w`` windows per run, features flattened in time order."""
+    """(sequence_index, time_windows, flat): ``w`` windows per run, features flattened in time order."""
     cols = cols or WINDOW_FEATURES
     indexed = number_rows(lay_out(features, [WINDOW], "windows"))
     packed = over_sequences(
         indexed, w,
         {
             "time_windows": F.collect_list(WINDOW),
-            "_flat": F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])),
+            FLAT: F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])),
         },
         bucket_rows=bucket_rows,
-    ).filter(F.pmod(KEY, F.lit(step)) == 0)
-    flat = packed.withColumn("_flat", F.flatten("_flat"))
-    return flat.select(KEY, "time_windows", *[F.col("_flat")[i].alias(f"f{i}") for i in range(w * len(cols))])
+    )
+    stepped = packed if step == 1 else packed.filter(F.pmod(KEY, F.lit(step)) == 0)
+    return stepped.withColumn(FLAT, F.flatten(FLAT))
 
 
-def run_columns(runs: DataFrame) -> list[str]:
-    return [c for c in runs.columns if c not in (KEY, "time_windows")]
+def long_runs(runs: DataFrame) -> DataFrame:
+    """(sequence_index, feature, value): ``feature`` is the position in the flattened run."""
+    return runs.select(KEY, F.posexplode(FLAT).alias("feature", "value"))
+
+
+def fit_run_scaler(runs: DataFrame) -> DataFrame:
+    """One row with the means and population deviations of all positions, in order."""
+    moments = long_runs(runs).groupBy("feature").agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
+    )
+    ordered = moments.agg(F.array_sort(F.collect_list(F.struct("feature", "mean", "std"))).alias("m"))
+    return ordered.select(
+        F.transform("m", lambda x: x["mean"]).alias("mean"),
+        F.transform("m", lambda x: F.when(x["std"] == 0, 1.0).otherwise(x["std"])).alias("std"),
+    )
+
+
+def scale_runs(runs: DataFrame, scaler: DataFrame) -> DataFrame:
+    params = scaler.select(F.struct("mean", "std")).scalar()
+    return runs.withColumn("_s", params).withColumn(
+        FLAT, F.transform(FLAT, lambda x, i: (x - F.col("_s.mean")[i]) / F.col("_s.std")[i])
+    ).drop("_s")
+
+
+def run_columns(runs: DataFrame, width: int) -> DataFrame:
+    """Runs with one column per position, for detectors that take columns."""
+    return runs.select(KEY, "time_windows", *[F.col(FLAT)[i].alias(f"f{i}") for i in range(width)])
 
 
 @dataclass
 class Fitted:
-    """``scaler``: one row of means and deviations; ``model``: the fitted detector, or its training runs."""
+    """``scaler``: one row of means and deviations; ``model``: the fitted detector, if it needs a fit."""
 
     detector: str
-    cols: list[str]
+    width: int
     scaler: DataFrame
     model: Any
     training: DataFrame
 
 
 def fit(runs: DataFrame, detector: str = "copod") -> Fitted:
-    cols = run_columns(runs)
-    scaler = fit_scaler(runs, cols)
-    scaled = scale(runs, scaler, cols)
-    if detector == "isolation_forest":
-        model = iforest.fit(scaled, cols, KEY)
-    elif detector == "autoencoder":
-        model = pca_recon.fit(scaled, cols)
-    elif detector in ("copod", "lof"):
-        model = None
-    else:
+    if detector not in ("copod", "lof", "isolation_forest", "autoencoder"):
         raise ValueError(f"unknown detector {detector!r}")
-    return Fitted(detector, cols, scaler, model, runs)
+    if detector == "copod":
+        return Fitted(detector, 0, None, None, runs)  # ranks do not depend on the scale
+    width = runs.select(F.size(FLAT).alias("n")).first()["n"]
+    scaler = fit_run_scaler(runs)
+    model, cols = None, [f"f{i}" for i in range(width)]
+    if detector != "lof":
+        scaled = materialize(run_columns(scale_runs(runs, scaler), width), "runs")
+        model = iforest.fit(scaled, cols, KEY) if detector == "isolation_forest" else pca_recon.fit(scaled, cols)
+    return Fitted(detector, width, scaler, model, runs)
 
 
 def _scores(runs: DataFrame, fitted: Fitted) -> DataFrame:
-    scaled = scale(runs, fitted.scaler, fitted.cols)
+    if fitted.detector == "copod":
+        return runs.join(copod.score_long(long_runs(runs), KEY), KEY)
+    scaled = run_columns(scale_runs(runs, fitted.scaler), fitted.width)
     if fitted.detector == "isolation_forest":
         return iforest.score(scaled, fitted.model)
     if fitted.detector == "autoencoder":
         return pca_recon.score(scaled, fitted.model)
-    if fitted.detector == "copod":
-        return scaled.join(copod.score(scaled, fitted.cols, KEY), KEY)
-    return lof.score(scaled, fitted.cols)
+    return lof.score(scaled, [f"f{i}" for i in range(fitted.width)])
 
 
 def score(runs: DataFrame, fitted: Fitted, contamination: float = 0.1) -> DataFrame:
@@ -82,8 +106,3 @@ def score(runs: DataFrame, fitted: Fitted, contamination: float = 0.1) -> DataFr
     scored = materialize(_scores(runs, fitted).select(*slim), "run_scores")
     training = scored if runs is fitted.training else _scores(fitted.training, fitted).select(*slim)
     return flag_top(scored, training, contamination=contamination)
-
-
-def run_count(features: DataFrame, w: int = 10):
-    """Number of runs with step 1."""
-    return row_count(features) - w + 1

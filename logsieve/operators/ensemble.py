@@ -112,21 +112,20 @@ def compare_with_ensembles(
     df: DataFrame, models: dict[str, tuple[str, str]], y: str = "y", methods: tuple[str, ...] = ("majority", "weighted")
 ) -> DataFrame:
     """Metrics of the single models and of the ensembles; the weighted one uses F1 shares."""
-    single = evaluate_models(df, models, y).withColumn("kind", F.lit("single"))
     scores, preds = [s for s, _ in models.values()], [p for _, p in models.values()]
     by_score = F.create_map(*[F.lit(x) for name, (s, _) in models.items() for x in (name, s)])
-    out = single
+    voted, entries = df, dict(models)
     for method in methods:
         weights = None
         if method == "weighted":
             plain = classification_metrics(long_predictions(df, models, y), ["model"])
             weights = f1_weights(plain).withColumn("model", by_score[F.col("model")])
-        voted = ensemble(df, scores, preds, method, weights)
-        name = f"ensemble_{method}"
-        out = out.unionByName(
-            evaluate_models(voted, {name: ("ensemble_score", "ensemble_pred")}, y).withColumn("kind", F.lit("ensemble"))
-        )
-    return out
+        names = {f"ensemble_{part}": f"{method}_{part}" for part in ("score", "pred")}
+        voted = ensemble(voted, scores, preds, method, weights).withColumnsRenamed(names)
+        entries[f"ensemble_{method}"] = (f"{method}_score", f"{method}_pred")
+    # single models and ensembles are evaluated together, in one pass each for cells and curves
+    kind = F.when(F.col("model").isin(list(models)), "single").otherwise("ensemble")
+    return evaluate_models(voted, entries, y).withColumn("kind", kind)
 
 
 def fit_stack(df: DataFrame, scores: list[str], y: str = "y"):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.parsing import parse_lines
+from .logs import spread
 
 
 LEVEL = """CASE
@@ -50,4 +51,6 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed logs of the ``events`` table of a data folder."""
-    return parse_lines(event_lines(spark.read.parquet(f"{sf_dir}/events.parquet")))
+    columns = ["event_id", "ts", "user_id", "event_type"]
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns)
+    return parse_lines(event_lines(spread(events, "event_id")))

@@ -672,7 +672,7 @@ def q_temporal_runs(spark, sf):
     n = len(NUMERIC)
     return runs.select(
         "sequence_index", F.col("time_windows")[0].alias("start_time"), F.element_at("time_windows", -1).alias("end_time"),
-        F.col("f0").alias("first_total"), F.col(f"f{n}").alias("second_total"), F.col(f"f{10 * n - 1}").alias("last_top"),
+        F.col("flat")[0].alias("first_total"), F.col("flat")[n].alias("second_total"), F.col("flat")[10 * n - 1].alias("last_top"),
     )
 
 
