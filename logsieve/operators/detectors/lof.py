@@ -121,20 +121,25 @@ def _search_cells(visitors: DataFrame, celled: DataFrame, k: int) -> DataFrame:
     """Nearest members of a cell for its visitors; a cell with many visitors is served by several tasks."""
     load = visitors.groupBy("cell").agg(F.ceil(F.count("*") / VISIT_ROWS).cast("int").alias("_tasks"))
     asked = visitors.join(F.broadcast(load), "cell").withColumn("_task", F.pmod(F.xxhash64("point"), "_tasks").cast("int"))
-    served = celled.select("point", "x", "weight", "cell").join(F.broadcast(load), "cell").withColumn(
-        "_task", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1))
+    served = (
+        celled.join(F.broadcast(load), "cell")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_tasks") - 1)))
+        .select(
+            F.col("cell").alias("home"), "_copy", F.col("point").alias("member"), F.col("x").alias("y"),
+            F.col("weight").alias("copies"),
+        )
     )
 
     def meet(who: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if who.empty or there.empty:
             return pd.DataFrame({"point": [], "neighbour": [], "dist": [], "weight": []})
         return _nearest(
-            who["point"].to_numpy(), _matrix(who["x"]), there["point"].to_numpy(), _matrix(there["x"]),
-            there["weight"].to_numpy(), k,
+            who["point"].to_numpy(), _matrix(who["x"]), there["member"].to_numpy(), _matrix(there["y"]),
+            there["copies"].to_numpy(), k,
         )
 
     return asked.drop("_tasks").groupBy("cell", "_task").cogroup(
-        served.drop("_tasks").groupBy("cell", "_task")
+        served.groupBy("home", "_copy")
     ).applyInPandas(meet, NEAR_SCHEMA)
 
 

@@ -48,9 +48,12 @@ def severity_agg(logs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def attach_window_severity(results: DataFrame, logs: DataFrame, width: str = "10 minutes") -> DataFrame:
-    """Severity of the logs of each result window; windows without logs get 0 / INFO."""
+    """Severity of the logs of each result window; windows without logs get 0 / INFO.
+
+    A result column of the same name (``info_count`` of the window features) is replaced.
+    """
     per_window = severity_agg(with_window(logs, width), [WINDOW])
-    return fill_severity(results.join(per_window, WINDOW, "left"))
+    return fill_severity(results.drop(*SEVERITY_COLUMNS).join(per_window, WINDOW, "left"))
 
 
 def attach_severity(results: DataFrame, logs: DataFrame, width: str = "10 minutes") -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators.ordering import PART, POS, lay_out, number_rows
 from ..operators.severities import attach_severity
 from ..operators.splits import split_by_time
 from ..operators.windows import WINDOW, WINDOW_FEATURES, window_features
+from ..scratch import materialize
 
 
 @dataclass
@@ -96,8 +97,9 @@ def detect_all(features: DataFrame, logs: DataFrame, state: State, severity: boo
 
 
 def detect_new(logs: DataFrame, state: State, severity: bool = False) -> dict[str, DataFrame]:
-    """Score new logs with what was fitted before."""
-    return detect_all(window_features(logs, state.width), logs, state, severity)
+    """Score new logs with what was fitted before; the features are written once for all detectors."""
+    features = materialize(window_features(logs, state.width), "features")
+    return detect_all(features, logs, state, severity)
 
 
 def validate(features: DataFrame, state: State, name: str) -> DataFrame:
