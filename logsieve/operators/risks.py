@@ -8,29 +8,35 @@ from ..functions.risk import RISK_LEVELS, risk_bucket, risk_score
 from .sequences import BUCKET_ROWS, for_sequences
 
 
+FIRST_MESSAGES = {f"_m{k}": ("message", k) for k in range(3)}
+
+
 def sequence_details(
-    anomalies: DataFrame, indexed: DataFrame, w: int = 15, bucket_rows: int = BUCKET_ROWS
+    anomalies: DataFrame, indexed: DataFrame, w: int = 15, whole_text: bool = False, bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Rows, distinct levels and the first three messages of each sequence."""
+    """Rows, distinct levels and the first three messages of each sequence.
+
+    ``whole_text=True`` adds ``sequence_text``, all messages of the sequence.
+    """
     rows = indexed.select("idx", "level", "message")
-    return unpack_details(for_sequences(anomalies, rows, w, detail_aggs(), bucket_rows))
+    aggs = detail_aggs()
+    if whole_text:
+        # the frame is in index order, so the list is too
+        aggs["_texts"] = F.collect_list("message")
+    packed = unpack_details(for_sequences(anomalies, rows, w, aggs, FIRST_MESSAGES, bucket_rows))
+    return packed.withColumn("sequence_text", F.array_join("_texts", " ")).drop("_texts") if whole_text else packed
 
 
 def detail_aggs() -> dict[str, Column]:
-    """Aggregates behind the details; the frame is in index order, so the list of messages is too."""
-    return {
-        "log_count": F.count("message"),
-        "_levels": F.collect_set("level"),
-        "_texts": F.collect_list("message"),
-    }
+    """Aggregates behind the details; the messages come from ``FIRST_MESSAGES``."""
+    return {"log_count": F.count("message"), "_levels": F.collect_set("level")}
 
 
 def unpack_details(packed: DataFrame) -> DataFrame:
     return (
         packed.withColumn("log_levels", F.array_join(F.array_sort("_levels"), ", "))
-        .withColumn("sample_messages", F.array_join(F.slice("_texts", 1, 3), " | "))
-        .withColumn("sequence_text", F.array_join("_texts", " "))
-        .drop("_levels", "_texts")
+        .withColumn("sample_messages", F.concat_ws(" | ", *FIRST_MESSAGES))
+        .drop("_levels", *FIRST_MESSAGES)
     )
 
 

@@ -80,13 +80,17 @@ def spans(rows: DataFrame, w: int, step: int, n: Column) -> DataFrame:
 
 
 def for_sequences(
-    starts: DataFrame, rows: DataFrame, w: int, aggs: dict[str, Column], bucket_rows: int = BUCKET_ROWS
+    starts: DataFrame, rows: DataFrame, w: int, aggs: dict[str, Column], at: dict[str, tuple[str, int]] | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Aggregates over the rows ``[s, s + w - 1]`` of each start ``s`` in ``starts.sequence_index``.
 
+    ``at`` picks single values: ``{"second": ("message", 1)}`` is the message of row ``s + 1``.
+
     A range join turned into one shuffle: starts are put among the rows of their bucket and look ahead.
     The tail of the table gives shorter spans; a start beyond the last row finds nothing.
     """
+    at = at or {}
     keep = [c for c in starts.columns if c != "sequence_index"]
     halo = with_forward_halo(rows.withColumn("_start", F.lit(False)), w, bucket_rows=bucket_rows)
     size = max(bucket_rows, w)
@@ -99,8 +103,11 @@ def for_sequences(
     mixed = halo.unionByName(asked, allowMissingColumns=True)
     span = frame(0, w - 1)
     return mixed.select(
-        "idx", "_start", *keep, *[agg.over(span).alias(k) for k, agg in aggs.items()]
-    ).filter("_start").select(F.col("idx").alias("sequence_index"), *keep, *aggs)
+        "idx", "_start", *keep,
+        *[agg.over(span).alias(k) for k, agg in aggs.items()],
+        # one row lies at that distance, and the starts have no values of their own
+        *[F.max(col).over(frame(k, k)).alias(name) for name, (col, k) in at.items()],
+    ).filter("_start").select(F.col("idx").alias("sequence_index"), *keep, *aggs, *at)
 
 
 def members(starts: DataFrame, w: int) -> DataFrame:

@@ -70,7 +70,7 @@ def attach_sequence_severity(
 ) -> DataFrame:
     """Severity of the ``w`` rows of each anomalous sequence, in one shuffle of the rows."""
     rows = with_score(indexed.select("idx", "level", "message")).select("idx", "severity_score")
-    return fill_severity(for_sequences(anomalies, rows, w, severity_aggs(), bucket_rows))
+    return fill_severity(for_sequences(anomalies, rows, w, severity_aggs(), bucket_rows=bucket_rows))
 
 
 def prioritize(df: DataFrame, score: str = "max_severity_score", tie: tuple[str, ...] = ("sequence_index",)) -> DataFrame:

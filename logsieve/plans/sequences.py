@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import risks as R
 from ..operators import severities as S
 from ..operators.detectors import ngram_next, seq_classifier, tfidf_seq
-from ..operators.ordering import PART, POS, lay_out_logs, number_rows_within, row_count
+from ..operators.ordering import PART, POS, lay_out_logs, number_rows, number_rows_within, row_count
 from ..operators.sequences import for_sequences
 from ..operators.splits import part_of, sample_systematic
 from ..operators.vocabulary import with_template
@@ -34,12 +34,18 @@ def train_test(
     default.
     """
     laid = lay_out_logs(with_template(logs).select(*COLUMNS))
-    ranked = number_rows_within(laid, ["is_error"], "_rank")
+    ranked = number_rows_within(number_rows(laid, "_all"), ["is_error"], "_rank")
     if max_normal is max_test_normal is max_test_error is None:
-        # both parts are numbered and written in one pass
+        # Both parts are numbered and written in one pass: the rows of either class before a row follow
+        # from its position and its rank, and so do the test rows before it.
         train_end = part_of(row_count(laid.filter(~F.col("is_error"))), share)
-        sided = ranked.withColumn("in_test", F.col("is_error") | (F.col("_rank") >= train_end)).drop("_rank")
-        parted = materialize(number_rows_within(sided, ["in_test"], "idx").drop(PART, POS), "train_test")
+        others = F.col("_all") - F.col("_rank")
+        errors_before = F.when(F.col("is_error"), F.col("_rank")).otherwise(others)
+        normal_before = F.when(F.col("is_error"), others).otherwise(F.col("_rank"))
+        in_test = F.col("is_error") | (F.col("_rank") >= train_end)
+        test_idx = errors_before + F.greatest(normal_before - train_end, F.lit(0))
+        sided = ranked.withColumns({"in_test": in_test, "idx": F.when(in_test, test_idx).otherwise(F.col("_rank"))})
+        parted = materialize(sided.drop("_all", "_rank", PART, POS), "train_test")
         return Split(*[parted.filter(side).drop("in_test") for side in (~F.col("in_test"), F.col("in_test"))])
     normal, errors = ranked.filter(~F.col("is_error")), ranked.filter("is_error")
     if max_normal is not None:
@@ -54,9 +60,9 @@ def train_test(
         rest = sample_systematic(rest.withColumn("_rank", F.col("_rank") - train_end), max_test_normal, "_rank")
     if max_test_error is not None:
         errors = sample_systematic(errors, max_test_error, "_rank")
-    numbered = number_rows_within(rest.unionByName(errors).drop("_rank"), [], "idx")
+    numbered = number_rows_within(rest.unionByName(errors).drop("_rank", "_all"), [], "idx")
     return Split(
-        materialize(train.drop(PART, POS), "train"), materialize(numbered.drop(PART, POS), "test")
+        materialize(train.drop("_all", PART, POS), "train"), materialize(numbered.drop(PART, POS), "test")
     )
 
 
@@ -114,7 +120,8 @@ def describe(anomalies: DataFrame, test: DataFrame, w: int = WIDTH) -> DataFrame
     """Severity and details of each sequence together: the rows are shuffled once for both."""
     rows = S.with_score(test.select("idx", "level", "message"))
     packed = for_sequences(
-        anomalies.select("sequence_index", "anomaly_score"), rows, w, {**S.severity_aggs(), **R.detail_aggs()}
+        anomalies.select("sequence_index", "anomaly_score"), rows, w,
+        {**S.severity_aggs(), **R.detail_aggs()}, R.FIRST_MESSAGES,
     )
     return R.unpack_details(S.fill_severity(packed))
 
@@ -133,4 +140,4 @@ def risk_chain(logs: DataFrame, w: int = WIDTH, share: float = 0.8, threshold: f
     """Raw parsed logs to risk-rated sequences."""
     split = train_test(logs, share)
     found = detect(split.test, fit(split.train, "tfidf", w), threshold)
-    return R.with_risk(describe(found, split.test, w)).drop("sequence_text")
+    return R.with_risk(describe(found, split.test, w))

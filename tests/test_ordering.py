@@ -88,11 +88,12 @@ def test_range_join_by_frame(spark):
     starts = spark.createDataFrame([(0,), (7,), (95,)], "sequence_index long")
     aggs = {"n": F.count("v"), "total": F.sum("v"), "vs": F.collect_list("v")}
     for size in (15, 4096):
-        rows = Q.for_sequences(starts, numbered(spark, 100).drop("is_error"), 15, aggs, size).collect()
+        rows = Q.for_sequences(starts, numbered(spark, 100).drop("is_error"), 15, aggs, {"third": ("v", 2)}, size).collect()
         v = [i * 7 % 11 for i in range(100)]
         assert {r["sequence_index"]: (r["n"], r["total"], r["vs"]) for r in rows} == {
             s: (len(v[s:s + 15]), sum(v[s:s + 15]), v[s:s + 15]) for s in (0, 7, 95)
         }
+        assert {r["sequence_index"]: r["third"] for r in rows} == {s: v[s + 2] for s in (0, 7, 95)}
 
 
 def by_split(df):
