@@ -33,9 +33,7 @@ def has_exception(message: Column) -> Column:
 
 def event_time(text: Column) -> Column:
     """Timestamp without zone, null when the text is not a calendar time."""
-    return F.try_to_timestamp(
-        F.regexp_replace(text, f"{SPACE}+", " "), F.lit("yyyy-MM-dd HH:mm:ss.SSS")
-    ).cast("timestamp_ntz")
+    return F.regexp_replace(text, f"{SPACE}+", " ").try_cast("timestamp_ntz")
 
 
 def exception_name(message: Column) -> Column:

@@ -489,6 +489,15 @@ def oracle_sql() -> dict[str, str]:
             lrd AS MATERIALIZED (SELECT p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (o) GROUP BY p)
             SELECT {ts('near.p', 'time_window')}, round(avg(x.lrd) / any_value(y.lrd), 6) AS anomaly_score FROM near JOIN lrd x ON x.p = near.o JOIN lrd y ON y.p = near.p GROUP BY near.p""",
     }
+    sql["text_source"] = LOGS + f" SELECT {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, is_error FROM logs"
+    sql["parsed_table"] = nested("is_error", "true").replace("SELECT CAST(line_number AS BIGINT) AS line_number,", ", z AS (SELECT level, is_error,") + f") SELECT level, is_error, {n('count(*)', 'n')} FROM z WHERE split = 'valid' GROUP BY ALL"
+    sql["csv_report"] = sql["level_distribution"]
+    closed = "time_window + INTERVAL '6 hours' <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL '10 minutes'"
+    sql["stream_window_features"] = sql["window_features_wide"] + f" WHERE {closed}"
+    sql["stream_error_spikes"] = sql["error_spikes"] + f" WHERE {closed}"
+    sql["stream_row_severity"] = LOGS + severity("logs") + f" SELECT {n('line_number', 'line_number')}, {n('severity_score', 'severity_score')}, severity_level FROM sev"
+    sql["template_vectors"] = LOGS + tfidf("(SELECT * FROM logs WHERE NOT is_error)") + f""", e AS (SELECT template, count(*) AS c FROM vec GROUP BY 1)
+        SELECT is_error, {n('count(*)', 'n')}, {n('sum(coalesce(c, 0))', 'entries')} FROM logs LEFT JOIN e USING (template) GROUP BY is_error"""
     freq = f""" freq AS (SELECT 'frequency_anomaly' AS type, time_window, k AS log_count, m AS mean, abs((k - m) / s) AS z_score
         FROM (SELECT *, avg(k) OVER () AS m, stddev_samp(k) OVER () AS s FROM (SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS time_window, count(*) AS k FROM logs GROUP BY 1)) WHERE s > 0 AND abs((k - m) / s) > 3)"""
     rare = f""" rare AS (SELECT 'new_exception_type' AS type, e AS exception_type, c AS "count", c::DOUBLE / t * 100 AS percentage FROM (

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from logsieve import scratch
 from logsieve.functions import parsing, risk, rowfeatures, severity, templates
 from logsieve.operators import baseline as B
 from logsieve.operators import ensemble as N
@@ -24,7 +26,10 @@ from logsieve.plans import rows as row_plan
 from logsieve.plans import sequences as seq_plan
 from logsieve.plans import temporal as temporal_plan
 from logsieve.plans import windows as window_plan
+from logsieve.sources import sinks
 from logsieve.sources.events import event_lines, event_logs
+from logsieve.sources.logs import read_logs, read_split
+from logsieve.streaming import live
 
 WIDE = "6 hours"
 SHORT = 15
@@ -206,6 +211,57 @@ def q_risk_score_rows(spark, sf):
     return rated.withColumn("risk_level", risk.risk_bucket(F.col("risk_score")))
 
 
+# ---- files and streams -----------------------------------------------------------------------------
+
+def q_text_source(spark, sf):
+    """Log lines written as text files and scanned back."""
+    path = f"{scratch.scratch_dir(spark)}/logsieve/text-{uuid.uuid4().hex}"
+    event_lines(table(spark, sf, "events")).select("value").repartition(4).write.text(path)
+    logs = read_logs(spark, path, pattern="*.txt")
+    return logs.select("timestamp", "level", "pid", "thread", "class_path", "message", "is_error")
+
+
+def q_parsed_table(spark, sf):
+    """Parsed table written in chunks, split into folders, and read back one split at a time."""
+    path = f"{scratch.scratch_dir(spark)}/logsieve/parsed-{uuid.uuid4().hex}"
+    sinks.write_split(splits.split_nested(event_logs(spark, sf)), path)
+    return read_split(spark, path, "valid").groupBy("level", "is_error").agg(F.count("*").alias("n"))
+
+
+def q_csv_report(spark, sf):
+    """A result table written as CSV under a run number and read back."""
+    path = f"{scratch.scratch_dir(spark)}/logsieve/report-{uuid.uuid4().hex}"
+    sinks.write_results({"levels": W.level_distribution(event_logs(spark, sf))}, path, sinks.next_run_id(spark, path))
+    return spark.read.option("header", True).schema("level string, n long, share double").csv(
+        f"{sinks.latest_run(spark, path)}/levels"
+    )
+
+
+def run_stream(spark, sf, make):
+    """Run a stream over ``events`` until the input is used up; the result is what was appended."""
+    events = table(spark, sf, "events")
+    source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    logs = live.event_time_for_streams(parsing.parse_lines(event_lines(source)))
+    out = f"{scratch.scratch_dir(spark)}/logsieve/stream-{uuid.uuid4().hex}"
+    writer = make(logs).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    writer.format("parquet").start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+def q_stream_window_features(spark, sf):
+    return run_stream(spark, sf, lambda logs: live.window_features_stream(logs, WIDE)).drop("top_class_hash")
+
+
+def q_stream_error_spikes(spark, sf):
+    base = B.fit_baseline(train_windows(split_windows(spark, sf)), ["error_rate"])
+    return run_stream(spark, sf, lambda logs: B.error_spikes(live.window_features_stream(logs, WIDE), base))
+
+
+def q_stream_row_severity(spark, sf):
+    rows = run_stream(spark, sf, lambda logs: live.row_severity(logs).select("line_number", "severity_score", "severity_level"))
+    return rows
+
+
 # ---- filters ---------------------------------------------------------------------------------------
 
 def q_split_classes(spark, sf):
@@ -323,6 +379,15 @@ def q_attach_severity(spark, sf):
     return S.attach_severity(spikes, logs, WIDE)
 
 
+def q_template_vectors(spark, sf):
+    """Rows next to the length of their template vector: zero for templates outside the training rows."""
+    logs = templated(spark, sf)
+    vectors = V.tfidf_templates(logs.filter(~F.col("is_error")))
+    return logs.join(vectors, "template", "left").groupBy("is_error").agg(
+        F.count("*").alias("n"), F.sum(F.coalesce(F.size("dims"), F.lit(0))).alias("entries")
+    )
+
+
 def q_window_evaluation(spark, sf):
     parted = split_windows(spark, sf)
     base = B.fit_baseline(train_windows(parted), NUMERIC)
