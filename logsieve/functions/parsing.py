@@ -32,8 +32,11 @@ def has_exception(message: Column) -> Column:
 
 
 def event_time(text: Column) -> Column:
-    """Timestamp without zone, null when the text is not a calendar time."""
-    return F.regexp_replace(text, f"{SPACE}+", " ").try_cast("timestamp_ntz")
+    """Timestamp without zone, null when the text is not a calendar time.
+
+    Date and time have a fixed width; whatever blanks stand between them count as one.
+    """
+    return F.concat(F.left(text, F.lit(10)), F.lit(" "), F.right(text, F.lit(12))).try_cast("timestamp_ntz")
 
 
 def exception_name(message: Column) -> Column:

@@ -9,17 +9,14 @@ from .text import BOUNDARY, DIGIT, SPACE, SPACE_CHARS, lookup
 # Weight of a log level.
 LEVEL_WEIGHTS = {"FATAL": 10, "ERROR": 8, "WARN": 5, "INFO": 1, "DEBUG": 0, "TRACE": 0}
 
-# Weight of an HTTP status, given per weight.
-HTTP_STATUS_BY_WEIGHT = {
-    10: [500, 503],
-    9: [502, 504],
-    8: [501, 505],
-    7: [401, 403],
-    6: [408, 429, 451],
-    5: [400, 409, 412, 413, 422, 423, 424, 428, 431],
-    4: [404, 405, 406, 410, 411, 414, 415, 416, 417, 426],
-    1: [301, 302, 303, 307, 308],
-    0: [200, 201, 202, 204, 206, 304],
+# Weight of an HTTP status.
+HTTP_STATUS_WEIGHTS = {
+    "200": 0, "201": 0, "202": 0, "204": 0, "206": 0,
+    "301": 1, "302": 1, "303": 1, "304": 0, "307": 1, "308": 1,
+    "400": 5, "401": 7, "403": 7, "404": 4, "405": 4, "406": 4, "408": 6, "409": 5, "410": 4, "411": 4,
+    "412": 5, "413": 5, "414": 4, "415": 4, "416": 4, "417": 4, "422": 5, "423": 5, "424": 5, "426": 4,
+    "428": 5, "429": 6, "431": 5, "451": 6,
+    "500": 10, "501": 8, "502": 9, "503": 10, "504": 9, "505": 8,
 }
 
 # Exception names per family in order of precedence, with the weight of the family.
@@ -63,10 +60,6 @@ STATUS_PATTERN = (
 )
 
 
-def http_status_weights() -> dict[str, int]:
-    return {str(code): weight for weight, codes in HTTP_STATUS_BY_WEIGHT.items() for code in codes}
-
-
 def exception_weights() -> dict[str, int]:
     return {name: weight for _, weight, names in EXCEPTION_FAMILIES for name in names}
 
@@ -81,11 +74,11 @@ def http_status(message: Column) -> Column:
     Every way to match ends in the three digits, so the tail of the match is the status.
     """
     code = F.right(F.regexp_extract(message, STATUS_PATTERN, 0), F.lit(3))
-    return F.when(lookup(http_status_weights())[code] > 0, F.concat(F.lit("HTTP_"), code))
+    return F.when(lookup(HTTP_STATUS_WEIGHTS)[code] > 0, F.concat(F.lit("HTTP_"), code))
 
 
 def http_status_weight(status: Column) -> Column:
-    return F.coalesce(lookup(http_status_weights())[F.right(status, F.lit(3))], F.lit(0))
+    return F.coalesce(lookup(HTTP_STATUS_WEIGHTS)[F.right(status, F.lit(3))], F.lit(0))
 
 
 def exception_type(message: Column) -> Column:

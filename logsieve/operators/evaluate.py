@@ -184,6 +184,11 @@ def best_model(metrics: DataFrame) -> DataFrame:
     return with_total(metrics).orderBy(F.desc("total"), "model").limit(1)
 
 
+def best_by(metrics: DataFrame, name: str = "f1") -> DataFrame:
+    """The row with the highest value of one metric; the first model name wins a tie."""
+    return metrics.orderBy(F.desc(name), "model").limit(1)
+
+
 def compare_models(metrics: DataFrame) -> DataFrame:
     """Metrics with the rank of each model by F1, accuracy, recall and precision.
 

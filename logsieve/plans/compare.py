@@ -35,10 +35,13 @@ def prepare(logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule:
 def predict(test: DataFrame, fitted, w: int = P.WIDTH, mark: str = "sequence") -> DataFrame:
     """(idx, y_true, y_pred, anomaly_score) per line from the flagged sequences.
 
+    When nothing is flagged, no line is predicted and the scores of all sequences are spread instead.
     ``mark="sequence"`` marks all lines from the start of a sequence on; ``mark="target"`` marks, for the
     next-template model, only the line that was predicted.
     """
-    flagged = P.detect(test, fitted).select("sequence_index", "anomaly_score")
+    flagged = materialize(P.detect(test, fitted).select("sequence_index", "anomaly_score"), "flagged")
+    if flagged.isEmpty():
+        return predict_raw(test, fitted, w)
     span = w
     if mark == "target":
         flagged, span = flagged.withColumn("sequence_index", F.col("sequence_index") + w), 1

@@ -136,6 +136,20 @@ def risk_report(risks: DataFrame, k: int = 10) -> dict[str, DataFrame]:
     }
 
 
+def summary_lines(risks: DataFrame) -> DataFrame:
+    """(position, value) rows of a short text report; see ``sinks.write_text_report``."""
+    totals = R.risk_totals(risks)
+    counts = [
+        F.format_string(f"{v}: %d", f"{v.lower()}_anomalies") for v in R.RISK_LEVELS
+    ]
+    lines = F.array(
+        F.format_string("anomalous sequences: %d", "total_anomalies"), *counts,
+        F.format_string("mean risk: %.2f", F.coalesce("avg_risk_score", F.lit(0.0))),
+        F.format_string("highest risk: %.2f", F.coalesce("max_risk_score", F.lit(0.0))),
+    )
+    return totals.select(F.posexplode(lines).alias("position", "value"))
+
+
 def risk_chain(logs: DataFrame, w: int = WIDTH, share: float = 0.8, threshold: float | None = None) -> DataFrame:
     """Raw parsed logs to risk-rated sequences."""
     split = train_test(logs, share)

@@ -34,7 +34,7 @@ def test_row_severity(spark):
 
 
 def test_weights():
-    weights = severity.http_status_weights()
+    weights = severity.HTTP_STATUS_WEIGHTS
     assert len(weights) == 41 and weights["503"] == 10 and weights["304"] == 0
     assert len(severity.exception_weights()) == 29
 
