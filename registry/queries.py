@@ -763,8 +763,9 @@ def q_temporal_logs(spark, sf):
 
 
 def q_detect_all(spark, sf):
-    logs = event_logs(spark, sf)
-    parted = split_windows(spark, sf)
+    # five results read the parsed lines
+    logs = scratch.materialize(event_logs(spark, sf), "parsed")
+    parted = window_plan.split_features(W.window_features(logs, WIDE))
     state = window_plan.fit(train_windows(parted), width=WIDE)
     results = window_plan.detect_all(parted.filter(F.col("split") == "test"), logs, state)
     parts = [df.select(F.lit(name).alias("detector"), W.WINDOW) for name, df in results.items()]
