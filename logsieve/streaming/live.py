@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parsing import parse_lines
@@ -28,7 +28,17 @@ def read_log_stream(spark: SparkSession, path: str, pattern: str = "*.log", max_
 
 
 def event_time_for_streams(logs: DataFrame) -> DataFrame:
-    return logs.filter(F.col("timestamp").isNotNull()).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    """Event time as the instant with the same clock reading in UTC, whatever the zone of the session.
+
+    Windows are cut on the UTC clock, so they start at the same readings as in a batch.
+    """
+    instant = F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), F.current_timezone())
+    return logs.filter(F.col("timestamp").isNotNull()).withColumn("timestamp", instant)
+
+
+def _reading(instant: Column) -> Column:
+    """The UTC clock reading of an instant, as a timestamp without zone."""
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
 
 
 def window_features_stream(logs: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -80,7 +90,7 @@ def window_features_stream(logs: DataFrame, width: str = "10 minutes", late: str
     return (
         folded.withColumn("_top", top)
         .withColumns({
-            WINDOW: F.col("_window.start").cast("timestamp_ntz"),
+            WINDOW: _reading(F.col("_window.start")),
             "top_class": F.col("_top.class_path"),
             "top_class_count": -F.col("_top.n"),
         })
