@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from llm import quality_rules
+from llm import bpe, quality_rules, sql
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op10_bpe": bpe.op10_bpe,
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": sql.OP2_SQL,
 }
-ORACLES: dict[str, str] = {}
