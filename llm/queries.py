@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import bpe, quality_rules, sql
+from llm import bpe, quality_rules, sql, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {
