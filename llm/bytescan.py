@@ -103,7 +103,18 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np
 
 
 def _sequence(values: np.ndarray) -> np.uint64:
-    h = U(len(values))
+    h = np.array([len(values)], dtype=np.uint64)
     for v in values:
-        h = mix(np.array([h * BASE + v], dtype=np.uint64))[0]
-    return h
+        h = mix(h * BASE + v)
+    return h[0]
+
+
+def pack_keys(keys: np.ndarray, size: int) -> bytes:
+    """The leading size bytes of each key."""
+    return (keys >> np.uint64(8 * (8 - size))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack_keys(blob: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(blob) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(blob, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view("<u8")

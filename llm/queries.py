@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from llm import bpe, quality_rules, sql, suffix_dedup
+from llm import bpe, prefix_tree_join, quality_rules, sql, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op9_prefix_tree_join": prefix_tree_join.op9_prefix_tree_join,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES: dict[str, str] = {

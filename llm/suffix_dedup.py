@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bytescan import Rolling, mix, texts_of
+from llm.bytescan import Rolling, mix, pack_keys, texts_of, unpack_keys
 
 LENGTH = 200
 PERIOD = 133
@@ -119,17 +119,6 @@ def bucket_bounds(order: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], inner, [len(order)]])
 
 
-def pack_keys(keys: np.ndarray, size: int) -> bytes:
-    """The leading size bytes of each key."""
-    return (keys >> np.uint64(8 * (8 - size))).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
-
-
-def unpack_keys(blob: bytes, size: int) -> np.ndarray:
-    out = np.zeros((len(blob) // size, 8), np.uint8)
-    out[:, :size] = np.frombuffer(blob, np.uint8).reshape(-1, size)
-    return out.reshape(-1).view("<u8")
-
-
 def settle(keys: DataFrame, size: int) -> DataFrame:
     """Sort one bucket of (block, bucket, keys, many) at a time; per block the bits of its keys that are tied."""
 
