@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from llm import bpe, prefix_tree_join, quality_rules, sql, suffix_dedup
+from llm import bpe, decontamination, prefix_tree_join, quality_rules, sql, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op9_prefix_tree_join": prefix_tree_join.op9_prefix_tree_join,
     "op10_bpe": bpe.op10_bpe,
 }
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {
     "op2_quality_rules": sql.OP2_SQL,
 }
