@@ -7,11 +7,14 @@ equal.  So the work is:
 1. Cover sample.  The sampled blocks of all texts are sorted one bucket at a time and get a rank: 0 when the block
    occurs once in the corpus.  Only suffixes with a sample of non-zero rank within PERIOD bytes can have a tie of
    LENGTH bytes; all others are settled here and never sorted.
-2. Suffix buckets.  The open suffixes are sorted one bucket at a time, and those whose first LENGTH bytes tie with a
-   neighbour are marked.
-3. Each text drops the union of the marked strings.
-
-Blocks and prefixes are compared by 64-bit fingerprints in steps 2 (40 bits within a bucket in step 1, where an
+2. Runs.  Consecutive open suffixes are cut into runs before every suffix whose fingerprint ends in zero bits, so equal
+   texts are cut alike.  Runs are sorted by their whole bytes; a run that ties is settled, and one holder of each
+   (the one of the least block) stands for all of them in the next step.
+3. Suffix buckets.  The suffixes of unsettled runs and of the holders are sorted one bucket at a time, and those whose
+   first LENGTH bytes tie with a neighbour are marked.
+4. Each text drops the union of the marked strings and of the settled runs.
+
+Runs and prefixes are compared by 64-bit fingerprints (sampled blocks by 40 bits, where an
 error only leaves one suffix more to sort), so suffixes are sorted in fingerprint order rather than byte order: ties
 are all that matters here.  Keys travel packed, one array per block of texts and bucket; the answer of a bucket is a
 bit per key, and returns to the block.  A string that a third of the texts hold is one key per block of texts.  A task
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +45,8 @@ PERIOD = 133
 COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
 BLOCK = LENGTH - PERIOD + 1
 PIECE = 4 << 20  # bytes of text in a block
+RANK_BYTES, KEY_BYTES = 5, 8  # of the keys of sampled blocks, and of runs and prefixes
+CUTS = np.uint64(15)
 IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -120,26 +126,24 @@ def bucket_bounds(order: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def settle(keys: DataFrame, size: int) -> DataFrame:
-    """Sort one bucket of (block, bucket, keys, many) at a time; per block the bits of its keys that are tied."""
+    """Sort one bucket of (block, bucket, keys, many) at a time; per block, bits of its keys: tied, then leading."""
 
     def one(table: pa.Table) -> pa.Table:
-        blobs = table.column("keys").to_pylist()
+        table = table.take(pc.sort_indices(table.column("block")))  # the least block leads, in any order of arrival
         many = [np.unpackbits(np.frombuffer(m, np.uint8)).astype(bool) for m in table.column("many").to_pylist()]
-        parts = [unpack_keys(b, size) for b in blobs]
+        parts = [unpack_keys(b, size) for b in table.column("keys").to_pylist()]
         whole = np.concatenate(parts)
+        twice = np.concatenate([m[: len(p)] for m, p in zip(many, parts)])
         order = np.argsort(whole, kind="stable")
         ranked = whole[order]
         same = ranked[1:] == ranked[:-1]
-        tied = np.zeros(len(ranked), bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        # a key that its own block holds twice is tied wherever it stands
-        out = np.zeros(len(ranked), bool)
-        out[order] = tied
-        at, bits = 0, []
-        for p, m in zip(parts, many):
-            bits.append(np.packbits(out[at : at + len(p)] | m[: len(p)]).tobytes())
-            at += len(p)
+        tied, lead = np.zeros(len(ranked), bool), np.ones(len(ranked), bool)
+        tied[order[1:]] = same
+        tied[order[:-1]] |= same
+        lead[order[1:]] = ~same
+        tied |= twice
+        ends = np.cumsum([0] + [len(p) for p in parts])
+        bits = [np.packbits(np.concatenate([tied[x:y], lead[x:y]])).tobytes() for x, y in zip(ends[:-1], ends[1:])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
 
     return keys.groupBy("bucket").applyInArrow(one, "block long, bucket int, bits binary")
@@ -156,19 +160,29 @@ def _send(block: int, keys: np.ndarray, buckets: int, size: int) -> pa.RecordBat
     ], ["block", "bucket", "keys", "many"])
 
 
-def _receive(keys: np.ndarray, buckets: int, size: int, answer: dict[int, bytes]) -> np.ndarray:
-    """The bits of the answer for every key."""
+def _receive(keys: np.ndarray, buckets: int, size: int, answer: list | None) -> tuple[np.ndarray, np.ndarray]:
+    """The answer for every key: whether it is tied, and whether this place is the first of the block that leads."""
     cut = keys >> np.uint64(8 * (8 - size)) << np.uint64(8 * (8 - size))
-    order, back = np.unique(cut, return_inverse=True)
+    order, first, back = np.unique(cut, return_index=True, return_inverse=True)
     bounds = bucket_bounds(order, buckets)
-    tied = np.zeros(len(order), bool)
-    for b in range(buckets):
-        if n := int(bounds[b + 1] - bounds[b]):
-            tied[bounds[b] : bounds[b + 1]] = np.unpackbits(np.frombuffer(answer[b], np.uint8))[:n]
-    return tied[back]
-
-
-RANK_BYTES, PREFIX_BYTES = 5, 8
+    tied, lead = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    for a in answer or ():
+        x, y = bounds[a["bucket"]], bounds[a["bucket"] + 1]
+        bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8)).astype(bool)
+        tied[x:y], lead[x:y] = bits[: y - x], bits[y - x : 2 * (y - x)]
+    leads = np.zeros(len(keys), bool)
+    leads[first[lead]] = True
+    return tied[back], leads
+
+
+def runs_of(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of consecutive starts, cut before keys that end in zero bits."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.ones(len(starts), bool)
+    new[1:] = (np.diff(starts) > 1) | (keys[1:] & CUTS == 0)
+    first = np.flatnonzero(new)
+    return first, np.concatenate([first[1:], [len(starts)]]) - 1
 
 
 def _first_keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, Rolling]:
@@ -186,51 +200,62 @@ def repeated_spans(docs: DataFrame, text: str = "text", buckets: int | None = No
     def arrays(row) -> tuple[int, np.ndarray, np.ndarray]:
         return row["block"], np.frombuffer(row["data"], np.uint8), np.frombuffer(row["ends"], "<i8")
 
-    def rank(batches):
+    def each(batches):
         for batch in batches:
             for k in range(len(batch)):
-                block, data, ends = arrays(batch.slice(k, 1).to_pylist()[0])
-                yield _send(block, _first_keys(data, ends)[1], buckets, RANK_BYTES)
-
-    key_schema = "block long, bucket int, keys binary, many binary"
-    ranks = settle(packed.select("block", "data", "ends").mapInArrow(rank, key_schema), RANK_BYTES)
+                one = batch.slice(k, 1)
+                yield one, one.select([c for c in one.schema.names if c not in ("rows", "blank")]).to_pylist()[0]
 
-    def answers(found: DataFrame, name: str) -> DataFrame:
-        # as many rows per block as there are buckets: bounded by the size of the block
-        return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+    def rank(batches):
+        for _, row in each(batches):
+            block, data, ends = arrays(row)
+            yield _send(block, _first_keys(data, ends)[1], buckets, RANK_BYTES)
 
-    def suffix_keys(row) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def suffixes(row):
         block, data, ends = arrays(row)
         at, keys, rolling = _first_keys(data, ends)
-        tied = _receive(keys, buckets, RANK_BYTES, {a["bucket"]: a["bits"] for a in row["ranks"] or ()})
+        tied, _ = _receive(keys, buckets, RANK_BYTES, row["ranks"])
         starts = open_suffixes(data, ends, at, tied)
-        return block, data, ends, starts, mix(rolling.of(starts, starts + LENGTH))
+        keys = mix(rolling.of(starts, starts + LENGTH))
+        first, last = runs_of(starts, keys)
+        length = starts[last] - starts[first]
+        run_keys = mix(rolling.of(starts[first], starts[last] + LENGTH) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return block, ends, starts, keys, last - first + 1, run_keys
+
+    def runs(batches):
+        for _, row in each(batches):
+            block, _, _, _, _, run_keys = suffixes(row)
+            yield _send(block, run_keys, buckets, KEY_BYTES)
+
+    def unsettled(row):
+        block, ends, starts, keys, size, run_keys = suffixes(row)
+        tied, lead = _receive(run_keys, buckets, KEY_BYTES, row["runs"])
+        return block, ends, starts, keys, np.repeat(tied, size), np.repeat(~tied | lead, size)
 
     def prefix(batches):
-        for batch in batches:
-            for k in range(len(batch)):
-                block, _, _, _, keys = suffix_keys(batch.slice(k, 1).to_pylist()[0])
-                yield _send(block, keys, buckets, PREFIX_BYTES)
-
-    ranked = packed.select("block", "data", "ends").join(answers(ranks, "ranks"), "block", "left")
-    prefixes = settle(ranked.mapInArrow(prefix, key_schema), PREFIX_BYTES)
-    full = packed.join(answers(ranks, "ranks"), "block", "left").join(answers(prefixes, "prefixes"), "block", "left")
-    kind = full.schema["rows"].dataType.simpleString()
+        for _, row in each(batches):
+            block, _, _, keys, _, show = unsettled(row)
+            yield _send(block, keys[show], buckets, KEY_BYTES)
 
     def drop(batches):
-        for batch in batches:
-            slim = batch.select(["block", "data", "ends", "ranks", "prefixes"])
-            for k in range(len(slim)):
-                row = slim.slice(k, 1).to_pylist()[0]
-                _, data, ends, starts, keys = suffix_keys(row)
-                hit = _receive(keys, buckets, PREFIX_BYTES, {a["bucket"]: a["bits"] for a in row["prefixes"] or ()})
-                spans = merged(starts[hit], ends)
-                one = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*(one.column(c) for c in ("rows", "data", "ends", "blank")), pa.array([spans.astype("<i8").tobytes()], pa.binary())],
-                    ["rows", "data", "ends", "blank", "spans"],
-                )
+        for one, row in each(batches):
+            _, ends, starts, keys, hit, show = unsettled(row)
+            hit[show] |= _receive(keys[show], buckets, KEY_BYTES, row["prefixes"])[0]
+            spans = merged(starts[hit], ends)
+            yield pa.RecordBatch.from_arrays(
+                [*(one.column(c) for c in ("rows", "data", "ends", "blank")), pa.array([spans.astype("<i8").tobytes()], pa.binary())],
+                ["rows", "data", "ends", "blank", "spans"],
+            )
+
+    def answers(sent: DataFrame, size: int, name: str) -> DataFrame:
+        # as many rows per block as there are buckets: bounded by the size of the block
+        return settle(sent, size).groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
+    schema = "block long, bucket int, keys binary, many binary"
+    kind = packed.schema["rows"].dataType.simpleString()
+    ranked = packed.join(answers(packed.mapInArrow(rank, schema), RANK_BYTES, "ranks"), "block", "left")
+    run = ranked.join(answers(ranked.mapInArrow(runs, schema), KEY_BYTES, "runs"), "block", "left")
+    full = run.join(answers(run.mapInArrow(prefix, schema), KEY_BYTES, "prefixes"), "block", "left")
     return full.mapInArrow(drop, f"rows {kind}, data binary, ends binary, blank array<boolean>, spans binary")
 
 
