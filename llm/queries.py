@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from llm import bpe, decontamination, prefix_tree_join, quality_rules, sql, suffix_dedup
+from llm import bpe, decontamination, histogram_shards, prefix_tree_join, quality_rules, sql, suffix_dedup, token_files, warc
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+    "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_histogram_shards": histogram_shards.op7_histogram_shards,
     "op9_prefix_tree_join": prefix_tree_join.op9_prefix_tree_join,
     "op10_bpe": bpe.op10_bpe,
 }
@@ -21,4 +24,5 @@ def pipeline(spark, sf_dir: str):
 QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {
     "op2_quality_rules": sql.OP2_SQL,
+    "op5_warc": sql.OP5_SQL,
 }
