@@ -33,15 +33,23 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data, offsets - offsets[0]
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2**64."""
-    out = np.ones(max(n, 1), dtype=np.uint64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        out[done : done + step] = out[:step] * U(pow(int(base), done, 1 << 64))
-        done += step
-    return out[:n]
+    """base ** 0 .. base ** (n - 1) modulo 2**64; kept up to 8 M of them."""
+    have = _powers.get(int(base), np.ones(1, np.uint64))
+    if len(have) < n:
+        out = np.ones(max(n, 1 << 16), dtype=np.uint64)
+        done = 1
+        while done < len(out):
+            step = min(done, len(out) - done)
+            out[done : done + step] = out[:step] * U(pow(int(base), done, 1 << 64))
+            done += step
+        have = out
+        if len(out) <= 8 << 20:
+            _powers[int(base)] = out
+    return have[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

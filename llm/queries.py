@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from llm import bpe, decontamination, histogram_shards, prefix_tree_join, quality_rules, sql, suffix_dedup, token_files, warc
+from llm import bpe, decontamination, histogram_shards, html_text, kneser_ney, prefix_tree_join, quality_rules, sql, suffix_dedup, token_files, warc
 
 QUERIES = {
+    "op1_kneser_ney": kneser_ney.op1_kneser_ney,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_warc": warc.op5_warc,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_histogram_shards": histogram_shards.op7_histogram_shards,
+    "op8_html_text": html_text.op8_html_text,
     "op9_prefix_tree_join": prefix_tree_join.op9_prefix_tree_join,
     "op10_bpe": bpe.op10_bpe,
 }
