@@ -190,7 +190,8 @@ def default_path() -> str:
 
 
 def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs with three columns more: ids (array of int), n_tokens and decoded text."""
+    """docs with three columns more: ids (array of int), n_tokens and decoded text; columns of these names are replaced."""
+    docs = docs.drop("ids", "n_tokens", "decoded")
     where, names = path or default_path(), docs.columns
     schema = docs.selectExpr("*", "cast(null as array<int>) AS ids", "0L AS n_tokens", "'' AS decoded").schema
 

@@ -129,8 +129,8 @@ def _same(rows: DataFrame, keys: DataFrame, names: list[str], how: str = "left_s
 def clean_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that no benchmark item contaminates, with the columns of docs."""
     bad = stored(matches(docs, benchmark, key, text).select("doc_id", "text_hash").distinct(), "leaks")
-    right = _side(bad.select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h")), bad.count())
-    return docs.join(right, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_h")), "left_anti")
+    right = _side(bad.select(F.col("doc_id").alias("_leak_key"), F.col("text_hash").alias("_leak_hash")), bad.count())
+    return docs.join(right, F.col(f"`{key}`").eqNullSafe(F.col("_leak_key")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_leak_hash")), "left_anti")
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

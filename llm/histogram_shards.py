@@ -100,6 +100,7 @@ def shard_of(edges: list[tuple[int, int]]) -> Column:
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """docs with _size, _shard and _slot (gapless from 0 within the shard, in the order of the sort)."""
+    docs = docs.drop("_size", "_shard", "_slot")
     names = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(
         F.struct(*names).alias("row"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("h"),
