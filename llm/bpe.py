@@ -63,6 +63,8 @@ class Bpe:
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        #: capitals matter only next to combining marks, and in the names of added tokens
+        self.as_written = "|".join(["[\u0300-\u036f]", *(f"(?i:{re.escape(a)})" for a in added)])
         library = Tokenizer.from_file(path)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.names = {i: t for t, i in {**self.vocab, **added}.items()}
@@ -145,6 +147,9 @@ class Bpe:
         parts = self.special.split(run)
         return b"".join([self.added[p].to_bytes(4, "little") if k % 2 else self._part(p) if p else b"" for k, p in enumerate(parts)])
 
+    def prepare(self, runs: list[str]) -> None:
+        """Called with the distinct runs of a slice before they are looked up."""
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of whole texts as (ids, offsets of the texts), for slices of about SLICE bytes, in order."""
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -152,9 +157,15 @@ class Bpe:
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
-            lists = pc.ascii_split_whitespace(texts.slice(at, to - at))
+            part = texts.slice(at, to - at)
+            if not pc.any(pc.match_substring_regex(part, self.as_written)).as_py():
+                part = pc.ascii_lower(part)
+            # a full stop or comma after a word is a piece of its own: fewer distinct runs
+            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(part, r"([A-Za-z])([.,])(\s)", r"\1 \2\3"))
             runs = lists.flatten().dictionary_encode()
-            coded = [self.runs[r] if r else b"" for r in runs.dictionary.to_pylist()]
+            distinct = runs.dictionary.to_pylist()
+            self.prepare(distinct)
+            coded = [self.runs[r] if r else b"" for r in distinct]
             table = np.frombuffer(b"".join(coded), "<u4")
             size = np.array([len(c) // 4 for c in coded], np.int64)
             place = runs.indices.to_numpy()

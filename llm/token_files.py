@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.bpe import Bpe, default_path
+from llm.bpe import KEEP, PLAIN, Bpe, default_path
 from llm.common import scratch_path, stored
 
 END = 1
@@ -45,6 +45,24 @@ class LibraryBpe(Bpe):
     def piece(self, piece: str) -> bytes:
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def prepare(self, runs: list[str]) -> None:
+        """Encode all new words, and all new runs that are not plain words, in one call of the library."""
+        words, others = set(), []
+        for r in runs:
+            if r and r not in self.runs:
+                if plain := PLAIN.fullmatch(r):
+                    if (word := plain[1].lower()) not in self.pieces:
+                        words.add(word)
+                else:
+                    others.append(r)
+        asked = [*words, *others]
+        for k, e in enumerate(self.library.encode_batch_fast(asked, add_special_tokens=False)):
+            where = self.pieces if k < len(words) else self.runs
+            if len(asked[k]) <= 64:
+                if len(where) >= KEEP:
+                    where.clear()
+                where[asked[k]] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+
 
 @functools.lru_cache(2)
 def load(path: str) -> LibraryBpe:
