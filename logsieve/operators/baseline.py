@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.parsing import exception_name
+from ..functions.parsing import exception_name, time_floor
+from ..scratch import materialize
 from .ordering import exact_quantiles
 from .windows import WINDOW, WINDOW_FEATURES, long_features, with_window
 
@@ -12,55 +13,48 @@ QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q95": 0.95}
 
 
 def fit_baseline(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Mean, sample deviation and quartiles per feature: one row per feature.
+    """Mean, sample deviation and quartiles per feature, one row per feature; for tables of any size.
 
-    For window-level tables, whose size is bound by the covered time span and not by the number of logs.
+    The quantiles come from a distributed ranking, so no task holds all values of a feature.
     """
-    return long_features(features, cols or WINDOW_FEATURES).groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        *[F.percentile("value", F.lit(q)).alias(name) for name, q in QUANTILES.items()],
-    )
-
-
-def fit_row_baseline(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The same table for row-level data of any size; the quantiles come from a distributed ranking."""
-    moments = long_features(df, cols).groupBy("feature").agg(
+    cols = cols or WINDOW_FEATURES
+    moments = long_features(features, cols).groupBy("feature").agg(
         F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")
     )
-    quantiles = exact_quantiles(df, cols, list(QUANTILES.values()))
+    quantiles = exact_quantiles(features, cols, list(QUANTILES.values()))
     wide = quantiles.groupBy("feature").agg(*[
         F.max(F.when(F.col("prob") == q, F.col("value"))).alias(name) for name, q in QUANTILES.items()
     ])
     return moments.join(wide, "feature")
 
 
-def baseline_map(baseline: DataFrame) -> Column:
-    """The baseline as one scalar map ``feature -> (mean, std)``, planned with the query that uses it."""
-    entry = F.struct("feature", F.struct("mean", "std"))
-    return baseline.select(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+#: The baseline of row-level data is the same table.
+fit_row_baseline = fit_baseline
 
 
 def zscore_anomalies(
     features: DataFrame, baseline: DataFrame, threshold: float = 3.0, cols: list[str] | None = None
 ) -> DataFrame:
-    """Windows with at least one feature beyond the threshold; the score adds up those z-scores."""
-    stats = F.col("_baseline")
+    """Windows with at least one feature beyond the threshold; the score adds up those z-scores.
+
+    The baseline is one row per feature: it is read once and becomes constants of the plan.
+    """
+    cols = cols or WINDOW_FEATURES
+    known = {r["feature"]: r for r in baseline.filter(F.col("feature").isin(cols)).select("feature", "mean", "std").collect()}
     scored = []
-    for name in cols or WINDOW_FEATURES:
-        mean, std = stats[name]["mean"], stats[name]["std"]
-        z = F.when(std > 0, F.abs((F.col(name) - mean) / std))
+    for name in cols:
+        mean, std = (known[name]["mean"], known[name]["std"]) if name in known else (None, None)
+        z = F.abs((F.col(name) - mean) / std) if mean is not None and std is not None and std > 0 else F.lit(None).cast("double")
         scored.append(F.struct(F.lit(name).alias("feature"), z.alias("z")))
     hits = F.filter(F.array(*scored), lambda x: x["z"] > threshold)
     return (
-        features.withColumn("_baseline", baseline_map(baseline))
-        .withColumn("_hits", hits)
+        features.withColumn("_hits", hits)
         .filter(F.size("_hits") > 0)
         .withColumn("anomaly_score", F.aggregate("_hits", F.lit(0.0), lambda acc, x: acc + x["z"]))
         .withColumn("reasons", F.array_join(
             F.transform("_hits", lambda x: F.format_string("%s: Z-score=%.2f", x["feature"], x["z"])), "; "
         ))
-        .drop("_hits", "_baseline")
+        .drop("_hits")
     )
 
 
@@ -94,7 +88,10 @@ def label_windows(features: DataFrame, baseline: DataFrame, factor: float = 2.0)
 
 def error_concentration(logs: DataFrame, share: float = 0.5) -> DataFrame:
     """The class with most errors, if it has more than ``share`` of all errors."""
-    by_class = logs.filter("is_error").groupBy("class_path").agg(F.count("*").alias("n"))
+    return _concentration(logs.filter("is_error").groupBy("class_path").agg(F.count("*").alias("n")), share)
+
+
+def _concentration(by_class: DataFrame, share: float) -> DataFrame:
     top = by_class.agg(
         F.min(F.struct((-F.col("n")).alias("n"), "class_path")).alias("top"), F.sum("n").alias("total_errors")
     )
@@ -110,21 +107,17 @@ def error_concentration(logs: DataFrame, share: float = 0.5) -> DataFrame:
 def frequency_anomalies(logs: DataFrame, width: str = "10 minutes", threshold: float = 3.0) -> DataFrame:
     """Windows with unusually many or few logs."""
     counts = with_window(logs, width).groupBy(WINDOW).agg(F.count("*").alias("log_count"))
-    stats = counts.select(F.struct(
-        F.avg("log_count").alias("mean"), F.stddev_samp("log_count").alias("std")
-    )).scalar()
-    return (
-        counts.withColumn("_s", stats)
-        .filter(F.col("_s.std") > 0)
-        .select(
-            F.lit("frequency_anomaly").alias("type"),
-            WINDOW,
-            "log_count",
-            F.col("_s.mean").alias("mean"),
-            F.abs((F.col("log_count") - F.col("_s.mean")) / F.col("_s.std")).alias("z_score"),
-        )
-        .filter(F.col("z_score") > threshold)
-    )
+    return _unusual_counts(materialize(counts, "window_counts"), threshold)
+
+
+def _unusual_counts(counts: DataFrame, threshold: float) -> DataFrame:
+    """From written (window, log_count) rows; mean and deviation are read once and become constants."""
+    mean, std = counts.agg(F.avg("log_count"), F.stddev_samp("log_count")).first()
+    usable = std is not None and std > 0
+    z = F.abs((F.col("log_count") - F.lit(mean)) / F.lit(std)) if usable else F.lit(None).cast("double")
+    return counts.select(
+        F.lit("frequency_anomaly").alias("type"), WINDOW, "log_count", F.lit(mean).cast("double").alias("mean"), z.alias("z_score")
+    ).filter(F.col("z_score") > threshold)
 
 
 def exception_counts(logs: DataFrame) -> DataFrame:
@@ -140,7 +133,10 @@ def exception_counts(logs: DataFrame) -> DataFrame:
 
 def rare_exceptions(logs: DataFrame, share: float = 0.01) -> DataFrame:
     """Exception names that make up less than ``share`` of all named exceptions."""
-    counts = exception_counts(logs)
+    return _rare(exception_counts(logs), share)
+
+
+def _rare(counts: DataFrame, share: float) -> DataFrame:
     total = counts.select(F.sum("count")).scalar()
     return (
         counts.withColumn("_total", total)
@@ -155,11 +151,22 @@ def rare_exceptions(logs: DataFrame, share: float = 0.01) -> DataFrame:
 
 
 def unusual_patterns(logs: DataFrame, width: str = "10 minutes") -> DataFrame:
-    """The three pattern tables stacked; columns a pattern does not have are null."""
+    """The three pattern tables stacked; columns a pattern does not have are null.
+
+    The lines are parsed once, into counts per (window, class, error, exception name).
+    """
+    window = F.when(F.col("timestamp").isNotNull(), time_floor("timestamp", width)).alias(WINDOW)
+    name = F.when(F.col("has_exception"), exception_name(F.col("message"))).alias("exception_type")
+    counts = materialize(
+        logs.select(window, "class_path", "is_error", name).groupBy(WINDOW, "class_path", "is_error", "exception_type").agg(
+            F.count("*").alias("n")), "patterns")
+    by_class = counts.filter("is_error").groupBy("class_path").agg(F.sum("n").alias("n"))
+    by_window = counts.filter(F.col(WINDOW).isNotNull()).groupBy(WINDOW).agg(F.sum("n").alias("log_count"))
+    by_name = counts.filter(F.col("exception_type").isNotNull()).groupBy("exception_type").agg(F.sum("n").alias("count"))
     return (
-        error_concentration(logs)
-        .unionByName(frequency_anomalies(logs, width), allowMissingColumns=True)
-        .unionByName(rare_exceptions(logs), allowMissingColumns=True)
+        _concentration(by_class, 0.5)
+        .unionByName(_unusual_counts(by_window, 3.0), allowMissingColumns=True)
+        .unionByName(_rare(by_name, 0.01), allowMissingColumns=True)
     )
 
 
@@ -172,29 +179,20 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def scale(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame:
-    """Standardised columns; nulls count as 0 before scaling."""
-    params = scaler.select(F.struct(*scaler.columns)).scalar()
-    return (
-        df.withColumn("_scaler", params)
-        .withColumns({
-            c: (F.coalesce(F.col(c), F.lit(0)) - F.col(f"_scaler.{c}_mean")) / F.col(f"_scaler.{c}_std")
-            for c in cols
-        })
-        .drop("_scaler")
-    )
+    """Standardised columns; nulls count as 0 before scaling.  The scaler's one row becomes constants."""
+    row = scaler.select(*[f"{c}_{part}" for c in cols for part in ("mean", "std")]).first()
+
+    def number(name: str) -> Column:
+        return F.lit(None if row is None else row[name]).cast("double")
+
+    return df.withColumns({
+        c: (F.coalesce(F.col(c), F.lit(0)) - number(f"{c}_mean")) / number(f"{c}_std") for c in cols
+    })
 
 
 def flag_top(
-    scored: DataFrame, training: DataFrame, score: str = "anomaly_score", contamination: float = 0.1,
-    exact_rows: bool = False,
+    scored: DataFrame, training: DataFrame, score: str = "anomaly_score", contamination: float = 0.1
 ) -> DataFrame:
-    """Flag scores above the ``1 - contamination`` quantile of the training scores.
-
-    ``exact_rows=True`` ranks the scores in a distributed way: for row-level tables.
-    """
-    share = 1 - contamination
-    if exact_rows:
-        limit = exact_quantiles(training, [score], [share]).select("value").scalar()
-    else:
-        limit = training.select(F.percentile(score, F.lit(share))).scalar()
+    """Flag scores above the ``1 - contamination`` quantile of the training scores, ranked in a distributed way."""
+    limit = exact_quantiles(training, [score], [1 - contamination]).select("value").scalar()
     return scored.withColumn("is_anomaly", (F.col(score) > limit).cast("int"))

@@ -12,6 +12,9 @@ from ..ordering import lay_out, running_sums
 from ..windows import long_features
 
 
+SALTS = 8
+
+
 def tails(long: DataFrame, train: str | None = None) -> DataFrame:
     """(feature, value, left, right, skewness) with -log tail probabilities, from (feature, value) rows.
 
@@ -48,11 +51,25 @@ def score(df: DataFrame, cols: list[str], key: str, train: str | None = None) ->
     return score_long(long_features(df.select(*keys, *cols), cols, *keys), key, train)
 
 
-def score_long(rows: DataFrame, key: str, train: str | None = None) -> DataFrame:
-    """The same from (key, feature, value) rows."""
+def score_new(df: DataFrame, train: DataFrame, cols: list[str], key: str) -> DataFrame:
+    """(key, anomaly_score) of new rows against the distribution of the training rows alone."""
+    both = long_features(df.select(key, *cols), cols, key).withColumn("_train", F.lit(False)).unionByName(
+        long_features(train.select(F.lit(None).cast(df.schema[key].dataType).alias(key), *cols), cols, key).withColumn("_train", F.lit(True))
+    )
+    return score_long(both, key, "_train", only_new=True)
+
+
+def score_long(rows: DataFrame, key: str, train: str | None = None, only_new: bool = False) -> DataFrame:
+    """The same from (key, feature, value) rows; with ``only_new`` just the rows that are not training rows.
+
+    A value that most rows share is one hot key: the table side is repeated under SALTS salts.
+    """
     table = tails(rows.drop(key), train)
     picked = F.when(F.col("skewness") < 0, F.col("left")).otherwise(F.col("right"))
-    sums = rows.join(table, ["feature", "value"]).groupBy(key).agg(
+    asked = rows.filter(~F.col(train)) if only_new else rows
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    sums = asked.join(table, ["feature", "value", "_salt"]).groupBy(key).agg(
         F.sum("left").alias("l"), F.sum("right").alias("r"), F.sum(picked).alias("p")
     )
     return sums.select(key, F.greatest("l", "r", "p").alias("anomaly_score"))

@@ -1,6 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008).
 
-Each tree is grown in one task from its own sample of at most 256 rows, chosen by a hash of the row key.
+Each tree is grown in one task from its own sample of 256 rows (the definition of the method), drawn from all rows
+by a hash of the row key.
 The forest (100 trees of at most 511 nodes) is small by construction and goes to the tasks that score.
 """
 
@@ -58,10 +59,14 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple[int
 def fit(df: DataFrame, cols: list[str], key: str, trees: int = 100, sample: int = 256, seed: int = 42) -> Fitted:
     """Grow the forest; ``key`` is unique and decides, with the seed, which rows a tree sees."""
     data = df.select(F.col(key).cast("string").alias("_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-    # A random pool, large enough for disjoint samples when there are that many rows: bounded in size.
-    pool = data.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(trees * sample)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = W.partitionBy("tree").orderBy(F.xxhash64("_key", "tree", F.lit(seed)), "_key")
+    # Every tree draws from all rows: those with the least hashes for this tree.  A bound on the hash, four times as
+    # wide as needed on average, leaves about 4 * sample rows per tree to rank, whatever the size of the table.
+    n = data.count()
+    bound = (1 << 63) - 1 if n <= 4 * sample else int(-(1 << 63) + (1 << 64) * (4 * sample / n))
+    lots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64("_key", t, F.lit(seed)).alias("lot")))
+    drawn = data.withColumn("_lot", F.explode(F.filter(lots, lambda x: x["lot"] <= F.lit(bound)))).select(
+        "_key", *cols, F.col("_lot.tree").alias("tree"), F.col("_lot.lot").alias("lot"))
+    order = W.partitionBy("tree").orderBy("lot", "_key")
     drawn = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -61,7 +61,7 @@ def points(df: DataFrame, cols: list[str]) -> DataFrame:
     return number_rows(lay_out(distinct, ["x"], "points"), "point").drop(PART, POS)
 
 
-def _neighbours_small(pts: DataFrame, k: int) -> DataFrame:
+def _neighbours_small(pts: DataFrame, k: int, asking: DataFrame) -> DataFrame:
     everyone = pts.select("point", "x", "weight").toPandas()
     shared = pts.sparkSession.sparkContext.broadcast(
         (everyone["point"].to_numpy(), _matrix(everyone["x"]), everyone["weight"].to_numpy())
@@ -72,10 +72,10 @@ def _neighbours_small(pts: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             yield _nearest(pdf["point"].to_numpy(), _matrix(pdf["x"]), ids, y, weights, k)
 
-    return pts.select("point", "x").repartition("point").mapInPandas(search, NEAR_SCHEMA)
+    return asking.select("point", "x").repartition("point").mapInPandas(search, NEAR_SCHEMA)
 
 
-def _neighbours_large(pts: DataFrame, k: int, n: int, cell_points: int) -> DataFrame:
+def _neighbours_large(pts: DataFrame, k: int, n: int, cell_points: int, asking: DataFrame) -> DataFrame:
     spark = pts.sparkSession
     count = int(min(MAX_PIVOTS, max(2, -(-n // cell_points))))
     sampled = pts.orderBy(F.xxhash64("point"), "point").limit(count).toPandas()
@@ -86,16 +86,16 @@ def _neighbours_large(pts: DataFrame, k: int, n: int, cell_points: int) -> DataF
             d = _distances(_matrix(pdf["x"]), pivots.value)
             yield pdf.assign(cell=d.argmin(axis=1), reach=d.min(axis=1))
 
-    celled = materialize(
-        pts.mapInPandas(assign, "point long, x array<double>, weight long, cell long, reach double"), "cells"
-    )
+    schema = "point long, x array<double>, weight long, cell long, reach double"
+    celled = materialize(pts.mapInPandas(assign, schema), "cells")
+    askers = celled if asking is pts else materialize(asking.mapInPandas(assign, schema), "askers")
     cells = celled.groupBy("cell").agg(F.max("reach").alias("radius")).toPandas()
     radius = np.full(count, -np.inf)
     radius[cells["cell"].to_numpy()] = cells["radius"].to_numpy()
     radii = spark.sparkContext.broadcast(radius)
 
     # The points of a cell among themselves: an upper bound of the distance to the k-th neighbour.
-    own = _search_cells(celled.select("point", "x", "cell"), celled, k)
+    own = _search_cells(askers.select("point", "x", "cell"), celled, k)
     bound = own.groupBy("point").agg(F.when(F.count("*") >= k, F.max("dist")).alias("bound"))
 
     def visits(batches):
@@ -111,7 +111,7 @@ def _neighbours_large(pts: DataFrame, k: int, n: int, cell_points: int) -> DataF
                 "point": pdf["point"].to_numpy()[rows], "x": pdf["x"].to_numpy()[rows], "cell": cells_hit,
             })
 
-    travelling = celled.join(bound, "point", "left").select("point", "x", "cell", "bound").mapInPandas(
+    travelling = askers.join(bound, "point", "left").select("point", "x", "cell", "bound").mapInPandas(
         visits, "point long, x array<double>, cell long"
     )
     return own.unionByName(_search_cells(materialize(travelling, "visits"), celled, k))
@@ -150,18 +150,26 @@ def neighbours(
 
     The other copies of the point itself come first, at distance 0.
     """
-    n = pts.count()
-    if n <= broadcast_points:
-        found = _neighbours_small(pts, k)
-    else:
-        found = _neighbours_large(pts, k, n, cell_points)
+    found = _found(pts, k, broadcast_points, cell_points, pts)
     copies = pts.filter(F.col("weight") > 1).select(
         "point", F.col("point").alias("neighbour"), F.lit(0.0).alias("dist"), (F.col("weight") - 1).alias("weight")
     )
+    return _pick(found.unionByName(copies), k)
+
+
+def _found(pts: DataFrame, k: int, broadcast_points: int, cell_points: int, asking: DataFrame) -> DataFrame:
+    n = pts.count()
+    if n <= broadcast_points:
+        return _neighbours_small(pts, k, asking)
+    return _neighbours_large(pts, k, n, cell_points, asking)
+
+
+def _pick(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` copies of neighbours of each point, by distance."""
     nearest = W.partitionBy("point").orderBy("dist", F.col("neighbour") != F.col("point"), "neighbour")
     before = F.coalesce(F.sum("weight").over(nearest.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
-        found.unionByName(copies)
+        found
         .withColumn("_rn", F.row_number().over(nearest))
         .filter(F.col("_rn") <= k)
         .withColumn("_before", before)
@@ -174,19 +182,48 @@ def score(df: DataFrame, cols: list[str], k: int = 20, **limits) -> DataFrame:
     """Adds ``anomaly_score``, the local outlier factor of each row among all rows."""
     pts = points(df, cols)
     near = materialize(neighbours(pts, k, **limits), "neighbours")
+    reach, density = _densities(near)
+    return _with_factors(df, cols, pts, _factors(near, density, density))
+
+
+def score_new(df: DataFrame, train: DataFrame, cols: list[str], k: int = 20, **limits) -> DataFrame:
+    """Adds ``anomaly_score`` of new rows: neighbours, distances and densities are those of the training rows alone."""
+    known = points(train, cols)
+    reach, density = _densities(materialize(neighbours(known, k, **limits), "neighbours"))
+    pts = points(df, cols)
+    # numbers below zero, so that a new point is never taken for a training point of the same number
+    asking = pts.withColumn("point", -1 - F.col("point"))
+    found = _found(known, k, limits.get("broadcast_points", BROADCAST_POINTS), limits.get("cell_points", CELL_POINTS), asking)
+    near = materialize(_pick(found, k), "neighbours")
+    own = _density(near, reach)
+    return _with_factors(df, cols, asking, _factors(near, density, own))
+
+
+def _densities(near: DataFrame) -> tuple[DataFrame, DataFrame]:
     reach = near.groupBy("point").agg(F.max("dist").alias("k_dist"))
-    density = (
+    return reach, _density(near, reach)
+
+
+def _density(near: DataFrame, reach: DataFrame) -> DataFrame:
+    """(point, lrd): local reachability density; ``reach`` is (point, k_dist) of the neighbours."""
+    return (
         near.join(reach.withColumnRenamed("point", "neighbour"), "neighbour")
         .groupBy("point")
         .agg((F.sum(F.greatest("dist", "k_dist") * F.col("used")) / F.sum("used")).alias("_mean"))
         .select("point", (1 / (F.col("_mean") + 1e-10)).alias("lrd"))
     )
+
+
+def _factors(near: DataFrame, density: DataFrame, own: DataFrame) -> DataFrame:
     around = (
         near.join(density.select(F.col("point").alias("neighbour"), F.col("lrd").alias("_other")), "neighbour")
         .groupBy("point")
         .agg((F.sum(F.col("_other") * F.col("used")) / F.sum("used")).alias("_around"))
     )
-    factors = around.join(density, "point").select("point", (F.col("_around") / F.col("lrd")).alias("anomaly_score"))
+    return around.join(own, "point").select("point", (F.col("_around") / F.col("lrd")).alias("anomaly_score"))
+
+
+def _with_factors(df: DataFrame, cols: list[str], pts: DataFrame, factors: DataFrame) -> DataFrame:
     vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols])
     per_value = pts.join(factors, "point").select(F.col("x").alias("_x"), "anomaly_score")
     return df.withColumn("_x", vec).join(per_value, "_x", "left").drop("_x")

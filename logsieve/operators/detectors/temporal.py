@@ -90,14 +90,23 @@ def fit(runs: DataFrame, detector: str = "copod") -> Fitted:
 
 
 def _scores(runs: DataFrame, fitted: Fitted) -> DataFrame:
+    own = runs is fitted.training
     if fitted.detector == "copod":
-        return runs.join(copod.score_long(long_runs(runs), KEY), KEY)
+        if own:
+            return runs.join(copod.score_long(long_runs(runs), KEY), KEY)
+        both = long_runs(runs).withColumn("_train", F.lit(False)).unionByName(
+            long_runs(fitted.training).withColumn("_train", F.lit(True))
+        )
+        return runs.join(copod.score_long(both, KEY, "_train", only_new=True), KEY)
     scaled = run_columns(scale_runs(runs, fitted.scaler), fitted.width)
     if fitted.detector == "isolation_forest":
         return iforest.score(scaled, fitted.model)
     if fitted.detector == "autoencoder":
         return pca_recon.score(scaled, fitted.model)
-    return lof.score(scaled, [f"f{i}" for i in range(fitted.width)])
+    cols = [f"f{i}" for i in range(fitted.width)]
+    if own:
+        return lof.score(scaled, cols)
+    return lof.score_new(scaled, run_columns(scale_runs(fitted.training, fitted.scaler), fitted.width), cols)
 
 
 def score(runs: DataFrame, fitted: Fitted, contamination: float = 0.1) -> DataFrame:

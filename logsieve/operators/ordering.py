@@ -32,8 +32,9 @@ def lay_out(df: DataFrame, keys: list[Column | str], name: str = "ordered") -> D
 
 
 def lay_out_logs(logs: DataFrame) -> DataFrame:
-    """Logs in time order; lines without a valid time have no place in it and are left out."""
-    return lay_out(logs.filter(F.col("timestamp").isNotNull()), list(LOG_ORDER), "logs")
+    """Logs in time order; lines without a valid time come last, by file and line."""
+    first, *rest = LOG_ORDER
+    return lay_out(logs, [F.col(first).asc_nulls_last(), *rest], "logs")
 
 
 def _starts(sizes: DataFrame, within: list[str], col: str) -> DataFrame:

@@ -30,6 +30,17 @@ def error_rows(logs: DataFrame, split_rule: str = "is_error") -> DataFrame:
     return logs.filter(is_problem(split_rule))
 
 
+def with_sides(logs: DataFrame) -> DataFrame:
+    """One row per line and side it belongs to: normal or error, and strict_normal or strict_error."""
+    def side(split_rule: str, prefix: str) -> Column:
+        problem = is_problem(split_rule)
+        return F.when(problem, f"{prefix}error").when(~problem, f"{prefix}normal")
+
+    return logs.withColumn("side", F.explode(F.array(side("is_error", ""), side("strict", "strict_")))).filter(
+        F.col("side").isNotNull()
+    )
+
+
 def part_of(n: Column, share: float) -> Column:
     """Truncated share of a count, in double arithmetic."""
     return F.floor(n * F.lit(float(share)))

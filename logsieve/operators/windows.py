@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.parsing import time_floor
 from ..functions.text import stable_bucket
+from ..scratch import materialize
+from .ordering import exact_quantiles
 
 # Numeric window features in the order in which reasons are listed.
 WINDOW_FEATURES = [
@@ -29,12 +31,12 @@ def window_features(logs: DataFrame, width: str = "10 minutes") -> DataFrame:
     over many combinations.  ``error_count`` counts the level ERROR while ``error_rate`` is the share of
     ``is_error`` rows, whose count is kept as ``is_error_count``.
     """
-    combos = with_window(logs, width).groupBy(WINDOW, "class_path", "thread", "file_path", "level").agg(
+    combos = materialize(with_window(logs, width).groupBy(WINDOW, "class_path", "thread", "file_path", "level").agg(
         F.count("*").alias("n"),
         F.count_if("is_error").alias("errors"),
         F.count_if("has_exception").alias("exceptions"),
         F.sum(F.col("message_length").cast("long")).alias("chars"),
-    )
+    ), "combos")  # written, so that the sums and the top class share one pass over the text
     n = F.sum("n")
 
     def level_rows(level: str):
@@ -108,16 +110,18 @@ def level_distribution(logs: DataFrame) -> DataFrame:
 def describe_features(features: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles and max of each feature, one row per feature."""
     cols = cols or WINDOW_FEATURES
-    return _long(features, cols).groupBy("feature").agg(
+    moments = _long(features, cols).groupBy("feature").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.25)).alias("q25"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.percentile("value", F.lit(0.75)).alias("q75"),
         F.max("value").alias("max"),
     )
+    quartiles = exact_quantiles(features, cols, [0.25, 0.5, 0.75])
+    wide = quartiles.groupBy("feature").agg(*[
+        F.max(F.when(F.col("prob") == q, F.col("value"))).alias(name) for q, name in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))
+    ])
+    return moments.join(wide, "feature", "left").select("feature", "count", "mean", "std", "min", "q25", "median", "q75", "max")
 
 
 def _long(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.rowfeatures import ROW_FEATURES, row_features
 from ..functions.severity import with_severity
 from ..operators import baseline as B
 from ..operators import evaluate as E
-from ..operators.detectors import copod, iforest, pca_recon, rff_ocsvm
+from ..operators.detectors import copod, iforest, lof, pca_recon, rff_ocsvm
 from ..operators.severities import severity_summary
 from ..operators.splits import split_nested
 from ..scratch import materialize
@@ -41,6 +41,10 @@ def score(prepared: DataFrame, detector: str, contamination: float = 0.1) -> Dat
         scored = iforest.score(prepared, iforest.fit(normal, ROW_FEATURES, KEY))
     elif detector == "autoencoder":
         scored = pca_recon.score(prepared, pca_recon.fit(normal, ROW_FEATURES))
+    elif detector == "lof":
+        mine = F.coalesce((F.col("split") == "train") & ~F.col("is_error"), F.lit(False))
+        # training rows against each other, all others against them
+        scored = lof.score(normal, ROW_FEATURES).unionByName(lof.score_new(prepared.filter(~mine), normal, ROW_FEATURES))
     elif detector == "ocsvm":
         scored = rff_ocsvm.score(prepared, rff_ocsvm.fit(normal, ROW_FEATURES))
     else:
@@ -48,7 +52,7 @@ def score(prepared: DataFrame, detector: str, contamination: float = 0.1) -> Dat
     slim = scored.select(KEY, "split", "is_error", "level", "message", "anomaly_score")
     scored = materialize(slim, "row_scores")
     training = scored.filter((F.col("split") == "train") & ~F.col("is_error"))
-    return B.flag_top(scored, training, contamination=contamination, exact_rows=True)
+    return B.flag_top(scored, training, contamination=contamination)
 
 
 def evaluate(prepared: DataFrame, detectors: tuple[str, ...] = ("isolation_forest", "autoencoder")) -> DataFrame:

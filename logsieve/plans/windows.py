@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import baseline as B
 from ..operators.detectors import copod, iforest, lof, pca_recon
 from ..operators.evaluate import classification_metrics
-from ..operators.ordering import PART, POS, lay_out, number_rows
+from ..operators.ordering import PART, POS, exact_quantiles, lay_out, number_rows
 from ..operators.severities import attach_severity
 from ..operators.splits import split_by_time
 from ..operators.windows import WINDOW, WINDOW_FEATURES, window_features
@@ -35,19 +35,15 @@ def split_features(features: DataFrame, shares: tuple[float, float] = (0.8, 0.1)
 
 def fit(features: DataFrame, detectors: tuple[str, ...] = ("isolation_forest", "autoencoder"),
         contamination: float = 0.1, width: str = "10 minutes") -> State:
-    """Baseline, scaler and detectors from training windows; a detector short of rows is skipped."""
+    """Baseline, scaler and detectors from training windows; a detector that can't be fitted raises."""
     scaler = B.fit_scaler(features, WINDOW_FEATURES)
     state = State(B.fit_baseline(features), scaler, width=width)
     scaled = B.scale(features, scaler, WINDOW_FEATURES)
     for name in detectors:
-        try:
-            model = _fit_one(name, scaled)
-        except ValueError:
-            continue
+        model = _fit_one(name, scaled)
         state.models[name] = model
-        state.limits[name] = _score_one(name, scaled, model).agg(
-            F.percentile("anomaly_score", F.lit(1 - contamination)).alias("limit")
-        )
+        own = _train_scores(name, scaled, model)
+        state.limits[name] = exact_quantiles(own, ["anomaly_score"], [1 - contamination]).select(F.col("value").alias("limit"))
     return state
 
 
@@ -56,8 +52,8 @@ def _fit_one(name: str, scaled: DataFrame):
         return iforest.fit(scaled, WINDOW_FEATURES, WINDOW)
     if name == "autoencoder":
         return pca_recon.fit(scaled, WINDOW_FEATURES)
-    if name in ("lof", "copod"):
-        return name
+    if name in ("lof", "copod"):  # the fitted state of both is the training windows
+        return materialize(scaled.select(WINDOW, *WINDOW_FEATURES), f"{name}_train")
     raise KeyError(f"unknown detector {name!r}")
 
 
@@ -66,9 +62,16 @@ def _score_one(name: str, scaled: DataFrame, model) -> DataFrame:
         return iforest.score(scaled, model)
     if name == "autoencoder":
         return pca_recon.score(scaled, model)
+    if name == "lof":
+        return lof.score_new(scaled, model, WINDOW_FEATURES)
+    return scaled.join(copod.score_new(scaled, model, WINDOW_FEATURES, WINDOW), WINDOW)
+
+
+def _train_scores(name: str, scaled: DataFrame, model) -> DataFrame:
+    """Scores of the training windows themselves; for the outlier factor each against the others."""
     if name == "lof":
         return lof.score(scaled, WINDOW_FEATURES)
-    return scaled.join(copod.score(scaled, WINDOW_FEATURES, WINDOW), WINDOW)
+    return _score_one(name, scaled, model)
 
 
 def score_model(features: DataFrame, state: State, name: str) -> DataFrame:
@@ -126,7 +129,7 @@ def save(state: State, path: str, mode: str = "errorifexists") -> None:
         return v.tolist() if isinstance(v, np.ndarray) else v
 
     models = [
-        (name, json.dumps({k: plain(v) for k, v in asdict(m).items()} if not isinstance(m, str) else m))
+        (name, json.dumps({k: plain(v) for k, v in asdict(m).items()} if not isinstance(m, DataFrame) else None))
         for name, m in state.models.items()
     ]
     tables = {
@@ -137,6 +140,8 @@ def save(state: State, path: str, mode: str = "errorifexists") -> None:
     }
     for name, limit in state.limits.items():
         tables[f"limit_{name}"] = limit
+        if isinstance(state.models[name], DataFrame):
+            tables[f"train_{name}"] = state.models[name]
     save_state(tables, path, mode)
 
 
@@ -157,7 +162,7 @@ def load(spark, path: str) -> State:
         elif row["name"] == "autoencoder":
             model = pca_recon.Fitted(**values)
         else:
-            model = values
+            model = tables[f"train_{row['name']}"]
         state.models[row["name"]] = model
         state.limits[row["name"]] = tables[f"limit_{row['name']}"]
     return state

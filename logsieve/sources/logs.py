@@ -7,16 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.parsing import parse_lines
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a source that comes in fewer pieces than there are cores to all of them.
-
-    A file that cannot be split is read by one task, which would then also do all the parsing.  A source
-    of many files or splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 def _clean(value):
     """Drop bytes that are not UTF-8; valid text is left alone."""
     repaired = F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit(""))

@@ -265,14 +265,8 @@ def q_stream_row_severity(spark, sf):
 # ---- filters ---------------------------------------------------------------------------------------
 
 def q_split_classes(spark, sf):
-    logs = event_logs(spark, sf)
-    sides = [
-        splits.normal_rows(logs).withColumn("side", F.lit("normal")),
-        splits.error_rows(logs).withColumn("side", F.lit("error")),
-        splits.normal_rows(logs, "strict").withColumn("side", F.lit("strict_normal")),
-        splits.error_rows(logs, "strict").withColumn("side", F.lit("strict_error")),
-    ]
-    return reduce(DataFrame.unionByName, sides).groupBy("side", "level").agg(F.count("*").alias("n"))
+    # each row is tagged with its sides: one pass over the text
+    return splits.with_sides(event_logs(spark, sf)).groupBy("side", "level").agg(F.count("*").alias("n"))
 
 
 # ---- aggregates ------------------------------------------------------------------------------------
@@ -350,7 +344,7 @@ def q_scaled_features(spark, sf):
 
 def q_flag_top(spark, sf):
     rows = scored_rows(spark, sf)
-    return B.flag_top(rows, rows, "s_special", exact_rows=True).select("line_number", "is_anomaly")
+    return B.flag_top(rows, rows, "s_special").select("line_number", "is_anomaly")
 
 
 def q_window_labels(spark, sf):

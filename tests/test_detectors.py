@@ -32,7 +32,7 @@ def test_isolation_forest(planted):
     assert 0 < ends[0] < ends[1] < 1
     again = iforest.fit(planted.repartition(2), COLS, "id")
     assert np.array_equal(model.threshold, again.threshold)
-    flagged = B.flag_top(scored, scored, exact_rows=True).agg(F.sum("is_anomaly")).first()[0]
+    flagged = B.flag_top(scored, scored).agg(F.sum("is_anomaly")).first()[0]
     assert flagged == 102
 
 
@@ -182,3 +182,29 @@ def test_sequence_classifier(spark):
     fitted = seq_classifier.fit(train, 5)
     scored = {r["sequence_index"]: r["anomaly_score"] for r in seq_classifier.score(train, fitted).collect()}
     assert min(scored[s] for s in range(60, 70)) > 0.5 > max(scored[s] for s in range(0, 50))
+
+
+def test_copod_and_lof_score_new_rows_against_training(planted):
+    """New rows never change each other's scores: a batch scored alone equals its rows scored together."""
+    train, new = planted.filter("id < 900"), planted.filter("id >= 900")
+    rows = copod.score_new(new, train, COLS, "id").orderBy("id").collect()
+    alone = copod.score_new(new.filter("id = 1010"), train, COLS, "id").first()["anomaly_score"]
+    assert [r["anomaly_score"] for r in rows if r["id"] == 1010] == [alone]
+    x = np.array([[r[c] for c in COLS] for r in planted.orderBy("id").collect()])
+    assert np.allclose([r["anomaly_score"] for r in rows], brute_copod(x, x[:900])[900:])
+    for limits in ({}, {"broadcast_points": 10, "cell_points": 100}):
+        got = {r["id"]: r["anomaly_score"] for r in lof.score_new(new, train, COLS, 10, **limits).collect()}
+        for i in (905, 950, 1010):  # by definition, from brute-force distances to the training rows
+            want = brute_new_lof(x[:900], x[i], 10)
+            assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
+def brute_new_lof(train, row, k):
+    d = np.sqrt(((train[:, None] - train[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    k_dist = np.take_along_axis(d, near, 1)[:, -1]
+    lrd = 1 / (np.maximum(np.take_along_axis(d, near, 1), k_dist[near]).mean(1) + 1e-10)
+    own = np.sqrt(((train - row) ** 2).sum(-1))
+    mine = np.argsort(own, kind="stable")[:k]
+    return lrd[mine].mean() * (np.maximum(own[mine], k_dist[mine]).mean() + 1e-10)

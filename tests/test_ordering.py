@@ -140,3 +140,11 @@ def test_row_level_plans_have_no_single_task(spark):
     assert plan.count("SinglePartition") <= 1
     frames = plan_of(Q.sequences(numbered(spark, 100), "v", 15))
     assert "SinglePartition" not in frames and "CartesianProduct" not in frames
+
+
+def test_rows_without_a_time_come_last(spark):
+    rows = [("2025-01-01 00:00:02", "a", 1), (None, "b", 2), ("2025-01-01 00:00:01", "a", 3), (None, "a", 9), (None, "a", 4)]
+    logs = spark.createDataFrame(rows, "t string, file_path string, line_number long").selectExpr(
+        "cast(t as timestamp_ntz) as timestamp", "file_path", "line_number")
+    got = [r["line_number"] for r in O.index_logs(logs).orderBy("idx").collect()]
+    assert got == [3, 1, 4, 9, 2]
