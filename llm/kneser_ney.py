@@ -208,14 +208,15 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_r
     for i, name in enumerate(langs):
         code = F.when(F.col("lang").eqNullSafe(F.lit(name)), F.lit(i)).otherwise(code)
     rows = docs.select("doc_id", "lang", code.cast("int").alias("l"), F.coalesce("text", F.lit("")).alias("text"))
-    trusted = rows.filter("text <> ''").join(good, F.col("doc_id") == F.col("_id"), "left_semi").select("l", "text")
+    # a merge hint: one plan at every size, with even growth, instead of a broadcast while the labels are few
+    trusted = rows.filter("text <> ''").join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").select("l", "text")
     seen, back = model(trusted, order)
     have = [r["l"] for r in seen[0].select("l").distinct().collect()]
     which = F.when(F.col("l").isin([x for x in have if x != POOL]), F.col("l")).otherwise(F.lit(POOL)) if have else F.lit(POOL)
     scored = perplexities(rows.withColumn("m", which.cast("int")).select("doc_id", "lang", "m", "text"), seen, back, broadcast_rows)
     ppl = F.when((F.col("length") > 0) & F.lit(bool(have)), F.exp(-F.col("logp") / (F.col("length") + 1)))
     scored = stored(scored.select("doc_id", "lang", "m", F.col("length").alias("n_bytes"), ppl.alias("perplexity")), "scores")
-    sure = scored.join(good, F.col("doc_id") == F.col("_id"), "left_semi").filter("perplexity is not null")
+    sure = scored.join(good.hint("merge"), F.col("doc_id") == F.col("_id"), "left_semi").filter("perplexity is not null")
     both = sure.select("m", "perplexity").union(sure.select(F.lit(POOL).alias("m"), "perplexity"))
     quantiles = both.groupBy("m").agg(F.percentile_approx("perplexity", [0.5, 0.9], 10000).alias("q"))
     limits = stored(quantiles.select("m", (F.col("q")[0] + SPREAD * (F.col("q")[1] - F.col("q")[0])).alias("threshold")), "limits")
