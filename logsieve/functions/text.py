@@ -47,5 +47,10 @@ def lookup(table: dict[str, int | str]) -> Column:
 
 
 def stable_bucket(col: Column, buckets: int = 1000) -> Column:
-    """Hash bucket that is the same in every session, so fitted models can be reused."""
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
+    """Hash bucket that is the same in every session and engine, so fitted models can be reused."""
+    return (hash_number(col) % buckets).cast("int")
+
+
+def hash_number(col: Column) -> Column:
+    """The first 32 bits of the MD5 digest."""
+    return F.conv(F.left(F.md5(col), F.lit(8)), 16, 10).cast("long")

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_local: list[str] = []  # the folder of a local session without the setting
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,10 +25,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="logsieve-")
-    atexit.register(shutil.rmtree, local, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="logsieve-"))
+        atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+    return _local[0]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

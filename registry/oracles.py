@@ -23,6 +23,10 @@ def n(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 
 
+def bucket(col: str, name: str) -> str:
+    return f"round(('0x' || left(md5({col}), 8))::BIGINT % 1000 / 1000.0::DOUBLE, 6) + 0.0 AS {name}"
+
+
 def has(col: str, words: list[str]) -> str:
     return "(" + " OR ".join("contains({}, '{}')".format(col, w.replace("'", "''")) for w in words) + ")"
 
@@ -489,6 +493,22 @@ def oracle_sql() -> dict[str, str]:
             lrd AS MATERIALIZED (SELECT p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (o) GROUP BY p)
             SELECT {ts('near.p', 'time_window')}, round(avg(x.lrd) / any_value(y.lrd), 6) AS anomaly_score FROM near JOIN lrd x ON x.p = near.o JOIN lrd y ON y.p = near.p GROUP BY near.p""",
     }
+    sql["hash_features"] = LOGS + f" SELECT {n('line_number', 'line_number')}, {bucket('class_path', 'class_bucket')}, {bucket('thread', 'thread_bucket')}, {bucket('message', 'message_code')} FROM logs"
+    sql["sample_random"] = LOGS + f" SELECT {n('line_number', 'line_number')}, level FROM logs ORDER BY md5(line_number || ':42'), line_number LIMIT 300"
+    sql["copod_new"] = WIDE + f""", cells AS MATERIALIZED (SELECT time_window AS key, pos AS dim, value, split = 'train' AS tr FROM ({melt('parted', 'time_window', 'split')})),
+        tot AS (SELECT dim, count(*) AS t, avg(value) AS m FROM cells WHERE tr GROUP BY dim),
+        sk AS (SELECT dim, avg((value - m) ** 2) AS m2, avg((value - m) ** 3) AS m3 FROM cells JOIN tot USING (dim) WHERE tr GROUP BY dim),
+        ask AS (SELECT c.key, c.dim, c.value, t, m2, m3, (SELECT count(*) FROM cells x WHERE x.tr AND x.dim = c.dim AND x.value <= c.value) AS lo,
+          (SELECT count(*) FROM cells x WHERE x.tr AND x.dim = c.dim AND x.value >= c.value) AS hi FROM cells c JOIN tot USING (dim) JOIN sk USING (dim) WHERE NOT tr),
+        tl AS (SELECT key, -ln(greatest(lo, 1) / t) AS l, -ln(greatest(hi, 1) / t) AS r, m2 > 0 AND m3 < 0 AS neg FROM ask)
+        SELECT {ts('key', 'time_window')}, round(greatest(sum(l), sum(r), sum(CASE WHEN neg THEN l ELSE r END)), 6) + 0.0 AS anomaly_score FROM tl GROUP BY key"""
+    sql["lof_new"] = SCALED.replace("{0}", "WHERE split = 'train'") + f""", side AS (SELECT s.*, p.split = 'train' AS tr FROM scaled s JOIN parted p USING (time_window)),
+        pairs AS (SELECT a.time_window AS p, b.time_window AS o, a.tr, sqrt({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in FEATURES)}) AS d
+        FROM side a JOIN side b ON a.time_window <> b.time_window AND b.tr),
+        near AS MATERIALIZED (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY p ORDER BY d, o) <= 20),
+        kd AS (SELECT p AS o, max(d) AS kd FROM near WHERE tr GROUP BY p),
+        lrd AS MATERIALIZED (SELECT p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (o) GROUP BY p)
+        SELECT {ts('near.p', 'time_window')}, round(avg(x.lrd) / any_value(y.lrd), 6) AS anomaly_score FROM near JOIN lrd x ON x.p = near.o JOIN lrd y ON y.p = near.p WHERE NOT near.tr GROUP BY near.p"""
     sql["text_source"] = LOGS + f" SELECT {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, is_error FROM logs"
     sql["parsed_table"] = nested("is_error", "true").replace("SELECT CAST(line_number AS BIGINT) AS line_number,", ", z AS (SELECT level, is_error,") + f") SELECT level, is_error, {n('count(*)', 'n')} FROM z WHERE split = 'valid' GROUP BY ALL"
     sql["csv_report"] = sql["level_distribution"]

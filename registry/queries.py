@@ -697,6 +697,19 @@ def q_copod(spark, sf):
     return copod.score(O.materialize(features(spark, sf), "features"), NUMERIC, W.WINDOW)
 
 
+def q_copod_new(spark, sf):
+    """Later windows against the distribution of the training windows alone."""
+    parted = O.materialize(split_windows(spark, sf), "features")
+    return copod.score_new(parted.filter("split <> 'train'"), train_windows(parted), NUMERIC, W.WINDOW)
+
+
+def q_lof_new(spark, sf):
+    """Later windows against neighbours and densities of the training windows alone."""
+    parted = O.materialize(split_windows(spark, sf), "features")
+    scaled = B.scale(parted, B.fit_scaler(train_windows(parted), NUMERIC), NUMERIC)
+    return lof.score_new(scaled.filter("split <> 'train'"), train_windows(scaled), NUMERIC).select(W.WINDOW, "anomaly_score")
+
+
 def q_lof(spark, sf):
     parted = split_windows(spark, sf)
     scaled = B.scale(parted, B.fit_scaler(parted, NUMERIC), NUMERIC)
