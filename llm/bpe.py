@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 NONE = 1 << 62
-KEEP = 500_000
-SLICE = 16 << 20
+KEEP = 400_000
+SLICE = 8 << 20
 #: Letters, then signs that form one piece: lower case and nothing else to normalise.
 PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
 
@@ -65,7 +65,7 @@ class Bpe:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         #: capitals matter only next to combining marks, and in the names of added tokens
         self.as_written = "|".join(["[\u0300-\u036f]", *(f"(?i:{re.escape(a)})" for a in added)])
-        library = Tokenizer.from_file(path)
+        self.library = library = Tokenizer.from_file(path)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.names = {i: t for t, i in {**self.vocab, **added}.items()}
         top = max(self.names) + 1

@@ -28,6 +28,7 @@ from llm.common import scratch_path, stored
 
 END = 1
 BLOCK_DOCS = 2048
+ASKED = 2000  # texts in one call of the library, which bounds the memory of its answers
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
@@ -35,10 +36,8 @@ class LibraryBpe(Bpe):
     """Pieces are encoded by the tokenizers library itself."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__(path)
-        self.library = Tokenizer.from_file(path)
+        self.ranks = {}  # merging is the library's work here
         self.library.no_truncation()
         self.library.no_padding()
 
@@ -55,13 +54,14 @@ class LibraryBpe(Bpe):
                         words.add(word)
                 else:
                     others.append(r)
-        asked = [*words, *others]
-        for k, e in enumerate(self.library.encode_batch_fast(asked, add_special_tokens=False)):
-            where = self.pieces if k < len(words) else self.runs
-            if len(asked[k]) <= 64:
-                if len(where) >= KEEP:
-                    where.clear()
-                where[asked[k]] = b"".join([i.to_bytes(4, "little") for i in e.ids])
+        for asked, where in ((list(words), self.pieces), (others, self.runs)):
+            for at in range(0, len(asked), ASKED):
+                part = asked[at : at + ASKED]
+                for text, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                    if len(text) <= 64:
+                        if len(where) >= KEEP:
+                            where.clear()
+                        where[text] = np.array(e.ids, "<u4").tobytes()
 
 
 @functools.lru_cache(2)
