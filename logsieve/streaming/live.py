@@ -1,7 +1,8 @@
 """Window features, alerts and row severity on a stream of log lines.
 
 Lines that arrive after the watermark has passed their window are dropped; batch analysis has no such
-rule.  A window is emitted once, when it is closed.
+rule.  A window is emitted once, when it is closed.  ``open_window_features`` gives the windows that a run which
+has come to the end of its input leaves open.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.parsing import parse_lines
 from ..functions.severity import with_severity
 from ..operators.baseline import error_spikes, zscore_anomalies
-from ..operators.windows import WINDOW, WINDOW_FEATURES
+from ..operators.windows import WINDOW, WINDOW_FEATURES, window_features, with_window
 from ..functions.text import stable_bucket
 
 
@@ -99,6 +100,13 @@ def window_features_stream(logs: DataFrame, width: str = "10 minutes", late: str
     )
 
 
+def open_window_features(logs: DataFrame, width: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Batch features of the windows that the watermark has not passed at the end of the input."""
+    mark = logs.agg((F.max("timestamp") - F.expr(f"interval {late}")).alias("mark")).first()["mark"]
+    still = F.col(WINDOW) + F.expr(f"interval {width}") > F.lit(mark).cast("timestamp_ntz")
+    return window_features(with_window(logs, width).filter(still).drop(WINDOW), width)
+
+
 def alerts(features: DataFrame, baseline: DataFrame, threshold: float = 3.0, multiplier: float = 5.0) -> dict[str, DataFrame]:
     """Z-score and error-spike alerts of streamed features against a fixed baseline table."""
     return {

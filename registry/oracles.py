@@ -381,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_lines": LOGS + f" SELECT {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, file_path, {n('line_number', 'line_number')}, is_error, {n('message_length', 'message_length')}, has_exception FROM logs",
         "calendar_fields": LOGS + f" SELECT {n('line_number', 'line_number')}, {n('hour(timestamp)', 'hour')}, {n('minute(timestamp)', 'minute')}, strftime(timestamp, '%Y-%m-%d') AS date, {ts('''time_bucket(INTERVAL '10 minutes', timestamp)''', 'time_window')} FROM logs",
         "message_stats": LOGS + f" SELECT level, is_error, has_exception, {n('count(*)', 'n')}, {r6('avg(message_length)', 'avg_length')}, {n('max(message_length)', 'max_length')} FROM logs GROUP BY ALL",
-        "read_limits": LOGS + f" SELECT file_path, {n('line_number', 'line_number')}, level FROM logs ORDER BY file_path, line_number LIMIT 500",
+        "read_limits": LOGS + f" SELECT {n('k', 'line_number')}, {ts('timestamp', 'timestamp')}, level, message FROM (SELECT *, row_number() OVER (ORDER BY line_number) AS k FROM logs WHERE file_path LIKE '%-01.log') WHERE k <= 30",
         "template_extract": LOGS + f" SELECT template, {n('count(*)', 'n')} FROM logs GROUP BY template",
         "template_specific_first": LOGS + f""" SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
             '\\d{{4}}-\\d{{2}}-\\d{{2}}[\\sT]\\d{{2}}:\\d{{2}}:\\d{{2}}', '*', 'g'), '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '*', 'g'),
@@ -512,9 +512,9 @@ def oracle_sql() -> dict[str, str]:
     sql["text_source"] = LOGS + f" SELECT {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, is_error FROM logs"
     sql["parsed_table"] = nested("is_error", "true").replace("SELECT CAST(line_number AS BIGINT) AS line_number,", ", z AS (SELECT level, is_error,") + f") SELECT level, is_error, {n('count(*)', 'n')} FROM z WHERE split = 'valid' GROUP BY ALL"
     sql["csv_report"] = sql["level_distribution"]
-    closed = "time_window + INTERVAL '6 hours' <= (SELECT max(date_trunc('millisecond', ts)) FROM events) - INTERVAL '10 minutes'"
-    sql["stream_window_features"] = sql["window_features_wide"] + f" WHERE {closed}"
-    sql["stream_error_spikes"] = sql["error_spikes"] + f" WHERE {closed}"
+    sql["stream_window_features"] = sql["window_features_wide"]
+    sql["stream_error_spikes"] = sql["error_spikes"]
+    sql["stream_zscore"] = sql["zscore_anomalies"]
     sql["stream_row_severity"] = LOGS + severity("logs") + f" SELECT {n('line_number', 'line_number')}, {n('severity_score', 'severity_score')}, severity_level FROM sev"
     sql["template_vectors"] = LOGS + tfidf("(SELECT * FROM logs WHERE NOT is_error)") + f""", e AS (SELECT template, count(*) AS c FROM vec GROUP BY 1)
         SELECT is_error, {n('count(*)', 'n')}, {n('sum(coalesce(c, 0))', 'entries')} FROM logs LEFT JOIN e USING (template) GROUP BY is_error"""

@@ -136,8 +136,13 @@ def q_message_stats(spark, sf):
 
 
 def q_read_limits(spark, sf):
-    logs = event_logs(spark, sf)
-    return logs.orderBy("file_path", "line_number").limit(500).select("file_path", "line_number", "level")
+    """The first physical lines of each file, and of those the first parsed rows, through the reader itself."""
+    path = f"{scratch.scratch_dir(spark)}/logsieve/limits-{uuid.uuid4().hex}"
+    lines = event_lines(table(spark, sf, "events")).withColumn("day", F.regexp_extract("file_path", r"(\d+)\.log", 1))
+    # one file per day, in the order of the lines
+    lines.repartition("day").sortWithinPartitions("day", "line_number").select("day", "value").write.partitionBy("day").text(path)
+    logs = read_logs(spark, f"{path}/day=01", sample_lines=40, max_total_lines=30, pattern="part-*")
+    return logs.select("line_number", "timestamp", "level", "message")
 
 
 def q_template_extract(spark, sf):
@@ -249,12 +254,24 @@ def run_stream(spark, sf, make):
 
 
 def q_stream_window_features(spark, sf):
-    return run_stream(spark, sf, lambda logs: live.window_features_stream(logs, WIDE)).drop("top_class_hash")
+    closed = run_stream(spark, sf, lambda logs: live.window_features_stream(logs, WIDE))
+    return closed.unionByName(live.open_window_features(event_logs(spark, sf), WIDE)).drop("top_class_hash")
 
 
 def q_stream_error_spikes(spark, sf):
     base = B.fit_baseline(train_windows(split_windows(spark, sf)), ["error_rate"])
-    return run_stream(spark, sf, lambda logs: B.error_spikes(live.window_features_stream(logs, WIDE), base))
+    closed = run_stream(spark, sf, lambda logs: B.error_spikes(live.window_features_stream(logs, WIDE), base))
+    return closed.unionByName(B.error_spikes(live.open_window_features(event_logs(spark, sf), WIDE), base))
+
+
+def q_stream_zscore(spark, sf):
+    base = B.fit_baseline(train_windows(split_windows(spark, sf)), NUMERIC)
+
+    def alerts(features):
+        return B.zscore_anomalies(features, base, cols=NUMERIC).select(W.WINDOW, "anomaly_score", "reasons")
+
+    closed = run_stream(spark, sf, lambda logs: alerts(live.window_features_stream(logs, WIDE)))
+    return closed.unionByName(alerts(live.open_window_features(event_logs(spark, sf), WIDE)))
 
 
 def q_stream_row_severity(spark, sf):
