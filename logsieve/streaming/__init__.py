@@ -2,6 +2,7 @@
 
 from .live import (  # noqa: F401
     alerts,
+    open_window_features,
     read_log_stream,
     row_severity,
     score_batches,

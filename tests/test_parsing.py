@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from logsieve.functions import parsing
 from logsieve.functions.templates import template, terms
 
-HEAD = "2025-07-02 15:59:36.514  INFO 12185 --- [           main] k.r.Application : Starting"
+HEAD = "2024-03-09 07:08:09.010  INFO 4711 --- [   worker-3] org.sample.Engine : Starting"
 
 
 def parse(spark, *lines):
@@ -15,9 +15,9 @@ def parse(spark, *lines):
 
 def test_fields(spark):
     row = parse(spark, HEAD)[0]
-    assert row["timestamp"] == datetime(2025, 7, 2, 15, 59, 36, 514000)
-    assert (row["level"], row["pid"], row["thread"]) == ("INFO", "12185", "main")
-    assert (row["class_path"], row["message"], row["message_length"]) == ("k.r.Application", "Starting", 8)
+    assert row["timestamp"] == datetime(2024, 3, 9, 7, 8, 9, 10000)
+    assert (row["level"], row["pid"], row["thread"]) == ("INFO", "4711", "worker-3")
+    assert (row["class_path"], row["message"], row["message_length"]) == ("org.sample.Engine", "Starting", 8)
     assert not row["is_error"] and not row["has_exception"]
 
 
