@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import materialize
 from .evaluate import classification_metrics, roc_auc
 
 EPS = 1e-8
@@ -30,16 +31,17 @@ def all_votes(preds: list[str]) -> Column:
 
 def min_max(df: DataFrame, scores: list[str], prefix: str = "n_") -> DataFrame:
     """Scores scaled to 0..1; a score with negative values is turned around first."""
-    ends = df.select(F.struct(
-        *[F.min(c).alias(f"{c}_lo") for c in scores], *[F.max(c).alias(f"{c}_hi") for c in scores]
-    )).scalar()
+    # one row of ends, read once: they become constants of the plan
+    ends = df.agg(*[f(c).cast("double").alias(f"{c}_{k}") for c in scores for k, f in (("lo", F.min), ("hi", F.max))]).first()
 
     def scaled(c: str) -> Column:
-        lo, hi = F.col(f"_ends.{c}_lo"), F.col(f"_ends.{c}_hi")
-        down = (hi - F.col(c)) / (hi - lo + EPS)
-        return F.when(lo < 0, down).otherwise((F.col(c) - lo) / (hi - lo + EPS))
+        lo, hi = ends[f"{c}_lo"], ends[f"{c}_hi"]
+        if lo is None:
+            return F.lit(None).cast("double")
+        width = F.lit(hi) - F.lit(lo) + F.lit(EPS)
+        return (F.lit(hi) - F.col(c)) / width if lo < 0 else (F.col(c) - F.lit(lo)) / width
 
-    return df.withColumn("_ends", ends).withColumns({f"{prefix}{c}": scaled(c) for c in scores}).drop("_ends")
+    return df.withColumns({f"{prefix}{c}": scaled(c) for c in scores})
 
 
 def ensemble_score(
@@ -113,6 +115,7 @@ def compare_with_ensembles(
 ) -> DataFrame:
     """Metrics of the single models and of the ensembles; the weighted one uses F1 shares."""
     scores, preds = [s for s, _ in models.values()], [p for _, p in models.values()]
+    df = materialize(df.select(y, *dict.fromkeys([*scores, *preds])), "scored")  # read by every step below
     by_score = F.create_map(*[F.lit(x) for name, (s, _) in models.items() for x in (name, s)])
     voted, entries = df, dict(models)
     for method in methods:

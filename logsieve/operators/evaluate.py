@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import materialize
 from .ordering import lay_out, running_sums
 
 # Quality targets and weights of the overall total.
@@ -109,12 +110,14 @@ def best_threshold(
 
     Thresholds that put all rows on one side or miss a minimum do not count, the first of equals wins;
     0.5 with empty metrics if none is left.  Each row falls into the slot of the last threshold it
-    reaches: one aggregation of the data, the rest works on ``steps`` rows.
+    reaches: the data is read once, into counts per score; the rest works on those and on ``steps`` rows.
     """
-    value = F.col(score).cast("double")
-    ends = df.select(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("e"))
-    lo, hi = F.col("_e.lo"), F.col("_e.hi")
-    gap = (hi - lo) / (steps - 1)
+    counted = materialize(df.select(F.col(score).cast("double").alias("_v"), F.col(y).alias("_y")).groupBy("_v").agg(
+        F.count_if(F.col("_y") == 1).alias("pos"), F.count_if(F.col("_y") != 1).alias("neg")), "scores")
+    low, high = counted.agg(F.min("_v"), F.max("_v")).first()
+    value = F.col("_v")
+    lo, hi = F.lit(low).cast("double"), F.lit(high).cast("double")
+    gap = F.lit(None if low is None else (high - low) / (steps - 1)).cast("double")
 
     def at(k: Column) -> Column:
         return F.when(k == steps - 1, hi).otherwise(lo + k * gap)
@@ -127,14 +130,12 @@ def best_threshold(
         .otherwise(guess)
     )
     slots = (
-        df.withColumn("_e", ends.scalar())
-        .groupBy(slot.alias("slot"))
-        .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"), F.first("_e").alias("_e"))
+        counted.groupBy(slot.alias("slot")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     # ``steps`` rows at most: gather them into one row and unfold the thresholds from it
     gathered = slots.agg(
         F.collect_list(F.struct("slot", "pos", "neg")).alias("s"),
-        F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.first("_e").alias("_e"),
+        F.sum("pos").alias("p"), F.sum("neg").alias("n"),
     )
 
     def reached(field: str) -> Column:
