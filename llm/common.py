@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+written: list[str] = []  # scratch tables of this process
 _local: dict[str, str] = {}  # the temporary folder of a local session
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -35,9 +36,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared scratch folder and read it back: the lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int | None = None) -> DataFrame:
     """Join with a table that is expected to be small; it is counted, and broadcast only up to BROADCAST_ROWS.
 
