@@ -509,7 +509,8 @@ def oracle_sql() -> dict[str, str]:
         kd AS (SELECT p AS o, max(d) AS kd FROM near WHERE tr GROUP BY p),
         lrd AS MATERIALIZED (SELECT p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (o) GROUP BY p)
         SELECT {ts('near.p', 'time_window')}, round(avg(x.lrd) / any_value(y.lrd), 6) AS anomaly_score FROM near JOIN lrd x ON x.p = near.o JOIN lrd y ON y.p = near.p WHERE NOT near.tr GROUP BY near.p"""
-    sql["text_source"] = LOGS + f" SELECT {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, is_error FROM logs"
+    sql["text_source"] = LOGS + f" SELECT {n('row_number() OVER (PARTITION BY file_path ORDER BY line_number)', 'line_number')}, {ts('timestamp', 'timestamp')}, level, pid, thread, class_path, message, is_error FROM logs"
+    sql["detect_new"] = sql["error_spikes"] + " WHERE time_window IN (SELECT time_window FROM parted WHERE split = 'test')"
     sql["parsed_table"] = nested("is_error", "true").replace("SELECT CAST(line_number AS BIGINT) AS line_number,", ", z AS (SELECT level, is_error,") + f") SELECT level, is_error, {n('count(*)', 'n')} FROM z WHERE split = 'valid' GROUP BY ALL"
     sql["csv_report"] = sql["level_distribution"]
     sql["stream_window_features"] = sql["window_features_wide"]

@@ -135,13 +135,17 @@ def q_message_stats(spark, sf):
     )
 
 
-def q_read_limits(spark, sf):
-    """The first physical lines of each file, and of those the first parsed rows, through the reader itself."""
-    path = f"{scratch.scratch_dir(spark)}/logsieve/limits-{uuid.uuid4().hex}"
+def day_files(spark, sf):
+    """Folder with one text file per day, in the order of the lines."""
+    path = f"{scratch.scratch_dir(spark)}/logsieve/days-{uuid.uuid4().hex}"
     lines = event_lines(table(spark, sf, "events")).withColumn("day", F.regexp_extract("file_path", r"(\d+)\.log", 1))
-    # one file per day, in the order of the lines
     lines.repartition("day").sortWithinPartitions("day", "line_number").select("day", "value").write.partitionBy("day").text(path)
-    logs = read_logs(spark, f"{path}/day=01", sample_lines=40, max_total_lines=30, pattern="part-*")
+    return path
+
+
+def q_read_limits(spark, sf):
+    """The first physical lines of each file, and of those the first parsed rows, through the reader itself."""
+    logs = read_logs(spark, f"{day_files(spark, sf)}/day=01", sample_lines=40, max_total_lines=30, pattern="part-*")
     return logs.select("line_number", "timestamp", "level", "message")
 
 
@@ -219,11 +223,20 @@ def q_risk_score_rows(spark, sf):
 # ---- files and streams -----------------------------------------------------------------------------
 
 def q_text_source(spark, sf):
-    """Log lines written as text files and scanned back."""
-    path = f"{scratch.scratch_dir(spark)}/logsieve/text-{uuid.uuid4().hex}"
-    event_lines(table(spark, sf, "events")).select("value").repartition(4).write.text(path)
-    logs = read_logs(spark, path, pattern="*.txt")
-    return logs.select("timestamp", "level", "pid", "thread", "class_path", "message", "is_error")
+    """Log lines written as one text file a day and scanned back, with their numbers within the file."""
+    logs = read_logs(spark, day_files(spark, sf), pattern="part-*")
+    return logs.select("line_number", "timestamp", "level", "pid", "thread", "class_path", "message", "is_error")
+
+
+def q_detect_new(spark, sf):
+    """Fitted state saved, loaded again, and applied to the later log lines: their error spikes."""
+    logs = event_logs(spark, sf)
+    parted = split_windows(spark, sf)
+    path = f"{scratch.scratch_dir(spark)}/logsieve/state-{uuid.uuid4().hex}"
+    window_plan.save(window_plan.fit(train_windows(parted), (), width=WIDE), path)
+    start = parted.filter("split = 'test'").agg(F.min(W.WINDOW)).first()[0]
+    later = logs.filter(F.col("timestamp") >= F.lit(start))
+    return window_plan.detect_new(later, window_plan.load(spark, path))["error_spikes"]
 
 
 def q_parsed_table(spark, sf):
