@@ -644,7 +644,8 @@ def q_model_comparison(spark, sf):
 
 
 def q_row_model_comparison(spark, sf):
-    return row_plan.evaluate(row_plan.prepare(event_logs(spark, sf)))
+    models = ("isolation_forest", "autoencoder", "lof", "copod")
+    return row_plan.evaluate(row_plan.prepare(event_logs(spark, sf)), models)
 
 
 # ---- ensembles and overlaps ------------------------------------------------------------------------
