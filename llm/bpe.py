@@ -26,6 +26,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from llm.bytescan import trim
+
 NONE = 1 << 62
 KEEP = 400_000
 SLICE = 8 << 20
@@ -175,6 +177,8 @@ class Bpe:
             ids = table[np.repeat(start - before[:-1], count) + np.arange(before[-1])]
             yield ids, before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
             at = to
+            del part, lists, runs, distinct, coded, table, place, count, before, start, ids
+            trim()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of the ids (names joined by a blank, as a file without a decoder asks for), in UTF-8."""

@@ -7,6 +7,8 @@ over a fixed random table of byte values, finished with a bit mixer.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -36,6 +38,15 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
 _powers: dict[int, np.ndarray] = {}
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks and stages, their buffers needn't."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only some C libraries have it
+        pass
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64; kept up to 8 M of them."""
     have = _powers.get(int(base), np.ones(1, np.uint64))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.bytescan import texts_of
+from llm.bytescan import texts_of, trim
 from llm.common import join_small, stored
 
 ORDER = 4
@@ -60,6 +60,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1))
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+        trim()
 
 
 def counts(trusted: DataFrame, order: int) -> DataFrame:

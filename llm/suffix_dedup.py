@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.bytescan import Rolling, mix, pack_keys, texts_of, unpack_keys
+from llm.bytescan import Rolling, mix, pack_keys, texts_of, trim, unpack_keys
 
 LENGTH = 200
 PERIOD = 133
@@ -205,6 +205,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", buckets: int | None = No
             for k in range(len(batch)):
                 one = batch.slice(k, 1)
                 yield one, one.select([c for c in one.schema.names if c not in ("rows", "blank")]).to_pylist()[0]
+                trim()
 
     def rank(batches):
         for _, row in each(batches):
