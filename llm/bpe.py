@@ -27,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from llm.bytescan import trim
+from llm.common import small_batches
 
 NONE = 1 << 62
-KEEP = 400_000
-SLICE = 8 << 20
+KEEP = 250_000
+SLICE = 4 << 20
 #: Letters, then signs that form one piece: lower case and nothing else to normalise.
 PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
 
@@ -204,11 +205,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """docs with three columns more: ids (array of int), n_tokens and decoded text; columns of these names are replaced."""
+def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with three columns more: ids (array of int), n_tokens and decoded text; columns of these names are replaced.
+
+    With keep_text=False the text column is left out, and so need not come back from the workers.
+    """
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens", "decoded")
     where, names = path or default_path(), docs.columns
-    schema = docs.selectExpr("*", "cast(null as array<int>) AS ids", "0L AS n_tokens", "'' AS decoded").schema
+    kept = [c for c in names if keep_text or c != text]
+    shown = docs.select(*[f"`{c}`" for c in kept]).selectExpr("*", "cast(null as array<int>) AS ids", "0L AS n_tokens", "'' AS decoded").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
@@ -218,15 +224,16 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None)
                 n = len(ends) - 1
                 told = [bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
-                cols = [*batch.slice(at, n).columns, lists, pa.array(np.diff(ends), pa.int64()), pa.array([t.decode() for t in told], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "ids", "n_tokens", "decoded"])
+                cols = [*batch.select(kept).slice(at, n).columns, lists, pa.array(np.diff(ends), pa.int64()), pa.array([t.decode() for t in told], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, [*kept, "ids", "n_tokens", "decoded"])
                 at += n
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, shown)
 
 
 def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the ids and of the decoded text, without carrying either out of the task."""
+    small_batches(docs.sparkSession)
     where = path or default_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most in this session: a batch is held several times, by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get(name).strip().lower())  # anything else is no bound
+    if not told or int(told[1]) << 10 * " kmgt".index(told[2] or " ") > 8 << 20:
+        spark.conf.set(name, str(8 << 20))
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables that nothing reads any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bytescan import Rolling, mix, pack_keys, texts_of, trim, unpack_keys
+from llm.common import small_batches
 
 LENGTH = 200
 PERIOD = 133
@@ -193,6 +194,7 @@ def _first_keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeated_spans(docs: DataFrame, text: str = "text", buckets: int | None = None) -> DataFrame:
     """The blocks of docs with the removed spans: (rows, data, ends, blank, spans), spans as pairs of byte offsets in the block."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 2 * parts
     packed = blocks(docs, text).repartition(parts, "block")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import KEEP, PLAIN, Bpe, default_path
-from llm.common import scratch_path, stored
+from llm.common import scratch_path, small_batches, stored
 
 END = 1
 BLOCK_DOCS = 2048
@@ -133,6 +133,7 @@ def _ids(blob: bytes, n: int) -> np.ndarray:
 def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None) -> None:
     """Encode docs and write the folder of token files."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = stored(tokenised(docs, key, text, path or default_path()), "tokens")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
