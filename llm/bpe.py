@@ -30,22 +30,21 @@ from llm.bytescan import trim
 from llm.common import small_batches
 
 NONE = 1 << 62
-KEEP = 250_000
 SLICE = 4 << 20
 #: Letters, then signs that form one piece: lower case and nothing else to normalise.
 PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
 class Known(dict):
-    """A table of at most KEEP short keys; what is not there is worked out."""
+    """A table of at most keep short keys; what is not there is worked out."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, keep: int):
+        self.make, self.keep = make, keep
 
     def __missing__(self, key: str) -> bytes:
         got = self.make(key)
         if len(key) <= 64:
-            if len(self) >= KEEP:
+            if len(self) >= self.keep:
                 self.clear()
             self[key] = got
         return got
@@ -54,6 +53,8 @@ class Known(dict):
 class Bpe:
     """The model of a tokenizers JSON file of type BPE with an end-of-word suffix."""
 
+    KEEP = 250_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -74,7 +75,7 @@ class Bpe:
         top = max(self.names) + 1
         self.spelled = [(self.names.get(i, "") + " ").encode() for i in range(top)]
         self.letters = _byte_letters()
-        self.pieces, self.runs = Known(self.piece), Known(self.run)
+        self.pieces, self.runs = Known(self.piece, self.KEEP), Known(self.run, self.KEEP)
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges to the symbols of one piece."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.bpe import KEEP, PLAIN, Bpe, default_path
+from llm.bpe import PLAIN, Bpe, default_path
 from llm.common import scratch_path, small_batches, stored
 
 END = 1
@@ -35,6 +35,8 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 class LibraryBpe(Bpe):
     """Pieces are encoded by the tokenizers library itself."""
 
+    KEEP = 700_000
+
     def __init__(self, path: str):
         super().__init__(path)
         self.ranks = {}  # merging is the library's work here
@@ -59,7 +61,7 @@ class LibraryBpe(Bpe):
                 part = asked[at : at + ASKED]
                 for text, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                     if len(text) <= 64:
-                        if len(where) >= KEEP:
+                        if len(where) >= self.KEEP:
                             where.clear()
                         where[text] = np.array(e.ids, "<u4").tobytes()
 
