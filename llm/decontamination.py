@@ -3,10 +3,11 @@
 A text becomes a sequence of slots: words in lower case without surrounding punctuation, where a number becomes <num>,
 a unit after a number <unit>, and a word with a capital inside a sentence <name>.  Windows of WINDOW slots are hashed
 and joined with the windows of the benchmark items that hold at least PLAIN ordinary words; an item with changed numbers,
-names or units has the same template, so the same windows.  For one alignment (place in the document minus place in
+names or units has the same template, so the same windows.  A second set of windows, over the plain words in lower case,
+finds passages whose slots differ only because their capitals do.  For one alignment (place in the document minus place in
 the item) the slots are consistent when every value of the item stands for one value of the document throughout; else
-the alignment doesn't count.  A document is contaminated by an item if HITS distinct windows of it (all, if it has
-fewer) are found in alignments that count.
+only its windows with the item's own words count.  A document is contaminated by an item if HITS distinct windows of it
+(all, if it has fewer) are found and count.
 
 Defined cases: null or short text has no windows; an item of fewer than WINDOW slots has none and is never found;
 repeated rows are judged alike; an empty table on either side gives no matches; extra columns pass through
@@ -55,25 +56,40 @@ def canonical(text: Column, make) -> Column:
     return _let(raw, one)
 
 
-def windows(hashes: Column) -> Column:
-    """Fingerprint of the WINDOW slots from each place on."""
-    return _let(hashes, lambda h: F.when(
-        F.size(h) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(F.slice(h, i + 1, WINDOW)))
-    ).otherwise(F.array().cast("array<bigint>")))
+def slots_of(text: Column) -> Column:
+    """(t, w) per slot: the slot and its word in lower case."""
+    return canonical(text, lambda t, w: F.struct(t.alias("t"), F.lower(w).alias("w")))
 
 
-def values(text: Column) -> Column:
-    """(t, v) per slot: v is the value of a placeholder, null for an ordinary word."""
-    return canonical(text, lambda t, w: F.struct(t.alias("t"), F.when(F.left(t, F.lit(1)) == "<", F.lower(w)).alias("v")))
+def windows(slots: Column) -> Column:
+    """(template, plain) for the WINDOW slots from each place on: fingerprints of the slots and of the words."""
+    hashes = F.struct(F.transform(slots, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(slots, lambda x: F.xxhash64(x["w"])).alias("w"))
+
+    def one(h: Column) -> Column:
+        def at(i: Column) -> Column:
+            return F.struct(*[F.xxhash64(F.slice(h[c], i + 1, WINDOW)).alias(name) for c, name in (("t", "template"), ("w", "plain"))])
+
+        return F.transform(F.when(F.size(h["t"]) >= WINDOW, F.sequence(F.lit(0), F.size(h["t"]) - WINDOW)).otherwise(F.array().cast("array<int>")), at)
+
+    return _let(hashes, one)
+
+
+def _value(slot: Column) -> Column:
+    """The value of a placeholder, null for an ordinary word."""
+    return F.when(F.left(slot["t"], F.lit(1)) == "<", slot["w"])
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, ipos, key, slots, item_windows): the windows of the items that hold PLAIN ordinary words."""
-    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), values(F.col(text)).alias("s"))
-    found = rows.select("item_id", "s", F.posexplode(windows(F.transform("s", lambda x: F.xxhash64(x["t"])))).alias("ipos", "key"))
-    found = found.withColumn("slots", F.slice("s", F.col("ipos") + 1, WINDOW)).drop("s").filter(
-        F.size(F.filter("slots", lambda x: x["v"].isNull())) >= PLAIN).distinct()
-    many = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("key").alias("item_windows"))
+    """(item_id, ipos, key, slots, plain, item_windows): both fingerprints of the items' windows, where they differ.
+
+    The template of a window without PLAIN ordinary words is too common to be told by; its words still are.
+    """
+    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), slots_of(F.col(text)).alias("s"))
+    found = rows.select("item_id", "s", F.posexplode(windows(F.col("s"))).alias("ipos", "both"))
+    found = found.select("item_id", "ipos", F.slice("s", F.col("ipos") + 1, WINDOW).alias("slots"), "both.template", "both.plain").distinct()
+    plenty = F.size(F.filter("slots", lambda x: _value(x).isNull())) >= PLAIN
+    found = found.select("item_id", "ipos", "slots", "plain", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
+    many = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("plain").alias("item_windows"))
     return found.join(many, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
 
@@ -90,30 +106,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     items = stored(item_windows(benchmark), "items")
     known = items.count()
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    every = rows.select("doc_id", "text_hash", F.posexplode(windows(canonical(F.col("text"), lambda t, w: F.xxhash64(t)))).alias("pos", "key"))
-    hits = every.join(_side(items.drop("slots"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "item_windows").distinct()
+    every = rows.select("doc_id", "text_hash", F.posexplode(_let(slots_of(F.col("text")), windows)).alias("pos", "both"))
+    # null where the words have the fingerprint of the slots; the join drops it
+    told_by = F.array(F.col("both.template"), F.when(F.col("both.plain") != F.col("both.template"), F.col("both.plain")))
+    every = every.select("doc_id", "text_hash", "pos", F.explode(told_by).alias("key"))
+    hits = every.join(_side(items.drop("slots"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
     hits = stored(hits, "hits")
     # enough windows, whatever their slots; then the slots of those documents only
-    enough = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("ipos").alias("n"), F.max("item_windows").alias("item_windows")).filter(
+    enough = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("plain").alias("n"), F.max("item_windows").alias("item_windows")).filter(
         F.col("n") >= F.least(F.lit(HITS), F.col("item_windows"))).select("doc_id", "text_hash", "item_id")
     hits = stored(_same(hits, enough, ["doc_id", "text_hash", "item_id"]), "hits")
     wanted = hits.select("doc_id", "text_hash").distinct()
     few = wanted.count()
     texts = _same(rows, _side(wanted, few), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    told = texts.select("doc_id", "text_hash", values(F.col("text")).alias("s"))
+    told = texts.select("doc_id", "text_hash", slots_of(F.col("text")).alias("s"))
     keys = [F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash")]
-    both = told.join(hits.select(*keys, "pos", "item_id", "ipos", "item_windows"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
-    both = both.select("doc_id", "text_hash", "pos", "item_id", "ipos", "item_windows", F.slice("s", F.col("pos") + 1, WINDOW).alias("mine"))
-    theirs = items.select(F.col("item_id").alias("_item"), F.col("ipos").alias("_ipos"), "slots").dropDuplicates(["_item", "_ipos"])
-    both = both.join(_side(theirs, known), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ipos") == F.col("_ipos")))
-    zipped = F.arrays_zip(F.transform("mine", lambda x: x["v"]).alias("a"), F.transform("slots", lambda x: x["v"]).alias("b"))
-    pairs = F.filter(F.transform(zipped, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))), lambda x: x["b"].isNotNull())
+    both = told.join(hits.select(*keys, "pos", "item_id", "ipos", "plain", "item_windows"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
+    both = both.select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows", F.slice("s", F.col("pos") + 1, WINDOW).alias("mine"))
+    theirs = items.select(F.col("item_id").alias("_item"), F.col("ipos").alias("_ipos"), F.col("plain").alias("_plain"), "slots").dropDuplicates(["_item", "_ipos", "_plain"])
+    both = both.join(_side(theirs, known), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ipos") == F.col("_ipos")) & (F.col("plain") == F.col("_plain")))
+    words = [F.transform(c, lambda x: x["w"]) for c in ("mine", "slots")]
+    both = both.withColumn("verbatim", words[0] == words[1])
+    pairs = F.filter(F.zip_with("mine", "slots", lambda a, b: F.struct(a["w"].alias("a"), _value(b).alias("b"))), lambda x: x["b"].isNotNull())
     lined = both.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.collect_set("ipos").alias("places"), F.max("item_windows").alias("item_windows"),
+        F.collect_set(F.struct("plain", "verbatim")).alias("places"), F.max("item_windows").alias("item_windows"),
         F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))  # at most the slots of one item
-    steady = lined.filter(F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs"))
-    return steady.select("*", F.explode("places").alias("place")).groupBy("doc_id", "text_hash", "item_id").agg(
-        F.countDistinct("place").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"),
+    steady = F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs")
+    counted = lined.select("*", steady.alias("steady"), F.explode("places").alias("place")).filter("steady or place.verbatim")
+    return counted.groupBy("doc_id", "text_hash", "item_id").agg(
+        F.countDistinct("place.plain").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"),
     ).filter(F.col("n_windows") >= F.least(F.lit(HITS), F.col("item_windows")))
 
 

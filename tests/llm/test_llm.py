@@ -215,6 +215,19 @@ def test_decontamination(spark, none):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0
 
 
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.n_windows for r in decontamination.matches(docs, bench).collect()}
+
+
+def test_decontamination_capitals(spark):
+    item = "The river Elbe flows past Dresden and Hamburg before it finally reaches the cold North Sea near Cuxhaven harbour."
+    passage = " ".join(item.split()[2:14])
+    texts = [item.upper(), item.lower(), f"so IT SAID {passage.upper()} as ever", "THE RIVER ELBE FLOWS PAST A TOWN THAT NOBODY KNOWS AND REACHES THE SEA"]
+    assert {d for d, _ in leaks(spark, texts, [item])} == {0, 1, 2}
+
+
 def test_bpe(docs, corpus, none):
     from tokenizers import Tokenizer
 
