@@ -4,18 +4,20 @@ A text becomes a sequence of slots: words in lower case without surrounding punc
 a unit after a number <unit>, and a word with a capital inside a sentence <name>.  Windows of WINDOW slots are hashed
 and joined with the windows of the benchmark items that hold at least PLAIN ordinary words; an item with changed numbers,
 names or units has the same template, so the same windows.  A second set of windows, over the plain words in lower case,
-finds passages whose slots differ only because their capitals do.  For one alignment (place in the document minus place in
+finds passages whose slots differ only because their capitals do.  An item of fewer than WINDOW slots is one window of plain
+words over its whole length, and documents are probed for the few lengths that occur.  For one alignment (place in the document minus place in
 the item) the slots are consistent when every value of the item stands for one value of the document throughout; else
 only its windows with the item's own words count.  A document is contaminated by an item if HITS distinct windows of it
 (all, if it has fewer) are found and count.
 
-Defined cases: null or short text has no windows; an item of fewer than WINDOW slots has none and is never found;
-repeated rows are judged alike; an empty table on either side gives no matches; extra columns pass through
+Defined cases: null text and text without a letter or digit have no windows; an item without one is never found; repeated rows are judged alike; an empty table on either side gives no matches; extra columns pass through
 clean_documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,15 +63,24 @@ def slots_of(text: Column) -> Column:
     return canonical(text, lambda t, w: F.struct(t.alias("t"), F.lower(w).alias("w")))
 
 
-def windows(slots: Column) -> Column:
-    """(template, plain) for the WINDOW slots from each place on: fingerprints of the slots and of the words."""
+def windows(slots: Column, short: Sequence[int] = ()) -> Column:
+    """(template, plain, shortL...) per place: fingerprints of the WINDOW slots from there on, of their words, and of the L words
+    for each length L in short; null where the text ends before.
+    """
+    least = min([WINDOW, *short])
     hashes = F.struct(F.transform(slots, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(slots, lambda x: F.xxhash64(x["w"])).alias("w"))
 
     def one(h: Column) -> Column:
+        n = F.size(h["w"])
+
         def at(i: Column) -> Column:
-            return F.struct(*[F.xxhash64(F.slice(h[c], i + 1, WINDOW)).alias(name) for c, name in (("t", "template"), ("w", "plain"))])
+            whole = [F.xxhash64(F.slice(h[c], i + 1, WINDOW)) for c in ("t", "w")]
+            if short:
+                whole = [F.when(i + WINDOW <= n, x) for x in whole]
+            less = [F.when(i + size <= n, F.xxhash64(F.slice(h["w"], i + 1, size))).alias(f"short{size}") for size in short]
+            return F.struct(whole[0].alias("template"), whole[1].alias("plain"), *less)
 
-        return F.transform(F.when(F.size(h["t"]) >= WINDOW, F.sequence(F.lit(0), F.size(h["t"]) - WINDOW)).otherwise(F.array().cast("array<int>")), at)
+        return F.transform(F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>")), at)
 
     return _let(hashes, one)
 
@@ -82,11 +93,16 @@ def _value(slot: Column) -> Column:
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, ipos, key, slots, plain, item_windows): both fingerprints of the items' windows, where they differ.
 
+    An item of fewer slots has one window, of all its words.
+
     The template of a window without PLAIN ordinary words is too common to be told by; its words still are.
     """
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), slots_of(F.col(text)).alias("s"))
     found = rows.select("item_id", "s", F.posexplode(windows(F.col("s"))).alias("ipos", "both"))
-    found = found.select("item_id", "ipos", F.slice("s", F.col("ipos") + 1, WINDOW).alias("slots"), "both.template", "both.plain").distinct()
+    found = found.select("item_id", "ipos", F.slice("s", F.col("ipos") + 1, WINDOW).alias("slots"), "both.template", "both.plain")
+    whole = F.xxhash64(F.transform("s", lambda x: F.xxhash64(x["w"])))
+    less = rows.filter(F.size("s").between(1, WINDOW - 1)).select("item_id", F.lit(0).alias("ipos"), F.col("s").alias("slots"), whole.alias("template"), whole.alias("plain"))
+    found = found.union(less).distinct()
     plenty = F.size(F.filter("slots", lambda x: _value(x).isNull())) >= PLAIN
     found = found.select("item_id", "ipos", "slots", "plain", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
     many = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("plain").alias("item_windows"))
@@ -105,10 +121,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """
     items = stored(item_windows(benchmark), "items")
     known = items.count()
+    short = sorted(r[0] for r in items.select(F.size("slots")).filter(F.size("slots") < WINDOW).distinct().collect())  # at most WINDOW - 1
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    every = rows.select("doc_id", "text_hash", F.posexplode(_let(slots_of(F.col("text")), windows)).alias("pos", "both"))
+    every = rows.select("doc_id", "text_hash", F.posexplode(_let(slots_of(F.col("text")), lambda s: windows(s, short))).alias("pos", "both"))
     # null where the words have the fingerprint of the slots; the join drops it
-    told_by = F.array(F.col("both.template"), F.when(F.col("both.plain") != F.col("both.template"), F.col("both.plain")))
+    told_by = F.array(F.col("both.template"), F.when(F.col("both.plain") != F.col("both.template"), F.col("both.plain")), *[F.col(f"both.short{size}") for size in short])
     every = every.select("doc_id", "text_hash", "pos", F.explode(told_by).alias("key"))
     hits = every.join(_side(items.drop("slots"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
     hits = stored(hits, "hits")
@@ -123,8 +140,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     keys = [F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash")]
     both = told.join(hits.select(*keys, "pos", "item_id", "ipos", "plain", "item_windows"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")))
     both = both.select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows", F.slice("s", F.col("pos") + 1, WINDOW).alias("mine"))
-    theirs = items.select(F.col("item_id").alias("_item"), F.col("ipos").alias("_ipos"), F.col("plain").alias("_plain"), "slots").dropDuplicates(["_item", "_ipos", "_plain"])
+    theirs = items.select(F.col("item_id").alias("_item"), F.col("ipos").alias("_ipos"), F.col("plain").alias("_plain"), F.size("slots").alias("many"), "slots").dropDuplicates(["_item", "_ipos", "_plain"])
     both = both.join(_side(theirs, known), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ipos") == F.col("_ipos")) & (F.col("plain") == F.col("_plain")))
+    both = both.withColumn("mine", F.slice("mine", 1, F.col("many")))
     words = [F.transform(c, lambda x: x["w"]) for c in ("mine", "slots")]
     both = both.withColumn("verbatim", words[0] == words[1])
     pairs = F.filter(F.zip_with("mine", "slots", lambda a, b: F.struct(a["w"].alias("a"), _value(b).alias("b"))), lambda x: x["b"].isNotNull())

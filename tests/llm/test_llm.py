@@ -228,6 +228,13 @@ def test_decontamination_capitals(spark):
     assert {d for d, _ in leaks(spark, texts, [item])} == {0, 1, 2}
 
 
+def test_decontamination_short_items(spark):
+    items = ["What is the capital of Xanadu?", "Add 3 km, 40 m, 7 cm and 12 mm to 5 km.", "Who?", "...", "What is the capital of Xanadu", "Name it now"]
+    texts = ["Tell me: what is THE capital of Xanadu? Nobody knows.", "add 3 km, 40 m, 7 cm and 12 mm to 5 km", "what is the capital of Spain", "who", "Xanadu", "name", "it. Name it now"]
+    want = {(0, 0), (0, 4), (1, 1), (3, 2), (6, 5)}
+    assert set(leaks(spark, texts, items)) == want
+
+
 def test_bpe(docs, corpus, none):
     from tokenizers import Tokenizer
 
