@@ -6,8 +6,8 @@ and joined with the windows of the benchmark items that hold at least PLAIN ordi
 names or units has the same template, so the same windows.  A second set of windows, over the plain words in lower case,
 finds passages whose slots differ only because their capitals do.  An item of fewer than WINDOW slots is one window of plain
 words over its whole length, and documents are probed for the few lengths that occur.  For one alignment (place in the document minus place in
-the item) the slots are consistent when every value of the item stands for one value of the document throughout; else
-only its windows with the item's own words count.  A document is contaminated by an item if HITS distinct windows of it
+the item) every value of the item stands for the document's value that most of its slots have (on a tie, the item's own); windows
+that contradict it don't count, windows with the item's own words always do.  A document is contaminated by an item if HITS distinct windows of it
 (all, if it has fewer) are found and count.
 
 Defined cases: null text and text without a letter or digit have no windows; an item without one is never found; repeated rows are judged alike; an empty table on either side gives no matches; extra columns pass through
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.common import BLANK, BROADCAST_ROWS, stored
@@ -145,14 +145,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     both = both.withColumn("mine", F.slice("mine", 1, F.col("many")))
     words = [F.transform(c, lambda x: x["w"]) for c in ("mine", "slots")]
     both = both.withColumn("verbatim", words[0] == words[1])
+    both = both.withColumn("shift", F.col("pos") - F.col("ipos"))
     pairs = F.filter(F.zip_with("mine", "slots", lambda a, b: F.struct(a["w"].alias("a"), _value(b).alias("b"))), lambda x: x["b"].isNotNull())
-    lined = both.groupBy("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.collect_set(F.struct("plain", "verbatim")).alias("places"), F.max("item_windows").alias("item_windows"),
-        F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))  # at most the slots of one item
-    steady = F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))) == F.size("pairs")
-    counted = lined.select("*", steady.alias("steady"), F.explode("places").alias("place")).filter("steady or place.verbatim")
-    return counted.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.countDistinct("place.plain").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max(F.size("pairs")).cast("long").alias("n_slots"),
+    placed = F.zip_with("mine", F.transform("slots", lambda x, k: F.struct(_value(x).alias("b"), (F.col("ipos") + k).alias("place"))),
+                        lambda a, b: F.struct(b["b"].alias("b"), a["w"].alias("a"), b["place"].alias("place")))
+    # one exchange; the counts of an alignment and of its values then stay in the task.  An alignment has at most the slots of one item
+    line = ["doc_id", "text_hash", "item_id", "shift"]
+    both = both.select(*line, "ipos", "plain", "item_windows", "verbatim", pairs.alias("pairs"), F.filter(placed, lambda x: x["b"].isNotNull()).alias("placed"))
+    votes = both.repartition(*line).select("*", F.explode_outer("placed").alias("slot")).select(
+        *line, "ipos", "plain", "item_windows", "verbatim", "pairs", "slot.b", "slot.a", "slot.place")
+    votes = votes.withColumn("many", F.size(F.collect_set("place").over(Window.partitionBy(*line, "b", "a"))))
+    chosen = F.max(F.struct("many", (F.col("a") == F.col("b")).alias("own"), "a")).over(Window.partitionBy(*line, "b"))["a"]
+    agree = F.col("verbatim") | F.col("b").isNull() | (F.col("a") == chosen)
+    counted = votes.withColumn("agree", agree).groupBy(*line, "ipos", "plain").agg(
+        F.max("item_windows").alias("item_windows"), F.first("pairs").alias("pairs"), F.every("agree").alias("agree")).filter("agree")
+    lined = counted.groupBy(*line).agg(
+        F.collect_set("plain").alias("places"), F.max("item_windows").alias("item_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("n_slots"))
+    return lined.select("*", F.explode("places").alias("place")).groupBy("doc_id", "text_hash", "item_id").agg(
+        F.countDistinct("place").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("n_slots").cast("long").alias("n_slots"),
     ).filter(F.col("n_windows") >= F.least(F.lit(HITS), F.col("item_windows")))
 
 

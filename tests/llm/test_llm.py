@@ -235,6 +235,22 @@ def test_decontamination_short_items(spark):
     assert set(leaks(spark, texts, items)) == want
 
 
+def test_decontamination_one_slot_changed(spark):
+    item = "A train leaves Boston at 9 and runs 120 km to reach Albany before the other one that leaves at 9 as well today."
+    two = "We gave 2 red apples to the first child in line and then 2 green pears to another child who came later."
+    texts = [
+        item.replace("9 as", "8 as"),  # near copy, one number of two edited
+        item.replace("9 and", "7 and").replace("120", "300").replace("9 as", "8 as"),  # all changed, the equal ones apart
+        two.replace("2 red", "3 red").replace("2 green", "5 green"),
+        item.replace("9", "7"),
+    ]
+    got = leaks(spark, texts, [item, two])
+    assert set(got) == {(0, 0), (1, 0), (2, 1), (3, 0)}
+    slots = item.split()
+    assert got[0, 0] == sum("9" not in slots[i : i + 8] or i + 8 <= slots.index("as") - 1 for i in range(len(slots) - 7))
+    assert got[1, 0] < got[3, 0]
+
+
 def test_bpe(docs, corpus, none):
     from tokenizers import Tokenizer
 
