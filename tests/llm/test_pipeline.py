@@ -57,6 +57,23 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == clean
 
 
+def test_repeated_rows(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows = [(i, prose(60), "en", None, 300) for i in range(8)]
+    twice = [(8, prose(60)[:400], "en", "s", 400), (None, prose(60), None, None, None)]
+    rows += twice * 3 + [(9, "", "en", "s", 0)] * 2
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(40))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, want = spark.read.parquet(f"{tmp_path}/documents.parquet"), sorted(r[1] for r in rows[:8] + twice)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        if k in (1, 2, 3):
+            assert sorted(r.text for r in docs.collect() if r.text) == want
+    assert docs.count() == len(want)
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
