@@ -363,6 +363,15 @@ def test_html_blocks():
     assert html_text.main_text("<nav>only</nav>", 1, lambda k: np.zeros(len(k), bool)) == ""
 
 
+def test_html_article_in_marked_container():
+    text = lambda page: html_text.main_text(page, 1, lambda k: np.zeros(len(k), bool))
+    article = "<article><div class='entry-header'><h1>Head</h1></div><p>body</p><div class='comments'>nice</div></article>"
+    for before, after in (("<div class='content with-sidebar'>", "</div>"), ("<div id='header-wrap'>", "</div>"), ("<form id=all>", "</form>"), ("<div class='header'>", "</div>")):
+        assert text(f"{before}<p>menu</p>{article}{after}<p>more</p>") == "Head\n\nbody"
+    assert text("<form><p>no article here</p></form>") == "no article here"
+    assert text(f"<aside>{article}</aside>") == text(f"<div class='comments'>{article}</div>") == text(f"<nav>{article}</nav>") == ""
+
+
 def test_suffix_groups():
     rng = random.Random(2)
     streams = [np.array([rng.randrange(1, 4) for _ in range(rng.randrange(0, 80))], np.uint64) for _ in range(12)]
