@@ -363,6 +363,23 @@ def test_html_blocks():
     assert html_text.main_text("<nav>only</nav>", 1, lambda k: np.zeros(len(k), bool)) == ""
 
 
+def test_html_copies_and_quotes(spark):
+    rng = random.Random(6)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copied, parts, quoted, notice = word(60), [word(40), word(30)], word(30), word(25)
+    pages = [f"<p>{copied}</p><footer>{i}</footer>" for i in range(4)]
+    pages += [f"<p>{parts[0]}</p><p>{parts[1]}</p>"] * 4
+    pages += [f"<p>{word(20 + i)}</p><p>{copied}</p>" for i in range(3)]  # reposts with an introduction
+    pages += [f"<article><p>{quoted}</p></article>"] + [f"<article><p>{word(20)}</p></article><aside>{quoted}</aside>" for _ in range(4)]
+    own = [word(40) for _ in range(3)]
+    pages += [f"<p>{x}</p><p>{notice}</p>" for x in own]
+    rows = [(i, f"http://h.example/{i}", p, "d") for i, p in enumerate(pages)]
+    got = {r.page_id: r.main_text for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert all(got[i] == copied for i in range(4)) and all(got[i] == "\n\n".join(parts) for i in range(4, 8))
+    assert all(got[i].endswith(copied) for i in range(8, 11)) and got[11] == quoted
+    assert [got[i] for i in range(16, 19)] == own
+
+
 def test_html_article_in_marked_container():
     text = lambda page: html_text.main_text(page, 1, lambda k: np.zeros(len(k), bool))
     article = "<article><div class='entry-header'><h1>Head</h1></div><p>body</p><div class='comments'>nice</div></article>"
