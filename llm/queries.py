@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from llm import bpe, decontamination, histogram_shards, html_text, kneser_ney, prefix_tree_join, quality_rules, sql, suffix_dedup, token_files, warc
+from llm import (
+    bpe, collocations, decontamination, histogram_shards, html_text, kneser_ney, line_dedup, prefix_tree_join, quality_rules, sql,
+    suffix_dedup, token_files, warc, whitening,
+)
 
 QUERIES = {
     "op1_kneser_ney": kneser_ney.op1_kneser_ney,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_prefix_tree_join": prefix_tree_join.op9_prefix_tree_join,
     "op10_bpe": bpe.op10_bpe,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_line_dedup": line_dedup.op13_line_dedup,
 }
 
 def pipeline(spark, sf_dir: str):
@@ -27,4 +33,6 @@ QUERIES["pipeline"] = pipeline
 ORACLES: dict[str, str] = {
     "op2_quality_rules": sql.OP2_SQL,
     "op5_warc": sql.OP5_SQL,
+    "op12_collocations": sql.OP12_SQL,
+    "op13_line_dedup": sql.OP13_SQL,
 }
