@@ -66,14 +66,18 @@ def fit(indexed: DataFrame, w: int = 15, max_terms: int = 100) -> Fitted:
     return Fitted(vectors, _moments(per_template, entries, (row_count(indexed) - w + 1) * w), w)
 
 
-def score(indexed: DataFrame, fitted: Fitted, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``max_z_score`` of every sequence of ``w`` rows."""
-    w = fitted.w
+def _moment_arrays(fitted: Fitted) -> tuple[np.ndarray, np.ndarray]:
     # one row per dimension (100 at most)
     table = fitted.moments.orderBy("dim").select("mean", "std").collect()
     if not table:
         raise ValueError("the fitted rows hold no terms")
-    mean, std = np.array([r[0] for r in table]), np.array([r[1] for r in table])
+    return np.array([r[0] for r in table]), np.array([r[1] for r in table])
+
+
+def score(indexed: DataFrame, fitted: Fitted, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``max_z_score`` of every sequence of ``w`` rows."""
+    w = fitted.w
+    mean, std = _moment_arrays(fitted)
     n = row_count(indexed)
     rows = indexed.select("idx", "template").join(fitted.vectors, "template", "left").select("idx", "dims", "vals")
     halo = with_forward_halo(rows, w, bucket_rows=bucket_rows).select(BUCKET, "idx", "dims", "vals")
@@ -100,6 +104,31 @@ def score(indexed: DataFrame, fitted: Fitted, bucket_rows: int = BUCKET_ROWS) ->
     return scored.filter(F.col("sequence_index") <= n - w)
 
 
+def score_id_sequences(cases: DataFrame, fitted: Fitted, vocab: DataFrame) -> DataFrame:
+    """``max_z_score`` of distinct ``sequence`` arrays of template ids, for lines that carry no row number.
+
+    ``vocab`` gives the ids; an id outside it, or a template without a kept term, counts as a zero vector.
+    """
+    w = fitted.w
+    mean, std = _moment_arrays(fitted)
+    vectors = fitted.vectors.join(vocab.select("template", "template_id"), "template").select("template_id", "dims", "vals")
+    lines = cases.select("sequence", F.explode("sequence").alias("template_id")).join(vectors, "template_id", "left")
+    packed = lines.groupBy("sequence").agg(
+        F.flatten(F.collect_list("dims")).alias("dims"), F.flatten(F.collect_list("vals")).alias("vals")
+    )
+
+    def worst(batches):
+        for batch in batches:
+            dims, vals = batch.column("dims"), batch.column("vals")
+            total = np.zeros((batch.num_rows, len(mean)))
+            rows = np.repeat(np.arange(batch.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
+            np.add.at(total, (rows, dims.flatten().to_numpy()), vals.flatten().to_numpy())
+            scores = np.abs((total / w - mean) / std).max(axis=1, initial=0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("sequence"), pa.array(scores)], ["sequence", "max_z_score"])
+
+    return packed.mapInArrow(worst, "sequence array<long>, max_z_score double")
+
+
 def detect(indexed: DataFrame, fitted: Fitted, threshold: float = 3.0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Sequences beyond the threshold; the score is in multiples of it."""
     return with_anomaly_score(score(indexed, fitted, bucket_rows), threshold).filter("is_anomaly")
