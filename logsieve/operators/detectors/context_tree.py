@@ -1,8 +1,8 @@
 """Probability of the next template from contexts of any length up to the whole look-back.
 
 A tree of contexts, the shortest first: a node is the run of the last k templates, seen ``least`` times or more.  It is
-grown level by level.  A level counts (context, next) only for the cases whose context one shorter is a node, so the
-rows thin out as contexts grow rare, and growth ends at the first level without a node.  The probabilities of all
+grown a few levels at a time, and deeper only for the cases whose longest context so far is a node, so the rows thin
+out as contexts grow rare, and growth ends where no node is left.  The probabilities of all
 nodes on the path of a case are blended by escapes: with N cases, T different followers and n for the template asked,
 p(k) = (n + T p(k-1)) / (N + T), and p(-1) is even over the vocabulary and one more for everything unseen.
 
@@ -13,6 +13,7 @@ scoring.  Everything stays in tables; only the counts of the root (one row) come
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +22,7 @@ from ..sequences import BUCKET_ROWS, next_event_pairs
 from ..vocabulary import template_vocab, with_template_id
 from .ngram_next import UNKNOWN
 
+LEVELS = 4  # counted together: fewer passes, and only so many rows a case
 
 @dataclass
 class Fitted:
@@ -54,34 +56,31 @@ def fit(
 
 
 def grow(cases: DataFrame, vocab: DataFrame, w: int, order: int, least: int) -> Fitted:
-    """The tree from counted cases (sequence, next_id, n)."""
-    pairs, nodes = [], []
-    active = cases
-    for size in range(order + 1):
-        keyed = active.withColumn("context", _tail(size))
-        counted = materialize(keyed.groupBy("context", "next_id").agg(F.sum("n").alias("n")), "counted")
-        level = materialize(
-            counted.groupBy("context").agg(
-                F.sum("n").alias("total"), F.count("*").alias("kinds"),
-                F.min(F.struct((-F.col("n")).alias("n"), "next_id"))["next_id"].alias("top_id"),
-            ).filter(F.col("total") >= (least if size else 0)),
-            "nodes",
-        )
-        if size and level.isEmpty():
-            break
-        at = F.lit(size).alias("size")
-        nodes.append(level.select(at, "*"))
-        pairs.append(counted.join(level.select("context"), "context", "leftsemi").select(at, "*") if size else counted.select(at, "*"))
-        if 0 < size < order:
-            active = materialize(keyed.join(level.select("context"), "context", "leftsemi").drop("context"), "active")
-
-    def together(parts, name):
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return materialize(out, name)
-
-    return Fitted(vocab, together(pairs, "tree_pairs"), together(nodes, "tree_nodes"), w, len(nodes) - 1)
+    """The tree from counted cases (sequence, next_id, n); ``LEVELS`` levels are counted in one pass."""
+    counted, active = [], cases
+    for low in range(0, order + 1, LEVELS):
+        high = min(low + LEVELS - 1, order)
+        sizes = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("size")
+        keyed = active.select("*", sizes).withColumn("context", _tail(F.col("size")))
+        counted.append(materialize(keyed.groupBy("size", "context", "next_id").agg(F.sum("n").alias("n")), "counted"))
+        if high < order:
+            kept = _nodes(counted[-1].filter(F.col("size") == high), least).select("context")
+            active = materialize(active.withColumn("context", _tail(high)).join(kept, "context", "leftsemi").drop("context"), "active")
+            if active.isEmpty():
+                break
+    pairs = reduce(DataFrame.unionByName, counted)
+    nodes = materialize(_nodes(pairs, least), "tree_nodes")
+    depth = nodes.agg(F.max("size")).first()[0] or 0
+    kept = pairs.join(nodes.select("size", "context"), ["size", "context"], "leftsemi")
+    return Fitted(vocab, materialize(kept, "tree_pairs"), nodes, w, depth)
+
+
+def _nodes(pairs: DataFrame, least: int) -> DataFrame:
+    """Contexts seen often enough; the root always is."""
+    return pairs.groupBy("size", "context").agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"),
+        F.min(F.struct((-F.col("n")).alias("n"), "next_id"))["next_id"].alias("top_id"),
+    ).filter((F.col("size") == 0) | (F.col("total") >= least))
 
 
 def score_cases(cases: DataFrame, fitted: Fitted) -> DataFrame:

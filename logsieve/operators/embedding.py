@@ -43,12 +43,19 @@ def _times(matrix: DataFrame, side: str, thin: DataFrame, width: int) -> DataFra
 
 
 def _gram(thin: DataFrame, width: int) -> np.ndarray:
-    """Inner products of the columns of a thin matrix."""
-    sums = [F.sum(F.element_at("y", i + 1) * F.element_at("y", j + 1)) for i in range(width) for j in range(i, width)]
-    row = thin.agg(*[s.alias(f"_{k}") for k, s in enumerate(sums)]).first()
-    out = np.zeros((width, width))
-    out[np.triu_indices(width)] = [v or 0.0 for v in row]
-    return out + np.triu(out, 1).T
+    """Inner products of the columns of a thin matrix: each task sends the sums over its rows."""
+
+    def products(batches):
+        total = np.zeros((width, width))
+        for batch in batches:
+            y = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, width)
+            total += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], ["at", "part"])
+
+    out = np.zeros(width * width)
+    for r in thin.select("y").mapInArrow(products, "at long, part double").groupBy("at").agg(F.sum("part").alias("part")).collect():
+        out[r["at"]] = r["part"]
+    return out.reshape(width, width)
 
 
 def _turn(thin: DataFrame, by: np.ndarray) -> DataFrame:

@@ -75,14 +75,14 @@ def evaluate(predictions: dict[str, DataFrame], optimize_threshold: bool = True,
     return E.with_total(E.meets_target(metrics, targets))
 
 
-def compare(logs: DataFrame, detectors: tuple[str, ...] = ("ngram", "tfidf"), w: int = P.WIDTH, split_rule: str = "is_error") -> DataFrame:
+def compare(logs: DataFrame, detectors: tuple[str, ...] = ("ngram", "tfidf", "classifier"), w: int = P.WIDTH, split_rule: str = "is_error") -> DataFrame:
     """Fit on the normal training lines, predict the test lines, evaluate and rank."""
     data = prepare(logs, split_rule=split_rule)
     normal = data.train.filter(~F.col("problem")).drop("idx").withColumnRenamed("class_idx", "idx")
     predictions = {}
     for name in detectors:
-        # the classifier needs both labels
-        fitted = P.fit(data.train if name == "classifier" else normal, name, w)
+        # the classifiers need both labels
+        fitted = P.fit(data.train if name in P.BOTH_LABELS else normal, name, w)
         # written once: threshold search, metrics and AUC all read it
         predictions[name] = materialize(predict(data.test, fitted, w), "predictions")
     return E.compare_models(evaluate(predictions))

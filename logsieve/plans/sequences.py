@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators import risks as R
 from ..operators import severities as S
-from ..operators.detectors import ngram_next, seq_classifier, tfidf_seq
+from ..operators import overlap as O
+from ..operators.detectors import context_tree, ngram_next, order_classifier, seq_classifier, tfidf_seq
 from ..operators.ordering import PART, POS, lay_out_logs, number_rows, number_rows_within, row_count
 from ..operators.sequences import for_sequences
 from ..operators.splits import part_of, sample_systematic
 from ..operators.vocabulary import with_template
 from ..scratch import materialize
+from ..sources.sinks import load_state, save_state
 
 WIDTH = 15
+DETECTORS = {
+    "tfidf": tfidf_seq, "ngram": ngram_next, "tree": context_tree, "classifier": order_classifier, "bag_classifier": seq_classifier,
+}
+BOTH_LABELS = ("classifier", "bag_classifier")
 COLUMNS = ["timestamp", "file_path", "line_number", "level", "message", "is_error", "template"]
 
 
@@ -68,20 +74,18 @@ def train_test(
 
 def fit(train: DataFrame, detector: str = "tfidf", w: int = WIDTH, **options):
     """``train``: rows with ``idx`` and ``template``."""
-    if detector == "tfidf":
-        return tfidf_seq.fit(train, w=w, **options)
-    if detector == "ngram":
-        return ngram_next.fit(train, w=w, **options)
-    if detector == "classifier":
-        return seq_classifier.fit(train, w=w, **options)
-    raise ValueError(f"unknown detector {detector!r}")
+    if detector not in DETECTORS:
+        raise ValueError(f"unknown detector {detector!r}")
+    return DETECTORS[detector].fit(train, w=w, **options)
+
+
+def _module(fitted):
+    return next(m for m in DETECTORS.values() if isinstance(fitted, m.Fitted))
 
 
 def detect(test: DataFrame, fitted, threshold: float | None = None) -> DataFrame:
     """Anomalous sequences with the score of the fitted detector."""
-    module = {
-        tfidf_seq.Fitted: tfidf_seq, ngram_next.Fitted: ngram_next, seq_classifier.Fitted: seq_classifier,
-    }[type(fitted)]
+    module = _module(fitted)
     return module.detect(test, fitted) if threshold is None else module.detect(test, fitted, threshold)
 
 
@@ -89,10 +93,8 @@ def scores(test: DataFrame, fitted) -> DataFrame:
     """(sequence_index, anomaly_score) of all sequences."""
     if isinstance(fitted, tfidf_seq.Fitted):
         scored = tfidf_seq.with_anomaly_score(tfidf_seq.score(test, fitted))
-    elif isinstance(fitted, ngram_next.Fitted):
-        scored = ngram_next.score(test, fitted)
     else:
-        scored = seq_classifier.score(test, fitted)
+        scored = _module(fitted).score(test, fitted)
     return scored.select("sequence_index", "anomaly_score")
 
 
@@ -155,3 +157,68 @@ def risk_chain(logs: DataFrame, w: int = WIDTH, share: float = 0.8, threshold: f
     split = train_test(logs, share)
     found = detect(split.test, fit(split.train, "tfidf", w), threshold)
     return R.with_risk(describe(found, split.test, w))
+
+
+# ---- several fitted models side by side ------------------------------------------------------------
+
+def fit_all(train: DataFrame, detectors: tuple[str, ...] = ("tree", "tfidf", "classifier"), w: int = WIDTH,
+            labelled: DataFrame | None = None) -> dict:
+    """Fitted models by name.  Those that learn from both labels are fitted on ``labelled``: indexed lines of both classes."""
+    if labelled is None and set(detectors) & set(BOTH_LABELS):
+        raise ValueError("a classifier needs lines of both classes")
+    return {name: fit(labelled if name in BOTH_LABELS else train, name, w) for name in detectors}
+
+
+def detect_side_by_side(
+    test: DataFrame, models: dict, thresholds: dict[str, float] | None = None, severity: bool = True,
+) -> dict[str, DataFrame]:
+    """What each model finds in the same lines, with the severity of the sequences; written once per model."""
+    found = {}
+    for name, fitted in models.items():
+        rows = detect(test, fitted, (thresholds or {}).get(name)).select("sequence_index", "anomaly_score")
+        found[name] = materialize(with_severity(rows, test, fitted.w) if severity else rows, f"found_{name}")
+    return found
+
+
+def compare_found(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Sequences that all models found, those that one alone found, and detections by model and severity."""
+    return {"all": O.found_by_all(found), "one": O.found_by_one(found), "severity": O.severity_by_model(found)}
+
+
+# fields of a fitted model that are numbers; all others are tables
+NUMBERS = ("w", "order", "alpha", "depth", "dims", "weights", "intercept")
+
+
+def save(models: dict, path: str, mode: str = "errorifexists") -> None:
+    """Fitted models as Parquet tables below ``path/name``; their numbers as one row."""
+    import json
+    from dataclasses import fields
+
+    for name, fitted in models.items():
+        if isinstance(fitted, seq_classifier.Fitted):
+            raise ValueError("the bag of counts holds a model of Spark, which is saved by its own writer")
+        values = {f.name: getattr(fitted, f.name) for f in fields(fitted)}
+        tables = {k: v for k, v in values.items() if k not in NUMBERS}
+        kind = next(k for k, m in DETECTORS.items() if isinstance(fitted, m.Fitted))
+        numbers = json.dumps({k: v for k, v in values.items() if k in NUMBERS})
+        spark = next(iter(tables.values())).sparkSession
+        tables["settings"] = spark.createDataFrame([(kind, numbers)], "kind string, numbers string")
+        save_state(tables, f"{path}/{name}", mode)
+
+
+def load(spark, path: str, names: tuple[str, ...]) -> dict:
+    """The models saved under these names."""
+    import json
+
+    models = {}
+    for name in names:
+        tables = load_state(spark, f"{path}/{name}")
+        settings = tables.pop("settings").first()
+        models[name] = DETECTORS[settings["kind"]].Fitted(**tables, **json.loads(settings["numbers"]))
+    return models
+
+
+def detect_new(logs: DataFrame, models: dict, thresholds: dict[str, float] | None = None) -> dict[str, DataFrame]:
+    """Later log lines scored with what was fitted (and maybe saved) before."""
+    laid = lay_out_logs(with_template(logs).select(*COLUMNS))
+    return detect_side_by_side(materialize(number_rows(laid).drop(PART, POS), "later"), models, thresholds)

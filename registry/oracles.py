@@ -344,6 +344,57 @@ prob AS MATERIALIZED (SELECT g.idx - 10 AS sequence_index, (1.0 + CASE WHEN c2.c
   FROM tgt g LEFT JOIN c2 ON c2.a = g.a AND c2.b = g.b LEFT JOIN c1 ON c1.b = g.b CROSS JOIN c0
   LEFT JOIN p2 ON p2.a = g.a AND p2.b = g.b AND p2.t = g.t LEFT JOIN p1 ON p1.b = g.b AND p1.t = g.t LEFT JOIN p0 ON p0.t = g.t)"""
 
+BEFORE = "list(t) OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+
+
+def context_tree(w: int, targets: str) -> str:
+    """``targets``: (key, t, c) with c the w templates before t; gives cprob (key, p).  Follows SPLIT."""
+    seen = BEFORE.format(part="1", order="idx", w=w)
+    sizes = f"range(0, {w + 1}) s(k)"
+    return f""", cvoc AS MATERIALIZED (SELECT DISTINCT template FROM train),
+cobs AS (SELECT * FROM (SELECT t, {seen} AS c FROM (SELECT idx, template AS t FROM train)) WHERE len(c) = {w}),
+cpair AS MATERIALIZED (SELECT k, c[{w + 1} - k:{w}] AS ctx, t, count(*) AS n FROM cobs, {sizes} GROUP BY ALL),
+cnode AS MATERIALIZED (SELECT k, ctx, sum(n) AS total, count(*) AS kinds FROM cpair GROUP BY ALL HAVING k = 0 OR sum(n) >= 2),
+ctgt AS MATERIALIZED ({targets}),
+ccase AS MATERIALIZED (SELECT DISTINCT t, c FROM ctgt),
+cstep AS (SELECT t, c, k, c[{w + 1} - k:{w}] AS ctx FROM ccase, {sizes}),
+cpath AS (SELECT s.t, s.c, list(struct_pack(a := coalesce(n, 0) / (total + kinds), b := kinds / (total + kinds)) ORDER BY s.k) AS path
+  FROM cstep s JOIN cnode d ON d.k = s.k AND d.ctx = s.ctx LEFT JOIN cpair p ON p.k = s.k AND p.ctx = s.ctx AND p.t = s.t GROUP BY s.t, s.c),
+cp AS (SELECT t, c, list_reduce(path, lambda x, y: struct_pack(a := y.a + y.b * x.a, b := y.b * x.b)) AS r FROM cpath),
+cprob AS MATERIALIZED (SELECT key, r.a + r.b / (1 + (SELECT count(*) FROM cvoc)) AS p FROM ctgt JOIN cp ON cp.t = ctgt.t AND cp.c = ctgt.c)"""
+
+
+def context_tree_test(w: int) -> str:
+    known = "(SELECT idx, coalesce(v.template, '#') AS t FROM test LEFT JOIN cvoc v USING (template))"
+    before = BEFORE.format(part="1", order="idx", w=w)
+    return context_tree(w, f"SELECT * FROM (SELECT idx - {w} AS key, t, {before} AS c FROM {known}) WHERE len(c) = {w}")
+
+
+def ngram(w: int) -> str:
+    """Follows SPLIT."""
+    return NGRAM[len(SPLIT):].replace("idx >= 10", f"idx >= {w}").replace("idx - 10", f"idx - {w}")
+
+
+SIDE_BY_SIDE = FOUND + context_tree_test(15) + ngram(15) + severity("test") + f""", sets AS MATERIALIZED (SELECT 'tfidf' AS model, sequence_index FROM found
+  UNION ALL SELECT 'tree', key FROM cprob WHERE 1 - p > 0.9137 UNION ALL SELECT 'ngram', sequence_index FROM prob WHERE 1 - p > 0.9137),
+setsev AS MATERIALIZED (SELECT model, sequence_index, max(severity_score) AS mx FROM sets JOIN sev ON sev.idx BETWEEN sequence_index AND sequence_index + 14 GROUP BY ALL)"""
+
+# the ngram model's choices, by template id
+CHOICES = NGRAM + """, vid AS (SELECT template, row_number() OVER (ORDER BY count(*) DESC, min(idx)) - 1 AS id FROM train GROUP BY template),
+q2 AS (SELECT a, b, first(id ORDER BY c DESC, id) AS top FROM p2 JOIN vid ON template = t GROUP BY ALL),
+q1 AS (SELECT b, first(id ORDER BY c DESC, id) AS top FROM p1 JOIN vid ON template = t GROUP BY ALL),
+q0 AS (SELECT first(id ORDER BY c DESC, id) AS top FROM p0 JOIN vid ON template = t)"""
+
+STREAMED = SPLIT + """, fvoc AS (SELECT DISTINCT template FROM train),
+frows AS MATERIALIZED (SELECT r.*, coalesce(v.template, '#') AS t, row_number() OVER (PARTITION BY file_path ORDER BY line_number) - 1 AS position
+  FROM rows r LEFT JOIN fvoc v USING (template))""" + context_tree(
+    10, "SELECT * FROM (SELECT idx AS key, t, " + BEFORE.format(part="file_path", order="line_number", w=10) + " AS c FROM frows) WHERE len(c) = 10"
+) + severity("frows") + tfidf("train") + moments("train", 10) + """, fsum AS (SELECT r.file_path, r.position + k.k AS e, v.term, sum(v.value) / 10 AS m
+  FROM frows r JOIN vec v USING (template), range(0, 10) k(k) GROUP BY ALL),
+fz AS (SELECT s.idx, s.file_path, s.position, max(abs((coalesce(f.m, 0) - o.mean) / o.std)) AS z FROM sev s CROSS JOIN mom o
+  LEFT JOIN fsum f ON f.file_path = s.file_path AND f.e = s.position AND f.term = o.term WHERE s.position >= 9 GROUP BY ALL),
+fsev AS (SELECT idx, max(severity_score) OVER (PARTITION BY file_path ORDER BY line_number ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS mx FROM sev)"""
+
 FOUND_SETS = SCORED + severity("logs") + """, sets AS MATERIALIZED (SELECT m.model, s.line_number AS sequence_index, v.severity_level AS lv FROM scored s
   JOIN sev v USING (line_number), (VALUES ('length'), ('words'), ('special')) m(model)
   WHERE CASE m.model WHEN 'length' THEN p_length WHEN 'words' THEN p_words ELSE p_special END = 1)"""
@@ -493,6 +544,16 @@ def oracle_sql() -> dict[str, str]:
             lrd AS MATERIALIZED (SELECT p, 1 / (avg(greatest(d, kd)) + 1e-10) AS lrd FROM near JOIN kd USING (o) GROUP BY p)
             SELECT {ts('near.p', 'time_window')}, round(avg(x.lrd) / any_value(y.lrd), 6) AS anomaly_score FROM near JOIN lrd x ON x.p = near.o JOIN lrd y ON y.p = near.p GROUP BY near.p""",
     }
+    sql["context_tree"] = SPLIT + context_tree_test(10) + f" SELECT {n('key', 'sequence_index')}, {r6('p', 'prediction_prob')}, {r6('1 - p', 'anomaly_score')} FROM cprob"
+    sql["ngram_anomalies"] = CHOICES + f""" SELECT {n('sequence_index', 'sequence_index')}, {n('coalesce(q2.top, q1.top, q0.top)', 'predicted_template')}, {n('coalesce(id, -1)', 'actual_template')}
+        FROM prob JOIN tgt g ON g.idx - 10 = sequence_index LEFT JOIN q2 ON q2.a = g.a AND q2.b = g.b LEFT JOIN q1 ON q1.b = g.b CROSS JOIN q0 LEFT JOIN vid ON vid.template = g.t WHERE 1 - p > 0.9"""
+    sql["sequence_overlap_all"] = SIDE_BY_SIDE + f" SELECT {n('sequence_index', 'sequence_index')} FROM sets GROUP BY sequence_index HAVING count(DISTINCT model) = 3"
+    sql["sequence_overlap_unique"] = SIDE_BY_SIDE + f" SELECT min(model) AS model, {n('sequence_index', 'sequence_index')} FROM sets GROUP BY sequence_index HAVING count(DISTINCT model) = 1"
+    sql["sequence_severity_by_model"] = SIDE_BY_SIDE + f" SELECT model, {n('count(*)', 'detected')}, " + ", ".join(
+        f"CAST(count(*) FILTER (lv = '{v}') AS BIGINT) AS {v.lower()}" for v in ("CRITICAL", "HIGH", "MEDIUM", "LOW")
+    ) + f" FROM (SELECT model, {BUCKET.format('mx')} AS lv FROM setsev) GROUP BY model"
+    sql["stream_sequence_scores"] = STREAMED + f""" SELECT z.file_path, {n('z.position', 'position')}, {n('mx', 'max_severity_score')}, {r6('p', 'prediction_prob')}, {r6('z', 'max_z_score')}
+        FROM fz z JOIN fsev USING (idx) LEFT JOIN cprob ON key = idx"""
     sql["hash_features"] = LOGS + f" SELECT {n('line_number', 'line_number')}, {bucket('class_path', 'class_bucket')}, {bucket('thread', 'thread_bucket')}, {bucket('message', 'message_code')} FROM logs"
     sql["sample_random"] = LOGS + f" SELECT {n('line_number', 'line_number')}, level FROM logs ORDER BY md5(line_number || ':42'), line_number LIMIT 300"
     sql["copod_new"] = WIDE + f""", cells AS MATERIALIZED (SELECT time_window AS key, pos AS dim, value, split = 'train' AS tr FROM ({melt('parted', 'time_window', 'split')})),

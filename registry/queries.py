@@ -19,7 +19,7 @@ from logsieve.operators import severities as S
 from logsieve.operators import vocabulary as V
 from logsieve.operators import windows as W
 from logsieve.operators.detectors import (
-    copod, iforest, lof, ngram_next, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
+    context_tree, copod, iforest, lof, ngram_next, order_classifier, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
 )
 from logsieve.plans import compare as compare_plan
 from logsieve.plans import rows as row_plan
@@ -30,11 +30,13 @@ from logsieve.sources import sinks
 from logsieve.sources.events import event_lines, event_logs
 from logsieve.sources.logs import read_logs, read_split
 from logsieve.streaming import live
+from logsieve.streaming import sequences as stream_seq
 
 WIDE = "6 hours"
 SHORT = 15
 # The event log has few, evenly mixed templates: no sequence lies 3 deviations off.
 THRESHOLD = 0.6
+SIDE_BY_SIDE = {"tree": 0.9137, "tfidf": THRESHOLD, "ngram": 0.9137}
 # Features without the hash bucket, whose value has no counterpart in SQL.
 NUMERIC = [c for c in W.WINDOW_FEATURES if c != "top_class_hash"]
 MODELS = {"length": ("s_length", "p_length"), "words": ("s_words", "p_words"), "special": ("s_special", "p_special")}
@@ -292,6 +294,21 @@ def q_stream_row_severity(spark, sf):
     return rows
 
 
+def q_stream_sequence_scores(spark, sf):
+    """Log lines in three pieces, each a run of the stream that goes on from the checkpoint of the one before."""
+    train = sequence_split(spark, sf).train
+    tree, tfidf = context_tree.fit(train, 10), tfidf_seq.fit(train, 10)
+    events = table(spark, sf, "events")
+    out = f"{scratch.scratch_dir(spark)}/logsieve/stream-{uuid.uuid4().hex}"
+    cut = events.agg((F.max("event_id") + 1).alias("n")).first()["n"] or 1
+    for piece in range(3):
+        events.filter((F.col("event_id") * 3 / cut).cast("int") == piece).write.mode("append").parquet(f"{out}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        logs = live.event_time_for_streams(parsing.parse_lines(event_lines(source)))
+        stream_seq.score_lines(logs, tree, tfidf, out, f"{out}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{out}/scores").select("file_path", "position", "max_severity_score", "prediction_prob", "max_z_score")
+
+
 # ---- filters ---------------------------------------------------------------------------------------
 
 def q_split_classes(spark, sf):
@@ -593,9 +610,21 @@ def q_ngram_anomalies(spark, sf):
     return found.select("sequence_index", "predicted_template", "actual_template")
 
 
+def q_context_tree(spark, sf):
+    split = sequence_split(spark, sf)
+    scored = context_tree.score(split.test, context_tree.fit(split.train, 10))
+    return scored.select("sequence_index", "prediction_prob", "anomaly_score")
+
+
 def q_seq_classifier(spark, sf):
-    rows = indexed(spark, sf)
-    return seq_classifier.detect(rows, seq_classifier.fit(rows))
+    """Fitted on the earlier lines, scored on the later ones."""
+    data = compare_plan.prepare(event_logs(spark, sf))
+    return seq_classifier.detect(data.test, seq_classifier.fit(data.train))
+
+
+def q_order_classifier(spark, sf):
+    data = compare_plan.prepare(event_logs(spark, sf))
+    return order_classifier.score(data.test, order_classifier.fit(data.train))
 
 
 # ---- evaluation ------------------------------------------------------------------------------------
@@ -722,6 +751,27 @@ def q_severity_by_model(spark, sf):
     return overlap.severity_by_model(found_sets(spark, sf))
 
 
+def found_sequences(spark, sf):
+    """What three fitted sequence models find side by side, after they were saved and loaded again."""
+    split = sequence_split(spark, sf)
+    names = ("tree", "tfidf", "ngram")
+    path = f"{scratch.scratch_dir(spark)}/logsieve/models-{uuid.uuid4().hex}"
+    seq_plan.save(seq_plan.fit_all(split.train, names), path)
+    return seq_plan.detect_side_by_side(split.test, seq_plan.load(spark, path, names), SIDE_BY_SIDE)
+
+
+def q_sequence_overlap_all(spark, sf):
+    return seq_plan.compare_found(found_sequences(spark, sf))["all"]
+
+
+def q_sequence_overlap_unique(spark, sf):
+    return seq_plan.compare_found(found_sequences(spark, sf))["one"]
+
+
+def q_sequence_severity_by_model(spark, sf):
+    return seq_plan.compare_found(found_sequences(spark, sf))["severity"]
+
+
 # ---- window detectors ------------------------------------------------------------------------------
 
 def q_copod(spark, sf):
