@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import baseline as B
-from ..operators.detectors import copod, iforest, lof, pca_recon
+from ..operators.detectors import autoencoder, copod, iforest, lof, pca_recon, rff_ocsvm
 from ..operators.evaluate import classification_metrics
 from ..operators.ordering import PART, POS, exact_quantiles, lay_out, number_rows
 from ..operators.severities import attach_severity
@@ -52,6 +52,10 @@ def _fit_one(name: str, scaled: DataFrame):
         return iforest.fit(scaled, WINDOW_FEATURES, WINDOW)
     if name == "autoencoder":
         return pca_recon.fit(scaled, WINDOW_FEATURES)
+    if name == "neural_autoencoder":
+        return autoencoder.fit(scaled, WINDOW_FEATURES)
+    if name == "ocsvm":
+        return rff_ocsvm.fit(scaled, WINDOW_FEATURES)
     if name in ("lof", "copod"):  # the fitted state of both is the training windows
         return materialize(scaled.select(WINDOW, *WINDOW_FEATURES), f"{name}_train")
     raise KeyError(f"unknown detector {name!r}")
@@ -62,6 +66,10 @@ def _score_one(name: str, scaled: DataFrame, model) -> DataFrame:
         return iforest.score(scaled, model)
     if name == "autoencoder":
         return pca_recon.score(scaled, model)
+    if name == "neural_autoencoder":
+        return autoencoder.score(scaled, model)
+    if name == "ocsvm":
+        return rff_ocsvm.score(scaled, model)
     if name == "lof":
         return lof.score_new(scaled, model, WINDOW_FEATURES)
     return scaled.join(copod.score_new(scaled, model, WINDOW_FEATURES, WINDOW), WINDOW)
@@ -161,6 +169,11 @@ def load(spark, path: str) -> State:
             model = iforest.Fitted(**arrays, sample=values["sample"], cols=values["cols"])
         elif row["name"] == "autoencoder":
             model = pca_recon.Fitted(**values)
+        elif row["name"] == "neural_autoencoder":
+            model = autoencoder.Fitted(**values)
+        elif row["name"] == "ocsvm":
+            arrays = {k: np.array(values[k]) for k in ("mean", "std", "freq", "phase", "weights")}
+            model = rff_ocsvm.Fitted(values["cols"], offset=values["offset"], **arrays)
         else:
             model = tables[f"train_{row['name']}"]
         state.models[row["name"]] = model

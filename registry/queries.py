@@ -19,7 +19,7 @@ from logsieve.operators import severities as S
 from logsieve.operators import vocabulary as V
 from logsieve.operators import windows as W
 from logsieve.operators.detectors import (
-    context_tree, copod, iforest, lof, ngram_next, order_classifier, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
+    autoencoder, context_tree, copod, iforest, lof, ngram_next, order_classifier, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
 )
 from logsieve.plans import compare as compare_plan
 from logsieve.plans import rows as row_plan
@@ -803,6 +803,12 @@ def q_iforest(spark, sf):
     return scored.select(W.WINDOW, "anomaly_score")
 
 
+def q_autoencoder(spark, sf):
+    parted = split_windows(spark, sf)
+    scored = autoencoder.score(parted, autoencoder.fit(train_windows(parted), W.WINDOW_FEATURES))
+    return scored.select(W.WINDOW, "anomaly_score")
+
+
 def q_pca_recon(spark, sf):
     parted = split_windows(spark, sf)
     scored = pca_recon.score(parted, pca_recon.fit(train_windows(parted), W.WINDOW_FEATURES))

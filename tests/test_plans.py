@@ -73,3 +73,30 @@ def test_recommended_conf():
     conf = recommended_conf(100 << 40, 8000)
     assert conf["spark.sql.shuffle.partitions"] == str((100 << 40) // (128 << 20))
     assert recommended_conf(1, 16)["spark.sql.shuffle.partitions"] == "16"
+
+
+def test_sequence_models_side_by_side(spark, tmp_path):
+    from logsieve.plans import compare, sequences as P
+    from logsieve.sources.events import event_logs
+
+    data = compare.prepare(event_logs(spark, "/root/testdata/sf0.001"))
+    normal = data.train.filter("not problem").drop("idx").withColumnRenamed("class_idx", "idx")
+    models = P.fit_all(normal, w=6, labelled=data.train)
+    assert set(models) == {"tree", "tfidf", "classifier"}
+    P.save(models, f"{tmp_path}/models")
+    again = P.load(spark, f"{tmp_path}/models", tuple(models))
+    for name in models:
+        one, two = ({r[0]: r[1] for r in P.scores(data.test, m[name]).collect()} for m in (models, again))
+        assert one.keys() == two.keys() and one and all(abs(one[k] - two[k]) < 1e-12 for k in one)
+    found = P.detect_side_by_side(data.test, again, {"tfidf": 0.3, "tree": 0.5, "classifier": 0.3})
+    sets = {name: {r.sequence_index for r in df.collect()} for name, df in found.items()}
+    compared = P.compare_found(found)
+    assert {r[0] for r in compared["all"].collect()} == set.intersection(*sets.values())
+    assert {r.model: r.detected for r in compared["severity"].collect()} == {k: len(v) for k, v in sets.items() if v}
+    later = P.detect_new(event_logs(spark, "/root/testdata/sf0.001"), {"tfidf": again["tfidf"]}, {"tfidf": 0.3})
+    assert "max_severity_level" in later["tfidf"].columns
+    try:
+        P.fit_all(normal, ("classifier",))
+        raise AssertionError("a classifier without errors was fitted")
+    except ValueError:
+        pass

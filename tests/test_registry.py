@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["parse_lines", "window_features", "unusual_patterns", "split_nested", "tfidf_seq_anomalies", "sequence_risk", "lof"]
 # trained results
 NO_SQL = {
-    "order_classifier", "seq_classifier", "model_comparison", "row_model_comparison",
+    "autoencoder", "order_classifier", "seq_classifier", "model_comparison", "row_model_comparison",
     "stacking", "iforest", "pca_recon", "rff_ocsvm", "detect_all",
 }
 
