@@ -25,6 +25,7 @@ from llm.common import BLANK, BROADCAST_ROWS, stored
 
 WINDOW = 8
 HITS = 3
+MOST_WORDS = 1 << 14  # of the bitmap of starting pairs: 2**20 bits
 PLAIN = 5
 #: Units of measure and currency.
 UNITS = [
@@ -40,18 +41,20 @@ def _let(value: Column, body) -> Column:
 
 
 def canonical(text: Column, make) -> Column:
-    """make(slot, word) for every word of the text with a letter or digit, in order."""
+    """make(kind, core) for every word of the text with a letter or digit, in order; kind names a placeholder or is null."""
     raw = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: F.struct(w.alias("raw"), F.btrim(w, F.lit(EDGES)).alias("core"))), lambda w: w["core"] != "")
 
+    def digit(core: Column) -> Column:
+        return (F.ascii(core) <= 57) & (F.ascii(core) >= 48)
+
     def one(words: Column) -> Column:
         def slot(w: Column, i: Column) -> Column:
             core, before = w["core"], F.get(words, i - 1)
             first = F.substring(core, 1, 1)
-            number = first.between("0", "9")
-            unit = F.substring(before["core"], 1, 1).between("0", "9") & F.lower(core).isin(UNITS)
-            name = (first != F.lower(first)) & F.coalesce(~F.right(before["raw"], F.lit(1)).isin(".", "!", "?", ":"), F.lit(False))
-            kind = F.when(number, "<num>").when(F.coalesce(unit, F.lit(False)), "<unit>").when(name, "<name>").otherwise(F.lower(core))
-            return make(kind, core)
+            unit = digit(before["core"]) & F.lower(core).isin(UNITS)
+            # most words begin with a small letter, which the first test settles
+            name = ((F.ascii(core) < 97) | (F.ascii(core) > 122)) & (first != F.lower(first)) & F.coalesce(~F.right(before["raw"], F.lit(1)).isin(".", "!", "?", ":"), F.lit(False))
+            return make(F.when(digit(core), "<num>").when(unit, "<unit>").when(name, "<name>"), core)
 
         return F.transform(words, slot)
 
@@ -60,51 +63,100 @@ def canonical(text: Column, make) -> Column:
 
 def slots_of(text: Column) -> Column:
     """(t, w) per slot: the slot and its word in lower case."""
-    return canonical(text, lambda t, w: F.struct(t.alias("t"), F.lower(w).alias("w")))
+    return canonical(text, lambda kind, core: F.struct(F.coalesce(kind, F.lower(core)).alias("t"), F.lower(core).alias("w")))
+
+
+def hashed(slots: Column) -> Column:
+    """(t, w): the hashes of slots and of words, as two arrays."""
+    return F.struct(F.transform(slots, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(slots, lambda x: F.xxhash64(x["w"])).alias("w"))
+
+
+def hashes_of(text: Column) -> Column:
+    """The same from the text: a word is judged, folded and hashed once."""
+    slots = canonical(text, lambda kind, core: F.struct(F.xxhash64(kind).alias("k"), F.xxhash64(F.lower(core)).alias("w")))
+    ordinary = F.xxhash64(F.lit(None).cast("string"))  # a constant
+    return _let(slots, lambda s: F.struct(
+        F.transform(s, lambda x: F.when(x["k"] == ordinary, x["w"]).otherwise(x["k"])).alias("t"), F.transform(s, lambda x: x["w"]).alias("w")))
+
+
+def pair(hashes: Column, i: Column) -> Column:
+    """Fingerprint of the two first elements of a window."""
+    return F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+
 
+def windows(hashes: Column, short: Sequence[int] = (), starts: tuple[Column, int] | None = None) -> Column:
+    """(pos, template, plain, shortL...) per place: fingerprints of the WINDOW slots from there on, of their words, and of the L
+    words for each length L in short; null where the text ends before.
 
-def windows(slots: Column, short: Sequence[int] = ()) -> Column:
-    """(template, plain, shortL...) per place: fingerprints of the WINDOW slots from there on, of their words, and of the L words
-    for each length L in short; null where the text ends before.
+    With starts, a bitmap of the pairs that the items' windows begin with, only the places that begin with one of them.
     """
     least = min([WINDOW, *short])
-    hashes = F.struct(F.transform(slots, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(slots, lambda x: F.xxhash64(x["w"])).alias("w"))
 
     def one(h: Column) -> Column:
         n = F.size(h["w"])
 
         def at(i: Column) -> Column:
-            whole = [F.xxhash64(F.slice(h[c], i + 1, WINDOW)) for c in ("t", "w")]
+            whole = [F.xxhash64(*[F.get(h[c], i + k) for k in range(WINDOW)]) for c in ("t", "w")]
             if short:
                 whole = [F.when(i + WINDOW <= n, x) for x in whole]
             less = [F.when(i + size <= n, F.xxhash64(F.slice(h["w"], i + 1, size))).alias(f"short{size}") for size in short]
-            return F.struct(whole[0].alias("template"), whole[1].alias("plain"), *less)
+            return F.struct(i.alias("pos"), whole[0].alias("template"), whole[1].alias("plain"), *less)
 
-        return F.transform(F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>")), at)
+        places = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
+        if starts is not None:
+            places = F.filter(places, lambda i: _marked(starts, pair(h["w"], i)) | _marked(starts, pair(h["t"], i)))
+        return F.transform(places, at)
 
     return _let(hashes, one)
 
 
+def _place(code: Column, words: int) -> Column:
+    return F.pmod(code, F.lit(64 * words)).cast("int")
+
+
+def _marked(starts: tuple[Column, int], code: Column) -> Column:
+    bitmap, words = starts
+    at = _place(code, words)
+    return F.getbit(F.get(bitmap, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
+
+
+def starting_pairs(items: DataFrame, known: int) -> tuple[Column, int]:
+    """(bitmap, 64-bit words) of the pairs the items' windows begin with: a constant of the plan, of 16 K words at most.
+
+    A crowded bitmap lets more places through, never fewer.
+    """
+    words = min(1 << max((known - 1).bit_length() - 2, 4), MOST_WORDS) if known else 1
+    codes = items.select(F.explode(F.array("first_w", "first_t")).alias("code")).filter("code is not null")
+    marks = codes.select(_place(F.col("code"), words).alias("at")).distinct().groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, at & 63)) AS bits"))
+    bits = [0] * words
+    for r in marks.collect():
+        bits[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), words
+
+
 def _value(slot: Column) -> Column:
     """The value of a placeholder, null for an ordinary word."""
     return F.when(F.left(slot["t"], F.lit(1)) == "<", slot["w"])
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, ipos, key, slots, plain, item_windows): both fingerprints of the items' windows, where they differ.
+    """(item_id, ipos, key, slots, plain, item_windows, first_w, first_t): both fingerprints of the items' windows, where they differ.
 
     An item of fewer slots has one window, of all its words.
 
     The template of a window without PLAIN ordinary words is too common to be told by; its words still are.
     """
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), slots_of(F.col(text)).alias("s"))
-    found = rows.select("item_id", "s", F.posexplode(windows(F.col("s"))).alias("ipos", "both"))
-    found = found.select("item_id", "ipos", F.slice("s", F.col("ipos") + 1, WINDOW).alias("slots"), "both.template", "both.plain")
+    found = rows.select("item_id", "s", hashed(F.col("s")).alias("h")).select("item_id", "s", "h", F.explode(windows(F.col("h"))).alias("both"))
+    found = found.select(
+        "item_id", F.col("both.pos").alias("ipos"), F.slice("s", F.col("both.pos") + 1, WINDOW).alias("slots"), "both.template", "both.plain",
+        *[pair(F.col(f"h.{c}"), F.col("both.pos")).alias(f"first_{c}") for c in ("w", "t")])
     whole = F.xxhash64(F.transform("s", lambda x: F.xxhash64(x["w"])))
-    less = rows.filter(F.size("s").between(1, WINDOW - 1)).select("item_id", F.lit(0).alias("ipos"), F.col("s").alias("slots"), whole.alias("template"), whole.alias("plain"))
+    less = rows.filter(F.size("s").between(1, WINDOW - 1)).select("item_id", F.lit(0).alias("ipos"), F.col("s").alias("slots"), whole.alias("template"), whole.alias("plain"), *[F.lit(None).cast("long").alias(f"first_{c}") for c in ("w", "t")])
     found = found.union(less).distinct()
     plenty = F.size(F.filter("slots", lambda x: _value(x).isNull())) >= PLAIN
-    found = found.select("item_id", "ipos", "slots", "plain", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
+    found = found.select("item_id", "ipos", "slots", "plain", "first_w", "first_t", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
     many = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("plain").alias("item_windows"))
     return found.join(many, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
@@ -123,11 +175,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     known = items.count()
     short = sorted(r[0] for r in items.select(F.size("slots")).filter(F.size("slots") < WINDOW).distinct().collect())  # at most WINDOW - 1
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    every = rows.select("doc_id", "text_hash", F.posexplode(_let(slots_of(F.col("text")), lambda s: windows(s, short))).alias("pos", "both"))
-    # null where the words have the fingerprint of the slots; the join drops it
-    told_by = F.array(F.col("both.template"), F.when(F.col("both.plain") != F.col("both.template"), F.col("both.plain")), *[F.col(f"both.short{size}") for size in short])
-    every = every.select("doc_id", "text_hash", "pos", F.explode(told_by).alias("key"))
-    hits = every.join(_side(items.drop("slots"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
+    every = rows.select("doc_id", "text_hash", F.explode(windows(hashes_of(F.col("text")), short, None if short else starting_pairs(items, known))).alias("both"))
+    # one key where the words have the fingerprint of the slots
+    plain, template = F.col("both.plain"), F.col("both.template")
+    told_by = F.when(plain == template, F.array(template)).otherwise(F.array(template, plain))
+    if short:  # and none where the text ends before
+        told_by = F.array_compact(F.concat(told_by, F.array(*[F.col(f"both.short{size}") for size in short])))
+    every = every.select("doc_id", "text_hash", F.col("both.pos").alias("pos"), F.explode(told_by).alias("key"))
+    hits = every.join(_side(items.drop("slots", "first_w", "first_t"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
     hits = stored(hits, "hits")
     # enough windows, whatever their slots; then the slots of those documents only
     enough = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("plain").alias("n"), F.max("item_windows").alias("item_windows")).filter(
