@@ -151,6 +151,12 @@ class Bpe:
         parts = self.special.split(run)
         return b"".join([self.added[p].to_bytes(4, "little") if k % 2 else self._part(p) if p else b"" for k, p in enumerate(parts)])
 
+    def forget(self) -> None:
+        """Drop the known words, so that a worker that lives on for other stages holds the model alone."""
+        self.pieces.clear()
+        self.runs.clear()
+        trim()
+
     def prepare(self, runs: list[str]) -> None:
         """Called with the distinct runs of a slice before they are looked up."""
 
@@ -219,15 +225,18 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(where)
-        for batch in batches:
-            at = 0
-            for ids, ends in bpe.encode(batch.column(names.index(text))):
-                n = len(ends) - 1
-                told = [bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
-                cols = [*batch.select(kept).slice(at, n).columns, lists, pa.array(np.diff(ends), pa.int64()), pa.array([t.decode() for t in told], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, [*kept, "ids", "n_tokens", "decoded"])
-                at += n
+        try:
+            for batch in batches:
+                at = 0
+                for ids, ends in bpe.encode(batch.column(names.index(text))):
+                    n = len(ends) - 1
+                    told = [bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))
+                    cols = [*batch.select(kept).slice(at, n).columns, lists, pa.array(np.diff(ends), pa.int64()), pa.array([t.decode() for t in told], pa.string())]
+                    yield pa.RecordBatch.from_arrays(cols, [*kept, "ids", "n_tokens", "decoded"])
+                    at += n
+        finally:
+            bpe.forget()
 
     return docs.mapInArrow(work, shown)
 
