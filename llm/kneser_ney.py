@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.bytescan import texts_of, trim
-from llm.common import join_small, stored
+from llm.common import join_small, small_batches, stored
 
 ORDER = 4
 SPREAD = 5
 BROADCAST_ROWS = 3_000_000
-SLICE = 8 << 20
+SLICE = 1 << 20
 START, END, POOL = 2, 3, -1
 UNIFORM = 1 / 257
 
@@ -203,6 +203,7 @@ def perplexities(rows: DataFrame, seen: list[DataFrame], back: list[DataFrame],
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept."""
+    small_batches(docs.sparkSession)
     good = labels.groupBy("doc_id").agg(F.min(((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("good")).filter("good = 1").select(F.col("doc_id").alias("_id"))
     langs = sorted({r["lang"] for r in docs.select("lang").distinct().collect()}, key=lambda x: (x is None, x))  # languages, not rows
     code = F.lit(len(langs)).cast("int")
