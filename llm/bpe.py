@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from llm import bytescan
 from llm.bytescan import trim
 from llm.common import small_batches
 
@@ -160,13 +161,13 @@ class Bpe:
     def prepare(self, runs: list[str]) -> None:
         """Called with the distinct runs of a slice before they are looked up."""
 
-    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of whole texts as (ids, offsets of the texts), for slices of about SLICE bytes, in order."""
+    def encode(self, texts: pa.Array, size_limit: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of whole texts as (ids, offsets of the texts), for slices of about size_limit bytes, in order."""
         texts = texts.cast(pa.large_string()).fill_null("")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, np.int64)
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size_limit, side="right")))
             part = texts.slice(at, to - at)
             if not pc.any(pc.match_substring_regex(part, self.as_written)).as_py():
                 part = pc.ascii_lower(part)
@@ -224,11 +225,12 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
     shown = docs.select(*[f"`{c}`" for c in kept]).selectExpr("*", "cast(null as array<int>) AS ids", "0L AS n_tokens", "'' AS decoded").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bytescan.forget()
         bpe = load(where)
         try:
             for batch in batches:
                 at = 0
-                for ids, ends in bpe.encode(batch.column(names.index(text))):
+                for ids, ends in bpe.encode(batch.column(names.index(text)), SLICE // 4):
                     n = len(ends) - 1
                     told = [bpe.decode(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4")))

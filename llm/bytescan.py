@@ -47,6 +47,12 @@ def trim() -> None:
         pass
 
 
+def forget() -> None:
+    """Drop the powers that other stages left in this worker."""
+    _powers.clear()
+    trim()
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2**64; kept up to 8 M of them."""
     have = _powers.get(int(base), np.ones(1, np.uint64))
