@@ -669,7 +669,7 @@ def q_compare_models(spark, sf):
 
 
 def q_model_comparison(spark, sf):
-    return compare_plan.compare(event_logs(spark, sf)).drop("roc_auc", "total")
+    return compare_plan.compare(event_logs(spark, sf), ("ngram", "tfidf", "classifier")).drop("roc_auc", "total")
 
 
 def q_row_model_comparison(spark, sf):
