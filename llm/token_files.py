@@ -5,8 +5,11 @@ holds two streams: control bytes with four two-bit lengths each, and the data by
 is decoded by looking up its four lengths in a table of 256 rows; the values then come from four masked gathers of
 numpy, without a loop over ids.
 
-A folder of files has `blocks` (in ascending doc_id order: part, first, doc_ids, sizes, control, data) and `ranks`
-(id by rank).  `first` is the number of ids of all documents before the block, so a block can be read alone.
+A folder of files has `blocks` (part, before, doc_ids, sizes, control, data), `ranks` (id by rank) and `starts` (ids of
+all documents before each part).  The files of `blocks`, read by name, hold the documents in ascending doc_id order, a
+part in each; `before` counts the ids before the block in its part, so a block can be read alone.
+
+Texts are encoded where they are scanned, with their ids counted on the way; what is exchanged are the ids.
 
 Defined cases: null text is empty and has the end id only; null doc_id comes first; rows of equal doc_id are in the
 order of a hash of their text; repeated rows are written each; an empty table gives empty files; other columns are not
@@ -24,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import PLAIN, Bpe, default_path
+from llm.bytescan import texts_of
 from llm.common import scratch_path, small_batches, stored
 
 END = 1
@@ -103,102 +107,110 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(part, seat, doc_id, before, n, ids): rows in ascending order of key; before counts the ids earlier in the part."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("_h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    """(doc_id, h, n, ids, tally): a row per document where the scan has it, and per task a row of its counts by id."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    names = ["doc_id", "h", "n", "ids", "tally"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, before, seat = load(path), 0, 0
-        kind = "<u2" if len(bpe.spelled) <= 0xFFFF else "<u4"  # two bytes an id where they suffice
+        bpe = load(path)
+        kind = np.dtype("<u2" if len(bpe.spelled) <= 0xFFFF else "<u4")  # two bytes an id where they suffice
+        count = np.zeros(max(len(bpe.spelled), END + 1), np.int64)
         for batch in batches:
             at = 0
-            for ids, ends in bpe.encode(batch.column(1)):
-                n = len(ends) - 1
-                each = [np.append(ids[a:b], END).astype(kind) for a, b in zip(ends[:-1], ends[1:])]
-                size = np.diff(ends) + 1
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(2).slice(at, n), pa.array(np.arange(seat, seat + n)), batch.column(0).slice(at, n),
-                    pa.array(before + np.cumsum(size) - size), pa.array(size),
-                    pa.array([x.tobytes() for x in each], pa.binary()),
-                ], ["part", "seat", "doc_id", "before", "n", "ids"])
-                before, seat, at = before + int(size.sum()), seat + n, at + n
-
-    return rows.mapInArrow(work, "part int, seat long, doc_id long, before long, n long, ids binary")
-
+            for ids, ends in bpe.encode(batch.column(2)):
+                n, size = len(ends) - 1, np.diff(ends) + 1
+                off = np.concatenate([[0], np.cumsum(size)])
+                inner = np.ones(off[-1], bool)
+                inner[off[1:] - 1] = False
+                whole = np.full(off[-1], END, kind)
+                whole[inner] = ids
+                count += np.bincount(whole, minlength=len(count))
+                blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((off * kind.itemsize).astype(np.int32)), pa.py_buffer(whole)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(size), blobs, pa.nulls(n, pa.binary())], names)
+                at += n
+        if count.any():
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([count.tobytes()], pa.binary())], names)
+
+    return rows.mapInArrow(work, "doc_id long, h long, n long, ids binary, tally binary")
+
+
+def counted(tokens: DataFrame) -> list[tuple[int, int]]:
+    """(id, occurrences) of the ids that occur: as many rows as the vocabulary has at most."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(0, np.int64)
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                more = np.frombuffer(blob, np.int64)
+                count = more + count if len(count) else more
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["id", "n"])
 
-def _ids(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, "<u2" if len(blob) == 2 * n else "<u4").astype(np.int64)
+    sums = tokens.filter("tally is not null").select("tally").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return [(r["id"], r["n"]) for r in sums.collect()]
 
 
 def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None) -> None:
     """Encode docs and write the folder of token files."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = stored(tokenised(docs, key, text, path or default_path()), "tokens")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(0, np.int64)
-        for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                more = np.bincount(_ids(blob, n))
-                if len(more) > len(count):
-                    count = np.concatenate([count, np.zeros(len(more) - len(count), np.int64)])
-                count[: len(more)] += more
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["id", "n"])
-
-    # as many rows as the vocabulary has ids, and as the layout has parts
-    counts = rows.select("n", "ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    ids = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
+    tokens = stored(tokenised(docs, key, text, path or default_path()), "tokens")
+    ids = [i for i, _ in sorted(counted(tokens), key=lambda x: (-x[1], x[0]))]
     spark.createDataFrame([(k, i) for k, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
-    sizes = rows.groupBy("part").agg(F.sum("n").alias("n")).collect()
-    start, total = {}, 0
-    for r in sorted(sizes, key=lambda r: r["part"]):
-        start[r["part"]], total = total, total + r["n"]
     rank = np.zeros(max(ids, default=0) + 1, np.uint32)
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
-    shared = spark.sparkContext.broadcast((rank, start))
+    shared = spark.sparkContext.broadcast(rank)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, start = shared.value
+        rank, before = shared.value, 0
         for batch in batches:
-            row = batch.to_pydict()
-            part = np.array(row["part"], np.int64)
-            at = 0
-            while at < len(part):
-                to = min(at + BLOCK_DOCS, at + int(np.argmax(np.append(part[at:], -1) != part[at])))
-                n = row["n"][at:to]
-                value = np.concatenate([_ids(b, k) for b, k in zip(row["ids"][at:to], n)])
-                control, data = pack(rank[value])
+            raw, offsets = texts_of(batch.column(2))
+            size = batch.column(1).to_numpy()
+            for at in range(0, len(batch), BLOCK_DOCS):
+                n = size[at : at + BLOCK_DOCS]
+                mine = raw[offsets[at] : offsets[at + len(n)]]
+                total = int(n.sum())
+                control, data = pack(rank[mine.view("<u2" if len(mine) == 2 * total else "<u4")])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([row["part"][at]], pa.int32()), pa.array([start[row["part"][at]] + row["before"][at]], pa.int64()),
-                    pa.array([row["doc_id"][at:to]], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())),
-                    pa.array([control], pa.binary()), pa.array([data], pa.binary()),
-                ], ["part", "first", "doc_ids", "sizes", "control", "data"])
-                at = to
-
-    rows.mapInArrow(encode, "part int, first long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.parquet(f"{folder}/blocks")
+                    batch.column(3).slice(at, 1), pa.array([before], pa.int64()), pa.array([batch.column(0).slice(at, len(n)).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([n], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary()),
+                ], ["part", "before", "doc_ids", "sizes", "control", "data"])
+                before += total
+
+    # the ids are exchanged, not the texts; each task then writes its part, as it lies, into the file of its number
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    rows = tokens.filter("n is not null").select("doc_id", "h", "n", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows.select("doc_id", "n", "ids", F.spark_partition_id().alias("part")).mapInArrow(
+        encode, "part int, before long, doc_ids array<long>, sizes array<long>, control binary, data binary").write.parquet(f"{folder}/blocks")
+    sizes = spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    starts, total = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: r["part"]):  # one row per part
+        starts.append((r["part"], total))
+        total += r["n"]
+    spark.createDataFrame(starts, "part int, start long").coalesce(1).write.parquet(f"{folder}/starts")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the files; ids as little-endian unsigned 32-bit integers."""
     table = np.array([r["id"] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()], "<u4")  # a vocabulary
-    shared = spark.sparkContext.broadcast(table)
+    starts = {r["part"]: r["start"] for r in spark.read.parquet(f"{folder}/starts").collect()}  # one row per part
+    shared = spark.sparkContext.broadcast((table, starts))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, starts = shared.value
         for batch in batches:
             for k in range(len(batch)):
-                first, docs, sizes, control, data = (c[k].as_py() for c in batch.columns)
-                ids = shared.value[unpack(control, data, sum(sizes))]
+                part, before, docs, sizes, control, data = (c[k].as_py() for c in batch.columns)
+                ids, first = table[unpack(control, data, sum(sizes))], starts[part] + before
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(docs, pa.int64()), pa.array(first + ends[:-1]), pa.array(np.array(sizes, np.int64)),
                     pa.array([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
                 ], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.parquet(f"{folder}/blocks").select("first", "doc_ids", "sizes", "control", "data").mapInArrow(
+    return spark.read.parquet(f"{folder}/blocks").select("part", "before", "doc_ids", "sizes", "control", "data").mapInArrow(
         decode, "doc_id long, start long, n_tokens long, ids binary")
 
 

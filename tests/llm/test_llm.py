@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import pathlib
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from llm import bpe, decontamination, histogram_shards, html_text, kneser_ney, prefix_tree_join, quality_rules, suffix_dedup, token_files, warc
@@ -295,6 +297,9 @@ def test_token_files(spark, docs, corpus, none):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     want = Counter((r[0], zlib.crc32(np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in corpus)
     assert Counter((r.doc_id, zlib.crc32(r.ids)) for r in rows) == want
+    files = sorted(pathlib.Path(folder, "blocks").glob("*.parquet"))
+    by_name = [i for f in files for block in pq.read_table(f, columns=["doc_ids"]).column(0).to_pylist() for i in block]
+    assert len(files) > 1 and by_name == ids
     empty = scratch_path(spark, "test-tokens")
     token_files.write_tokens(none, empty)
     assert token_files.read_tokens(spark, empty).count() == 0
