@@ -207,6 +207,9 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+bytescan.kept["bpe"] = load.cache_clear
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -225,7 +228,7 @@ def encode_decode(docs: DataFrame, text: str = "text", path: str | None = None,
     shown = docs.select(*[f"`{c}`" for c in kept]).selectExpr("*", "cast(null as array<int>) AS ids", "0L AS n_tokens", "'' AS decoded").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytescan.forget()
+        bytescan.forget("bpe")
         bpe = load(where)
         try:
             for batch in batches:

@@ -47,9 +47,15 @@ def trim() -> None:
         pass
 
 
-def forget() -> None:
-    """Drop the powers that other stages left in this worker."""
-    _powers.clear()
+#: What a worker keeps between tasks, and how to drop it.
+kept = {"powers": _powers.clear}
+
+
+def forget(but: str = "") -> None:
+    """Drop what other stages left in this worker; all but the one that is named."""
+    for name, drop in kept.items():
+        if name != but:
+            drop()
     trim()
 
 

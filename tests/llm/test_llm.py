@@ -153,6 +153,15 @@ def test_prefix_tree_join(docs, corpus, none):
     assert prefix_tree_join.component_rows(none).count() == 0
 
 
+def test_repeated_row_gives_one_set(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = " ".join([*words[:199], "other"])
+    rows = spark.createDataFrame([(1, near), (3, "alone by itself in here")], "doc_id long, text string").union(
+        spark.range(20_000).selectExpr("2L", f"'{' '.join(words)}'"))
+    got = Counter((r.doc_id, r.component_id) for r in prefix_tree_join.component_rows(rows).collect())
+    assert got == {(1, 1): 1, (2, 1): 20_000, (3, 3): 1}
+
+
 def test_unique_documents(docs, corpus):
     sets, group = brute_groups(corpus, 5, 80)
     got = prefix_tree_join.unique_documents(docs)
