@@ -3,7 +3,8 @@
 Equal rows are first collapsed into one point with a weight, so frequent values cannot make a group hot.
 A point set up to ``broadcast_points`` is sent to the tasks.  Beyond that, points are assigned to the
 nearest of a set of sampled pivots; a point is compared with the other cells only where the triangle
-inequality leaves a chance of a nearer neighbour, which is exact and avoids comparing all pairs.
+inequality leaves a chance of a nearer neighbour, which is exact and avoids comparing all pairs.  At row level, with
+millions of distinct points, ask for ``trees``: beyond ``broadcast_points`` a forest finds the neighbours, nearly all of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ...scratch import materialize
 from ..ordering import POS, PART, lay_out, number_rows
+from . import neighbour_forest
 
 BROADCAST_POINTS = 20_000
 CELL_POINTS = 2_000
@@ -117,8 +119,9 @@ def _neighbours_large(pts: DataFrame, k: int, n: int, cell_points: int, asking:
     return own.unionByName(_search_cells(materialize(travelling, "visits"), celled, k))
 
 
-def _search_cells(visitors: DataFrame, celled: DataFrame, k: int) -> DataFrame:
-    """Nearest members of a cell for its visitors; a cell with many visitors is served by several tasks."""
+def _search_cells(visitors: DataFrame, celled: DataFrame, k: int, search=None) -> DataFrame:
+    """Nearest members of a cell for its visitors (by ``search``, if not all are to be compared); a cell with many visitors
+    is served by several tasks."""
     load = visitors.groupBy("cell").agg(F.ceil(F.count("*") / VISIT_ROWS).cast("int").alias("_tasks"))
     asked = visitors.join(F.broadcast(load), "cell").withColumn("_task", F.pmod(F.xxhash64("point"), "_tasks").cast("int"))
     served = (
@@ -133,10 +136,11 @@ def _search_cells(visitors: DataFrame, celled: DataFrame, k: int) -> DataFrame:
     def meet(who: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if who.empty or there.empty:
             return pd.DataFrame({"point": [], "neighbour": [], "dist": [], "weight": []})
-        return _nearest(
+        both = (
             who["point"].to_numpy(), _matrix(who["x"]), there["member"].to_numpy(), _matrix(there["y"]),
             there["copies"].to_numpy(), k,
         )
+        return search(int(who["cell"].iloc[0]), *both) if search else _nearest(*both)
 
     return asked.drop("_tasks").groupBy("cell", "_task").cogroup(
         served.groupBy("home", "_copy")
@@ -144,23 +148,25 @@ def _search_cells(visitors: DataFrame, celled: DataFrame, k: int) -> DataFrame:
 
 
 def neighbours(
-    pts: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, cell_points: int = CELL_POINTS
+    pts: DataFrame, k: int, broadcast_points: int = BROADCAST_POINTS, cell_points: int = CELL_POINTS, trees: int = 0
 ) -> DataFrame:
     """(point, neighbour, dist, used): the neighbours of one copy of each point, ``used`` copies each.
 
     The other copies of the point itself come first, at distance 0.
     """
-    found = _found(pts, k, broadcast_points, cell_points, pts)
+    found = _found(pts, k, broadcast_points, cell_points, pts, trees)
     copies = pts.filter(F.col("weight") > 1).select(
         "point", F.col("point").alias("neighbour"), F.lit(0.0).alias("dist"), (F.col("weight") - 1).alias("weight")
     )
     return _pick(found.unionByName(copies), k)
 
 
-def _found(pts: DataFrame, k: int, broadcast_points: int, cell_points: int, asking: DataFrame) -> DataFrame:
+def _found(pts: DataFrame, k: int, broadcast_points: int, cell_points: int, asking: DataFrame, trees: int = 0) -> DataFrame:
     n = pts.count()
     if n <= broadcast_points:
         return _neighbours_small(pts, k, asking)
+    if trees:
+        return neighbour_forest.neighbours(pts, k, n, asking, trees)
     return _neighbours_large(pts, k, n, cell_points, asking)
 
 
@@ -179,7 +185,7 @@ def _pick(found: DataFrame, k: int) -> DataFrame:
 
 
 def score(df: DataFrame, cols: list[str], k: int = 20, **limits) -> DataFrame:
-    """Adds ``anomaly_score``, the local outlier factor of each row among all rows."""
+    """Adds ``anomaly_score``, the local outlier factor of each row among all rows; ``limits`` are those of ``neighbours``."""
     pts = points(df, cols)
     near = materialize(neighbours(pts, k, **limits), "neighbours")
     reach, density = _densities(near)
@@ -193,7 +199,7 @@ def score_new(df: DataFrame, train: DataFrame, cols: list[str], k: int = 20, **l
     pts = points(df, cols)
     # numbers below zero, so that a new point is never taken for a training point of the same number
     asking = pts.withColumn("point", -1 - F.col("point"))
-    found = _found(known, k, limits.get("broadcast_points", BROADCAST_POINTS), limits.get("cell_points", CELL_POINTS), asking)
+    found = _found(known, k, limits.get("broadcast_points", BROADCAST_POINTS), limits.get("cell_points", CELL_POINTS), asking, limits.get("trees", 0))
     near = materialize(_pick(found, k), "neighbours")
     own = _density(near, reach)
     return _with_factors(df, cols, asking, _factors(near, density, own))

@@ -10,7 +10,7 @@ from ..functions.rowfeatures import ROW_FEATURES, row_features
 from ..functions.severity import with_severity
 from ..operators import baseline as B
 from ..operators import evaluate as E
-from ..operators.detectors import autoencoder, copod, iforest, lof, pca_recon, rff_ocsvm
+from ..operators.detectors import autoencoder, copod, iforest, lof, neighbour_forest, pca_recon, rff_ocsvm
 from ..operators.severities import severity_summary
 from ..operators.splits import split_nested
 from ..scratch import materialize
@@ -44,7 +44,8 @@ def score(prepared: DataFrame, detector: str, contamination: float = 0.1) -> Dat
     elif detector == "lof":
         mine = F.coalesce((F.col("split") == "train") & ~F.col("is_error"), F.lit(False))
         # training rows against each other, all others against them
-        scored = lof.score(normal, ROW_FEATURES).unionByName(lof.score_new(prepared.filter(~mine), normal, ROW_FEATURES))
+        trees = neighbour_forest.TREES
+        scored = lof.score(normal, ROW_FEATURES, trees=trees).unionByName(lof.score_new(prepared.filter(~mine), normal, ROW_FEATURES, trees=trees))
     elif detector == "neural_autoencoder":
         scored = autoencoder.score(prepared, autoencoder.fit(normal, ROW_FEATURES))
     elif detector == "ocsvm":
