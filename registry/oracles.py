@@ -433,6 +433,8 @@ def oracle_sql() -> dict[str, str]:
         "calendar_fields": LOGS + f" SELECT {n('line_number', 'line_number')}, {n('hour(timestamp)', 'hour')}, {n('minute(timestamp)', 'minute')}, strftime(timestamp, '%Y-%m-%d') AS date, {ts('''time_bucket(INTERVAL '10 minutes', timestamp)''', 'time_window')} FROM logs",
         "message_stats": LOGS + f" SELECT level, is_error, has_exception, {n('count(*)', 'n')}, {r6('avg(message_length)', 'avg_length')}, {n('max(message_length)', 'max_length')} FROM logs GROUP BY ALL",
         "read_limits": LOGS + f" SELECT {n('k', 'line_number')}, {ts('timestamp', 'timestamp')}, level, message FROM (SELECT *, row_number() OVER (ORDER BY line_number) AS k FROM logs WHERE file_path LIKE '%-01.log') WHERE k <= 30",
+        "read_first_rows": LOGS + f""" SELECT {n('k', 'line_number')}, {ts('timestamp', 'timestamp')}, level, message FROM (SELECT *, row_number() OVER (ORDER BY day, k) AS place FROM (
+            SELECT *, row_number() OVER (PARTITION BY day ORDER BY line_number) AS k, dense_rank() OVER (ORDER BY day) AS file FROM (SELECT *, right(file_path, 6) AS day FROM logs)) WHERE file <= 25 AND k <= 250) WHERE place <= 4010""",
         "template_extract": LOGS + f" SELECT template, {n('count(*)', 'n')} FROM logs GROUP BY template",
         "template_specific_first": LOGS + f""" SELECT trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
             '\\d{{4}}-\\d{{2}}-\\d{{2}}[\\sT]\\d{{2}}:\\d{{2}}:\\d{{2}}', '*', 'g'), '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}', '*', 'g'),

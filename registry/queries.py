@@ -19,7 +19,7 @@ from logsieve.operators import severities as S
 from logsieve.operators import vocabulary as V
 from logsieve.operators import windows as W
 from logsieve.operators.detectors import (
-    autoencoder, context_tree, copod, iforest, lof, ngram_next, order_classifier, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
+    autoencoder, context_tree, copod, iforest, lof, neighbour_forest, ngram_next, order_classifier, pca_recon, rff_ocsvm, seq_classifier, temporal, tfidf_seq,
 )
 from logsieve.plans import compare as compare_plan
 from logsieve.plans import rows as row_plan
@@ -151,6 +151,12 @@ def q_read_limits(spark, sf):
     return logs.select("line_number", "timestamp", "level", "message")
 
 
+def q_read_first_rows(spark, sf):
+    """The first files of the month, of each its first lines, and of those the first parsed rows: the limit falls inside a file."""
+    logs = read_logs(spark, day_files(spark, sf), max_files=25, sample_lines=250, max_total_lines=4010, pattern="part-*")
+    return logs.select("line_number", "timestamp", "level", "message")
+
+
 def q_template_extract(spark, sf):
     return V.template_counts(templated(spark, sf))
 
@@ -797,6 +803,26 @@ def q_lof(spark, sf):
     return lof.score(scaled, NUMERIC).select(W.WINDOW, "anomaly_score")
 
 
+def row_points(spark, sf):
+    """The distinct scaled feature vectors of all rows."""
+    rows = row_plan.prepare(event_logs(spark, sf))
+    return rows, lof.points(rows, rowfeatures.ROW_FEATURES)
+
+
+def q_lof_rows(spark, sf):
+    """Local outlier factor of every log line among all lines, neighbours by the forest at any size."""
+    rows, _ = row_points(spark, sf)
+    scored = lof.score(rows, rowfeatures.ROW_FEATURES, broadcast_points=0, trees=neighbour_forest.TREES)
+    return scored.select(row_plan.KEY, "anomaly_score")
+
+
+def q_lof_forest_recall(spark, sf):
+    """Share of the true neighbours that the forest finds, for every hundredth distinct line."""
+    _, pts = row_points(spark, sf)
+    found = neighbour_forest.neighbours(pts, 20, pts.count(), pts)
+    return neighbour_forest.recall(pts, found, 20)
+
+
 def q_iforest(spark, sf):
     parted = split_windows(spark, sf)
     scored = iforest.score(parted, iforest.fit(train_windows(parted), W.WINDOW_FEATURES, W.WINDOW))

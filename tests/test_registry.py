@@ -7,11 +7,12 @@ from registry import oracles, queries
 
 SF = "/root/testdata/sf0.001"
 # one query of each kind; check.py compares all of them
-SAMPLE = ["parse_lines", "window_features", "unusual_patterns", "split_nested", "tfidf_seq_anomalies", "sequence_risk", "lof"]
+SAMPLE = ["parse_lines", "window_features", "unusual_patterns", "split_nested", "tfidf_seq_anomalies", "sequence_risk", "lof", "read_first_rows"]
 # trained results
 NO_SQL = {
     "autoencoder", "order_classifier", "seq_classifier", "model_comparison", "row_model_comparison",
-    "stacking", "iforest", "pca_recon", "rff_ocsvm", "detect_all",
+    "stacking", "iforest", "pca_recon", "rff_ocsvm", "detect_all", "lof_rows",
+    "lof_forest_recall",
 }
 
 

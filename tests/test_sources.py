@@ -1,4 +1,5 @@
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from logsieve.plans import windows as P
@@ -56,6 +57,26 @@ def test_limits(spark, folder):
     assert L.read_logs(spark, f"{folder}/b.log").count() == 400
 
 
+def test_total_limit_over_files_and_splits(spark, tmp_path):
+    for f in range(7):
+        rows = [line(i, text=f"f{f} {i}") if i % 3 else "no log line" for i in range(60 * f)]
+        (tmp_path / f"n {f}.log").write_text("\n".join(rows) + "\n")
+    whole = [(r["file_path"], r["line_number"], r["message"]) for r in L.read_logs(spark, str(tmp_path)).orderBy("file_path", "line_number").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        for rows in (0, 1, 40, 41, 333, len(whole) + 5):
+            got = L.read_logs(spark, str(tmp_path), max_total_lines=rows)
+            assert sorted((r["file_path"], r["line_number"], r["message"]) for r in got.collect()) == sorted(whole[:rows])
+            assert not any(w in plan_of(got) for w in ("GlobalLimit", "TakeOrdered")) or rows == 0
+        assert {f.rsplit("/", 1)[1] for f in L.read_logs(spark, str(tmp_path), max_total_lines=41).inputFiles()} == {"n%201.log", "n%202.log"}
+        few = L.read_logs(spark, str(tmp_path), max_files=4, sample_lines=50, max_total_lines=80)
+        assert sorted((r["file_path"], r["line_number"]) for r in few.collect()) == [x[:2] for x in whole if x[0] < "n%204" and x[1] <= 50][:80]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_parsed_tables(spark, folder, tmp_path):
     logs = L.read_logs(spark, folder)
     K.write_parsed(logs.repartition(1), f"{tmp_path}/parsed", chunk_rows=100)
