@@ -805,7 +805,9 @@ def q_lof(spark, sf):
 
 def row_points(spark, sf):
     """The distinct scaled feature vectors of all rows."""
-    rows = row_plan.prepare(event_logs(spark, sf))
+    keyed = event_logs(spark, sf).withColumn(row_plan.KEY, F.concat_ws(":", "file_path", F.col("line_number").cast("string")))
+    rows = O.materialize(rowfeatures.row_features(keyed), "rows")
+    rows = O.materialize(B.scale(rows, B.fit_scaler(rows, rowfeatures.ROW_FEATURES), rowfeatures.ROW_FEATURES), "scaled")
     return rows, lof.points(rows, rowfeatures.ROW_FEATURES)
 
 
