@@ -32,9 +32,12 @@ def lay_out(df: DataFrame, keys: list[Column | str], name: str = "ordered") -> D
 
 
 def lay_out_logs(logs: DataFrame) -> DataFrame:
-    """Logs in time order; lines without a valid time come last, by file and line."""
+    """Logs in time order; lines without a valid time come last, by file and line.
+
+    The lines are written as they come first: choosing the ranges reads them once more, which would parse the text twice.
+    """
     first, *rest = LOG_ORDER
-    return lay_out(logs, [F.col(first).asc_nulls_last(), *rest], "logs")
+    return lay_out(materialize(logs, "lines"), [F.col(first).asc_nulls_last(), *rest], "logs")
 
 
 def _starts(sizes: DataFrame, within: list[str], col: str) -> DataFrame:

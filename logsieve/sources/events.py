@@ -50,7 +50,11 @@ def event_lines(events: DataFrame) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed logs of the ``events`` table of a data folder."""
+    return parse_lines(event_lines(dealt_events(spark.read.parquet(f"{sf_dir}/events.parquet"))))
+
+
+def dealt_events(events: DataFrame) -> DataFrame:
+    """Events dealt over all cores before their lines are parsed; of a table or a stream."""
     columns = ["event_id", "ts", "user_id", "event_type"]
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns)
     # the test tables come as one small file with one row group, which Spark can't split
-    return parse_lines(event_lines(events.repartition(spark.sparkContext.defaultParallelism, "event_id")))
+    return events.select(*columns).repartition(events.sparkSession.sparkContext.defaultParallelism, "event_id")

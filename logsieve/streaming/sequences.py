@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,6 +31,7 @@ from .live import score_batches
 
 LINE = ["file_path", "line_number", "timestamp", "template_id", "severity_score"]
 SEQUENCES = "file_path string, position long, line_number long, sequence array<long>, max_severity_score long"
+CHUNK = 50_000  # lines of a file that are handed on at once
 CARRIED = "lines long, ids array<long>, severities array<long>"
 
 
@@ -51,18 +53,21 @@ def carried_sequences(lines: DataFrame, w: int, idle: str | None = None) -> Data
         before = len(ids)
         ids = np.concatenate([np.array(ids, np.int64), new["template_id"].to_numpy(np.int64)])
         severities = np.concatenate([np.array(severities, np.int64), new["severity_score"].to_numpy(np.int64)])
-        ends = [i for i in range(before, len(ids)) if i + 1 >= w]
+        numbers = new["line_number"].to_numpy()
         state.update((seen + len(new), ids[-w:].tolist(), severities[-w:].tolist()))
         if idle:
             newest = int(new["timestamp"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "file_path": [key[0]] * len(ends),
-            "position": [seen - before + i for i in ends],
-            "line_number": [int(new["line_number"].iloc[i - before]) for i in ends],
-            "sequence": [ids[max(0, i - w):i + 1].tolist() for i in ends],
-            "max_severity_score": [int(severities[i + 1 - w:i + 1].max()) for i in ends],
-        })
+        for at in range(max(before, w - 1), len(ids), CHUNK):
+            ends = np.arange(at, min(at + CHUNK, len(ids)))
+            some = list(sliding_window_view(ids, w + 1)[ends[ends >= w] - w]) if len(ids) > w else []
+            yield pd.DataFrame({
+                "file_path": [key[0]] * len(ends),
+                "position": seen - before + ends,
+                "line_number": numbers[ends - before],
+                "sequence": [ids[:w], *some] if ends[0] < w else some,  # the first has no line before it
+                "max_severity_score": sliding_window_view(severities, w)[ends + 1 - w].max(axis=1),
+            })
 
     if idle:
         lines = lines.withWatermark("timestamp", idle)
@@ -95,21 +100,19 @@ def score_sequences(found: DataFrame, tree: context_tree.Fitted, tfidf: tfidf_se
     w = tree.w
     if tfidf.w != w:
         raise ValueError("the two models look back over different numbers of lines")
-    rows = found.withColumns({
+    kinds = found.select("sequence").distinct().withColumns({
         "_before": F.when(F.size("sequence") > w, F.slice("sequence", 1, w)),
         "_last": F.slice("sequence", -w, w), "_next": F.element_at("sequence", -1),
     })
-    cases = rows.filter(F.col("_before").isNotNull()).select(F.col("_before").alias("sequence"), F.col("_next").alias("next_id")).distinct()
+    cases = kinds.filter(F.col("_before").isNotNull()).select(F.col("_before").alias("sequence"), F.col("_next").alias("next_id"))
     probs = context_tree.score_cases(cases, tree).select(
         F.col("sequence").alias("_before"), F.col("next_id").alias("_next"), "predicted_template", "prediction_prob"
     )
-    deviations = tfidf_seq.score_id_sequences(rows.select(F.col("_last").alias("sequence")).distinct(), tfidf, tree.vocab)
-    return (
-        rows.join(probs, ["_before", "_next"], "left")
-        .join(deviations.withColumnRenamed("sequence", "_last"), "_last")
-        .select(
-            "file_path", "position", "line_number", "max_severity_score", "predicted_template", "prediction_prob", "max_z_score",
-        )
+    deviations = tfidf_seq.score_id_sequences(kinds.select(F.col("_last").alias("sequence")).distinct(), tfidf, tree.vocab)
+    scored = kinds.join(probs, ["_before", "_next"], "left").join(deviations.withColumnRenamed("sequence", "_last"), "_last")
+    # the lines are exchanged once, by their sequence
+    return found.join(scored, "sequence").select(
+        "file_path", "position", "line_number", "max_severity_score", "predicted_template", "prediction_prob", "max_z_score",
     )
 
 

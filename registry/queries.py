@@ -27,7 +27,7 @@ from logsieve.plans import sequences as seq_plan
 from logsieve.plans import temporal as temporal_plan
 from logsieve.plans import windows as window_plan
 from logsieve.sources import sinks
-from logsieve.sources.events import event_lines, event_logs
+from logsieve.sources.events import dealt_events, event_lines, event_logs
 from logsieve.sources.logs import read_logs, read_split
 from logsieve.streaming import live
 from logsieve.streaming import sequences as stream_seq
@@ -267,7 +267,7 @@ def run_stream(spark, sf, make):
     """Run a stream over ``events`` until the input is used up; the result is what was appended."""
     events = table(spark, sf, "events")
     source = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    logs = live.event_time_for_streams(parsing.parse_lines(event_lines(source)))
+    logs = live.event_time_for_streams(parsing.parse_lines(event_lines(dealt_events(source))))
     out = f"{scratch.scratch_dir(spark)}/logsieve/stream-{uuid.uuid4().hex}"
     writer = make(logs).writeStream.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
     writer.format("parquet").start(f"{out}/rows").awaitTermination()
@@ -310,7 +310,7 @@ def q_stream_sequence_scores(spark, sf):
     for piece in range(3):
         events.filter((F.col("event_id") * 3 / cut).cast("int") == piece).write.mode("append").parquet(f"{out}/in")
         source = spark.readStream.schema(events.schema).parquet(f"{out}/in")
-        logs = live.event_time_for_streams(parsing.parse_lines(event_lines(source)))
+        logs = live.event_time_for_streams(parsing.parse_lines(event_lines(dealt_events(source))))
         stream_seq.score_lines(logs, tree, tfidf, out, f"{out}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{out}/scores").select("file_path", "position", "max_severity_score", "prediction_prob", "max_z_score")
 
