@@ -87,6 +87,37 @@ def split_nested(
     return parted if layout else parted.drop("_problem", PART, POS)
 
 
+def number_nested(
+    logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule: str = "is_error"
+) -> DataFrame:
+    """The parts of ``split_nested`` with ``problem``, ``idx`` in the part and ``class_idx`` in the part's class.
+
+    The rows of either class before a row follow from its position and its rank in its class, and so do those of its
+    part: the rows are ranked once.
+    """
+    laid = lay_out_logs(logs.withColumn("problem", is_problem(split_rule)).filter(F.col("problem").isNotNull()))
+    train_end = part_of(row_count(laid), train)
+    early = number_rows(laid, "_all").filter(F.col("_all") < train_end).groupBy("problem").agg(F.count("*").alias("n"))
+    sizes = {r["problem"]: r["n"] for r in early.collect()}  # two classes
+
+    def ends(problem: Column) -> tuple[Column, Column]:
+        """Rows of the class before the validation part and before the test part."""
+        size = F.when(problem, F.lit(sizes.get(True, 0))).otherwise(F.lit(sizes.get(False, 0))).cast("long")
+        return part_of(size, 1 - valid), size
+
+    rank, others = F.col("_rank"), F.col("_all") - F.col("_rank")
+    (mine, size), (theirs, _) = ends(F.col("problem")), ends(~F.col("problem"))
+    ranked = number_rows_within(number_rows(laid, "_all"), ["problem"], "_rank").withColumn(
+        "split", F.when(F.col("_all") >= train_end, "test").when(rank < mine, "train").otherwise("valid")
+    )
+    in_test, in_train = F.col("split") == "test", F.col("split") == "train"
+    return ranked.withColumns({
+        "idx": F.when(in_test, F.col("_all") - train_end).when(in_train, rank + F.least(others, theirs)).otherwise(
+            rank - mine + F.greatest(others - theirs, F.lit(0))),
+        "class_idx": F.when(in_test, rank - size).when(in_train, rank).otherwise(rank - mine),
+    }).drop("_all", "_rank", PART, POS)
+
+
 def split_chunked(
     indexed: DataFrame, train: float = 0.8, valid: float = 0.2, chunk_rows: int | None = None
 ) -> DataFrame:

@@ -8,9 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate as E
-from ..operators.ordering import PART, POS, number_rows_within
 from ..operators.sequences import spread_scores
-from ..operators.splits import split_nested
+from ..operators.splits import number_nested
 from ..operators.vocabulary import with_template
 from ..scratch import materialize
 from . import sequences as P
@@ -26,9 +25,7 @@ class Data(NamedTuple):
 
 def prepare(logs: DataFrame, train: float = 0.8, valid: float = 0.2, split_rule: str = "is_error") -> Data:
     """Nested split; every part with ``idx`` in time order, and ``class_idx`` within its class."""
-    parted = split_nested(with_template(logs).select(*COLUMNS), train, valid, split_rule, layout=True).drop("idx")
-    numbered = number_rows_within(number_rows_within(parted, ["split"], "idx"), ["split", "_problem"], "class_idx")
-    written = materialize(numbered.drop(PART, POS).withColumnRenamed("_problem", "problem"), "nested")
+    written = materialize(number_nested(with_template(logs).select(*COLUMNS), train, valid, split_rule), "nested")
     return Data(*[written.filter(F.col("split") == s) for s in ("train", "valid", "test")])
 
 

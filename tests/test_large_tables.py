@@ -1,9 +1,11 @@
 """Work that may not grow faster than the input: lines parsed once, rows ranked once, features made once."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from logsieve.operators import splits
 from logsieve.operators.ordering import lay_out_logs
 from logsieve.sources import events
 
@@ -37,3 +39,20 @@ def test_events_of_one_file_are_dealt_over_all_cores(spark, tmp_path):
     dealt.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/check").format("parquet").start(f"{tmp_path}/out").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == 4000 and out.select("part").distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_nested_parts_by_hand(spark):
+    for errors in (0.0, 0.3, 1.0):
+        table = logs(spark, 211, errors)
+        rows = sorted(table.collect(), key=lambda r: (r.timestamp, r.file_path, r.line_number))
+        early, sizes, met, want = int(211 * 0.8), Counter(), Counter(), {}
+        for r in rows[:early]:
+            sizes[r.is_error] += 1
+        for k, r in enumerate(rows):
+            part = "test" if k >= early else "train" if met["early", r.is_error] < int(sizes[r.is_error] * (1 - 0.2)) else "valid"
+            met["early", r.is_error] += 1
+            want[r.line_number] = (part, met[part], met[part, r.is_error], r.is_error)
+            met[part] += 1
+            met[part, r.is_error] += 1
+        got = {r.line_number: (r.split, r.idx, r.class_idx, r.problem) for r in splits.number_nested(table).collect()}
+        assert got == want
