@@ -9,6 +9,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from ...scratch import materialize
 from ..sequences import BUCKET_ROWS, over_sequences
 
 
@@ -33,7 +34,8 @@ def fit(
     bucket_rows: int = BUCKET_ROWS,
 ) -> Fitted:
     """``indexed``: rows with ``idx``, ``template`` and ``is_error``; a sequence with an error is positive."""
-    data = _vectors(indexed, w, buckets, bucket_rows).select("features", "label")
+    # the regression reads its rows twice before it keeps them: once for their moments, once to pack them
+    data = materialize(_vectors(indexed, w, buckets, bucket_rows).select("features", "label"), "counts")
     return Fitted(LogisticRegression(maxIter=max_iter, regParam=reg).fit(data), w, buckets)
 
 

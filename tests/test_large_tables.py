@@ -3,9 +3,11 @@
 import random
 from collections import Counter
 
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from logsieve.operators import splits
+from logsieve.operators.detectors import seq_classifier
 from logsieve.operators.ordering import lay_out_logs
 from logsieve.sources import events
 
@@ -56,3 +58,18 @@ def test_nested_parts_by_hand(spark):
             met[part, r.is_error] += 1
         got = {r.line_number: (r.split, r.idx, r.class_idx, r.problem) for r in splits.number_nested(table).collect()}
         assert got == want
+
+
+def test_classifier_makes_its_features_once(spark, monkeypatch):
+    given = []
+
+    class Noting(seq_classifier.LogisticRegression):
+        def fit(self, data):
+            given.append(plan_of(data))
+            return super().fit(data)
+
+    monkeypatch.setattr(seq_classifier, "LogisticRegression", Noting)
+    rows = logs(spark).select((F.col("line_number")).alias("idx"), F.col("message").alias("template"), "is_error")
+    fitted = seq_classifier.fit(rows, w=3, bucket_rows=32)
+    assert "Window" not in given[0] and "Scan parquet" in given[0]
+    assert seq_classifier.score(rows, fitted, bucket_rows=32).count() == 298
