@@ -37,24 +37,42 @@ PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
 
 
 class Known(dict):
-    """A table of at most keep short keys; what is not there is worked out."""
+    """A table of at most keep short keys; what is not there is worked out.
+
+    Half of them are the newest; when these are full, the older half is dropped but for what was asked for since.
+    """
 
     def __init__(self, make, keep: int):
-        self.make, self.keep = make, keep
+        self.make, self.half, self.older = make, max(keep // 2, 1), {}
 
     def __missing__(self, key: str) -> bytes:
-        got = self.make(key)
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.keep:
-                self.clear()
-            self[key] = got
+            self.add(key, got)
         return got
 
+    def add(self, key: str, got: bytes) -> None:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            super().clear()
+        self[key] = got
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """The keys that would have to be worked out."""
+        older = self.older
+        return [k for k in keys if k not in self and k not in older]
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
 
 class Bpe:
     """The model of a tokenizers JSON file of type BPE with an end-of-word suffix."""
 
-    KEEP = 250_000
+    KEEP = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -144,6 +162,8 @@ class Bpe:
 
     def run(self, run: str) -> bytes:
         """Ids of any text; of a run without blanks when called by encode."""
+        if not run:
+            return b""
         if plain := PLAIN.fullmatch(run):
             word, signs = plain.groups()
             return self.pieces[word.lower()] + (self.pieces[signs] if signs else b"")
@@ -174,11 +194,11 @@ class Bpe:
             # a full stop or comma after a word is a piece of its own: fewer distinct runs
             lists = pc.ascii_split_whitespace(pc.replace_substring_regex(part, r"([A-Za-z])([.,])(\s)", r"\1 \2\3"))
             runs = lists.flatten().dictionary_encode()
-            distinct = runs.dictionary.to_pylist()
+            distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
             self.prepare(distinct)
-            coded = [self.runs[r] if r else b"" for r in distinct]
+            coded = list(map(self.runs.__getitem__, distinct))
             table = np.frombuffer(b"".join(coded), "<u4")
-            size = np.array([len(c) // 4 for c in coded], np.int64)
+            size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
             place = runs.indices.to_numpy()
             count = size[place]
             before = np.concatenate([[0], np.cumsum(count)])
