@@ -19,6 +19,8 @@ written.
 from __future__ import annotations
 
 import functools
+import os
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,25 +55,22 @@ class LibraryBpe(Bpe):
     def prepare(self, runs: list[str]) -> None:
         """Encode all new words, and all new runs that are not plain words, in one call of the library."""
         words, others = set(), []
-        for r in runs:
-            if r and r not in self.runs:
-                if plain := PLAIN.fullmatch(r):
-                    if (word := plain[1].lower()) not in self.pieces:
-                        words.add(word)
-                else:
-                    others.append(r)
-        for asked, where in ((list(words), self.pieces), (others, self.runs)):
+        for r in self.runs.missing(runs):
+            if plain := PLAIN.fullmatch(r):
+                words.add(plain[1].lower())
+            elif r:
+                others.append(r)
+        for asked, where in ((self.pieces.missing(list(words)), self.pieces), (others, self.runs)):
             for at in range(0, len(asked), ASKED):
                 part = asked[at : at + ASKED]
                 for text, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
                     if len(text) <= 64:
-                        if len(where) >= self.KEEP:
-                            where.clear()
-                        where[text] = np.array(e.ids, "<u4").tobytes()
+                        where.add(text, struct.pack(f"<{len(e)}I", *e.ids))
 
 
 @functools.lru_cache(2)
 def load(path: str) -> LibraryBpe:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library would start a thread for each of the machine
     return LibraryBpe(path)
 
 
