@@ -184,10 +184,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     every = every.select("doc_id", "text_hash", F.col("both.pos").alias("pos"), F.explode(told_by).alias("key"))
     hits = every.join(_side(items.drop("slots", "first_w", "first_t"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
     hits = stored(hits, "hits")
+    most = hits.count()
     # enough windows, whatever their slots; then the slots of those documents only
     enough = hits.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("plain").alias("n"), F.max("item_windows").alias("item_windows")).filter(
         F.col("n") >= F.least(F.lit(HITS), F.col("item_windows"))).select("doc_id", "text_hash", "item_id")
-    hits = stored(_same(hits, enough, ["doc_id", "text_hash", "item_id"]), "hits")
+    hits = stored(_same(hits, enough, ["doc_id", "text_hash", "item_id"]), "hits", most)
     wanted = hits.select("doc_id", "text_hash").distinct()
     few = wanted.count()
     texts = _same(rows, _side(wanted, few), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])

@@ -19,7 +19,7 @@ error only leaves one suffix more to sort), so suffixes are sorted in fingerprin
 are all that matters here.  Keys travel packed, one array per block of texts and bucket; the answer of a bucket is a
 bit per key, and returns to the block.  A string that a third of the texts hold is one key per block of texts.  A task
 holds one bucket or one block, both of bounded size; buckets grow in number with the input.  The texts are shuffled
-once, and every step reads that one exchange again.
+once, and every step reads that one exchange again.  A task has one worker at a time.
 
 Defined cases: null text is empty; a text shorter than LENGTH loses nothing; texts that are equal throughout lose all
 of their bytes if they have LENGTH of them; an empty table gives no rows; offsets may cut a UTF-8 character, in which
@@ -29,7 +29,7 @@ case the remaining bytes of the cut character go from the text column of the ope
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -191,8 +191,13 @@ def _first_keys(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, mix(rolling.of(at, at + BLOCK)), rolling
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", buckets: int | None = None) -> DataFrame:
-    """The blocks of docs with the removed spans: (rows, data, ends, blank, spans), spans as pairs of byte offsets in the block."""
+def repeated_spans(docs: DataFrame, told: str, then: Callable, text: str = "text", buckets: int | None = None) -> DataFrame:
+    """What then makes, with the schema told, of the blocks of docs with the removed spans: (rows, data, ends, blank, spans),
+    spans as pairs of byte offsets in the block.
+
+    then runs in the worker that finds the spans: a second one would hold the block and a model of its own.  {row} in
+    told stands for the type of an element of rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -240,26 +245,28 @@ def repeated_spans(docs: DataFrame, text: str = "text", buckets: int | None = No
             block, _, _, keys, _, show = unsettled(row)
             yield _send(block, keys[show], buckets, KEY_BYTES)
 
+    def spans(row) -> bytes:
+        _, ends, starts, keys, hit, show = unsettled(row)
+        hit[show] |= _receive(keys[show], buckets, KEY_BYTES, row["prefixes"])[0]
+        return merged(starts[hit], ends).astype("<i8").tobytes()
+
     def drop(batches):
         for one, row in each(batches):
-            _, ends, starts, keys, hit, show = unsettled(row)
-            hit[show] |= _receive(keys[show], buckets, KEY_BYTES, row["prefixes"])[0]
-            spans = merged(starts[hit], ends)
+            found = pa.array([spans(row)], pa.binary())
+            del row  # then reads the block again
             yield pa.RecordBatch.from_arrays(
-                [*(one.column(c) for c in ("rows", "data", "ends", "blank")), pa.array([spans.astype("<i8").tobytes()], pa.binary())],
-                ["rows", "data", "ends", "blank", "spans"],
-            )
+                [*(one.column(c) for c in ("rows", "data", "ends", "blank")), found], ["rows", "data", "ends", "blank", "spans"])
 
     def answers(sent: DataFrame, size: int, name: str) -> DataFrame:
         # as many rows per block as there are buckets: bounded by the size of the block
         return settle(sent, size).groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
     schema = "block long, bucket int, keys binary, many binary"
-    kind = packed.schema["rows"].dataType.simpleString()
+    kind = packed.schema["rows"].dataType.elementType.simpleString()
     ranked = packed.join(answers(packed.mapInArrow(rank, schema), RANK_BYTES, "ranks"), "block", "left")
     run = ranked.join(answers(ranked.mapInArrow(runs, schema), KEY_BYTES, "runs"), "block", "left")
     full = run.join(answers(run.mapInArrow(prefix, schema), KEY_BYTES, "prefixes"), "block", "left")
-    return full.mapInArrow(drop, f"rows {kind}, data binary, ends binary, blank array<boolean>, spans binary")
+    return full.mapInArrow(lambda batches: then(drop(batches)), told.replace("{row}", kind))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -309,16 +316,13 @@ def digests(docs: DataFrame) -> DataFrame:
                     pa.array(count, pa.int64()), pa.array(sha, pa.string()),
                 ], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = repeated_spans(docs.select("doc_id", "text"))
-    return found.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs.select("doc_id", "text"), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", work)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the repeated strings taken out of the text; null stays null, and all rows remain."""
     names = docs.columns
     others = [c for c in names if c != text]
-    found = repeated_spans(docs, text)
-    kind = found.schema["rows"].dataType.elementType.simpleString()
 
     def work(batches):
         for batch in batches:
@@ -330,7 +334,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [one.column("rows").flatten(), pa.array([None if b else t for b, t in zip(blank, kept)], pa.string())], ["row", "text"])
 
-    out = found.mapInArrow(work, f"row {kind}, text string")
+    out = repeated_spans(docs, "row {row}, text string", work, text)
     at = {c: F.col(f"row.c{i}") for i, c in enumerate(others)}
     return out.select(*[F.col("text").alias(text) if c == text else at[c].alias(c) for c in names])
 
