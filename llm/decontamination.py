@@ -5,7 +5,9 @@ a unit after a number <unit>, and a word with a capital inside a sentence <name>
 and joined with the windows of the benchmark items that hold at least PLAIN ordinary words; an item with changed numbers,
 names or units has the same template, so the same windows.  A second set of windows, over the plain words in lower case,
 finds passages whose slots differ only because their capitals do.  An item of fewer than WINDOW slots is one window of plain
-words over its whole length, and documents are probed for the few lengths that occur.  For one alignment (place in the document minus place in
+words over its whole length, and documents are probed for the few lengths that occur.  A document's windows are hashed only
+around an anchor: two words side by side that every match of some window has (PLAIN ordinary words of WINDOW slots always
+leave two neighbours).  For one alignment (place in the document minus place in
 the item) every value of the item stands for the document's value that most of its slots have (on a tie, the item's own); windows
 that contradict it don't count, windows with the item's own words always do.  A document is contaminated by an item if HITS distinct windows of it
 (all, if it has fewer) are found and count.
@@ -25,7 +27,7 @@ from llm.common import BLANK, BROADCAST_ROWS, stored
 
 WINDOW = 8
 HITS = 3
-MOST_WORDS = 1 << 14  # of the bitmap of starting pairs: 2**20 bits
+MOST_WORDS = 1 << 14  # of the bitmap of anchors: 2**20 bits
 PLAIN = 5
 #: Units of measure and currency.
 UNITS = [
@@ -33,6 +35,11 @@ UNITS = [
     "days", "day", "miles", "mile", "feet", "inches", "meters", "metres", "grams", "dollars", "euros", "cents", "percent",
 ]
 EDGES = ".,;:!?()[]{}\"'`*#%&$|<>~^_=+/\\-…«»“”‘’¿¡"
+BLANKS = " \t\n\x0b\x0c\r"
+_EDGE, _GAP = ("".join(f"\\x{{{ord(c):x}}}" for c in signs) for signs in (EDGES, BLANKS))
+#: What lies between two words with a letter or digit, with the signs that close the first and without; linear in long runs of signs.
+CLOSED = rf"(?![a-z])(?:[{_GAP}]|[{_EDGE}](?<![{_EDGE}][{_EDGE}])[{_EDGE}]*+[{_GAP}])[{_EDGE}{_GAP}]*+"
+OPEN = rf"[{_GAP}][{_EDGE}{_GAP}]*+"
 
 
 def _let(value: Column, body) -> Column:
@@ -40,9 +47,13 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def canonical(text: Column, make) -> Column:
-    """make(kind, core) for every word of the text with a letter or digit, in order; kind names a placeholder or is null."""
-    raw = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), BLANK), lambda w: F.struct(w.alias("raw"), F.btrim(w, F.lit(EDGES)).alias("core"))), lambda w: w["core"] != "")
+def _spelled(words: Column) -> Column:
+    """(raw, core) per word that has more than EDGES."""
+    return F.filter(F.transform(words, lambda w: F.struct(w.alias("raw"), F.btrim(w, F.lit(EDGES)).alias("core"))), lambda w: w["core"] != "")
+
+
+def judged(words: Column, make) -> Column:
+    """make(kind, core) for every word with a letter or digit, in order; kind names a placeholder or is null."""
 
     def digit(core: Column) -> Column:
         return (F.ascii(core) <= 57) & (F.ascii(core) >= 48)
@@ -58,12 +69,16 @@ def canonical(text: Column, make) -> Column:
 
         return F.transform(words, slot)
 
-    return _let(raw, one)
+    return _let(_spelled(words), one)
 
 
 def slots_of(text: Column) -> Column:
     """(t, w) per slot: the slot and its word in lower case."""
-    return canonical(text, lambda kind, core: F.struct(F.coalesce(kind, F.lower(core)).alias("t"), F.lower(core).alias("w")))
+    return _slots(F.split(F.coalesce(text, F.lit("")), BLANK))
+
+
+def _slots(words: Column) -> Column:
+    return judged(words, lambda kind, core: F.struct(F.coalesce(kind, F.lower(core)).alias("t"), F.lower(core).alias("w")))
 
 
 def hashed(slots: Column) -> Column:
@@ -71,43 +86,40 @@ def hashed(slots: Column) -> Column:
     return F.struct(F.transform(slots, lambda x: F.xxhash64(x["t"])).alias("t"), F.transform(slots, lambda x: F.xxhash64(x["w"])).alias("w"))
 
 
-def hashes_of(text: Column) -> Column:
-    """The same from the text: a word is judged, folded and hashed once."""
-    slots = canonical(text, lambda kind, core: F.struct(F.xxhash64(kind).alias("k"), F.xxhash64(F.lower(core)).alias("w")))
-    ordinary = F.xxhash64(F.lit(None).cast("string"))  # a constant
-    return _let(slots, lambda s: F.struct(
-        F.transform(s, lambda x: F.when(x["k"] == ordinary, x["w"]).otherwise(x["k"])).alias("t"), F.transform(s, lambda x: x["w"]).alias("w")))
+def _window(hashes: Column, i: Column) -> list[Column]:
+    """Fingerprints of the WINDOW slots from i on and of their words."""
+    return [F.xxhash64(*[F.get(hashes[c], i + k) for k in range(WINDOW)]) for c in ("t", "w")]
 
 
-def pair(hashes: Column, i: Column) -> Column:
-    """Fingerprint of the two first elements of a window."""
-    return F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))
+def windows(hashes: Column) -> Column:
+    """(pos, template, plain) per place: fingerprints of the WINDOW slots from there on and of their words."""
 
+    def one(h: Column) -> Column:
+        def at(i: Column) -> Column:
+            template, plain = _window(h, i)
+            return F.struct(i.alias("pos"), template.alias("template"), plain.alias("plain"))
 
-def windows(hashes: Column, short: Sequence[int] = (), starts: tuple[Column, int] | None = None) -> Column:
-    """(pos, template, plain, shortL...) per place: fingerprints of the WINDOW slots from there on, of their words, and of the L
-    words for each length L in short; null where the text ends before.
+        n = F.size(h["w"])
+        return F.transform(F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>")), at)
 
-    With starts, a bitmap of the pairs that the items' windows begin with, only the places that begin with one of them.
-    """
-    least = min([WINDOW, *short])
+    return _let(hashes, one)
 
-    def one(h: Column) -> Column:
-        n = F.size(h["w"])
 
-        def at(i: Column) -> Column:
-            whole = [F.xxhash64(*[F.get(h[c], i + k) for k in range(WINDOW)]) for c in ("t", "w")]
-            if short:
-                whole = [F.when(i + WINDOW <= n, x) for x in whole]
-            less = [F.when(i + size <= n, F.xxhash64(F.slice(h["w"], i + 1, size))).alias(f"short{size}") for size in short]
-            return F.struct(i.alias("pos"), whole[0].alias("template"), whole[1].alias("plain"), *less)
+def anchor(slots: Column, plenty: Column) -> Column:
+    """(code, at): two neighbouring words of a window that every match of it has, and their place in it; the longest, as they are rare.
 
-        places = F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
-        if starts is not None:
-            places = F.filter(places, lambda i: _marked(starts, pair(h["w"], i)) | _marked(starts, pair(h["t"], i)))
-        return F.transform(places, at)
+    A window told by its template also has placeholders, so both are ordinary words then.  The one word of a window of one.
+    """
 
-    return _let(hashes, one)
+    def pairs(s: Column) -> Column:
+        def two(i: Column) -> Column:
+            a, b = F.get(s, i)["w"], F.get(s, i + 1)["w"]
+            return F.struct((F.length(a) + F.length(b)).alias("many"), F.xxhash64(a, b).alias("code"), i.alias("at"))
+
+        sure = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 2, F.lit(0))), lambda i: ~plenty | (_value(F.get(s, i)).isNull() & _value(F.get(s, i + 1)).isNull()))
+        return F.array_max(F.transform(sure, two))
+
+    return _let(slots, pairs)
 
 
 def _place(code: Column, words: int) -> Column:
@@ -120,13 +132,12 @@ def _marked(starts: tuple[Column, int], code: Column) -> Column:
     return F.getbit(F.get(bitmap, F.shiftright(at, 6)), at.bitwiseAND(63)) == 1
 
 
-def starting_pairs(items: DataFrame, known: int) -> tuple[Column, int]:
-    """(bitmap, 64-bit words) of the pairs the items' windows begin with: a constant of the plan, of 16 K words at most.
+def bitmap_of(codes: DataFrame, known: int) -> tuple[Column, int]:
+    """(bitmap, 64-bit words) of a column code of at most known values: a constant of the plan, of 16 K words at most.
 
-    A crowded bitmap lets more places through, never fewer.
+    A crowded bitmap lets more through, never fewer.
     """
     words = min(1 << max((known - 1).bit_length() - 2, 4), MOST_WORDS) if known else 1
-    codes = items.select(F.explode(F.array("first_w", "first_t")).alias("code")).filter("code is not null")
     marks = codes.select(_place(F.col("code"), words).alias("at")).distinct().groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, at & 63)) AS bits"))
     bits = [0] * words
@@ -135,28 +146,56 @@ def starting_pairs(items: DataFrame, known: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), words
 
 
+def probes(rows: DataFrame, anchors: DataFrame, known: int, short: Sequence[int] = ()) -> DataFrame:
+    """(doc_id, text_hash, pos, key) of the places of the texts that an anchor points to: key is a fingerprint of the WINDOW slots
+    from pos on, of their words, or of the L words for a length L in short; none where the text ends before.
+
+    Every word is tested by plain expressions on the exploded row; slots are judged only around an anchor.
+    """
+    body = F.btrim(F.col("text"), F.lit(EDGES + BLANKS))
+    words = rows.select("doc_id", "text_hash", F.split(F.lower(body), CLOSED).alias("words"), F.split(body, OPEN).alias("raws"))
+    words = words.select("doc_id", "text_hash", "words", "raws", F.posexplode_outer("words").alias("at", "word"))  # without outer, the planner splits again to see whether it's empty
+    code = F.xxhash64("word", F.get("words", F.col("at") + 1))
+    if 1 in short:
+        words = words.withColumn("code", F.explode(F.array_distinct(F.array(code, F.xxhash64("word")))))
+    else:
+        words = words.withColumn("code", code)
+    # the window and the word before it, for any place of the anchor in the window
+    since = F.greatest(F.col("at") - (WINDOW - 1), F.lit(0))
+    near = words.filter(_marked(bitmap_of(anchors, known), F.col("code"))).select(
+        "doc_id", "text_hash", "code", "at", since.alias("since"), F.size("words").alias("n"), F.slice("raws", since + 1, 2 * WINDOW - 1).alias("near"))
+    found = near.join(_side(anchors.select("code", F.col("at").alias("inside")), known), "code").withColumn("pos", F.col("at") - F.col("inside")).filter("pos >= 0")
+    skipped = F.least(F.col("pos"), F.lit(1))  # words before the window
+    around = F.slice("near", F.col("pos") - skipped - F.col("since") + 1, WINDOW + 1)
+
+    def told_by(h: Column) -> Column:
+        keys = [(WINDOW, x) for x in _window(h, skipped)] + [(size, F.xxhash64(F.slice(h["w"], skipped + 1, size))) for size in short]
+        return F.array_distinct(F.array_compact(F.array(*[F.when(F.col("pos") + size <= F.col("n"), x) for size, x in keys])))
+
+    return found.select("doc_id", "text_hash", "pos", F.explode(_let(_let(_slots(around), hashed), told_by)).alias("key"))
+
+
 def _value(slot: Column) -> Column:
     """The value of a placeholder, null for an ordinary word."""
     return F.when(F.left(slot["t"], F.lit(1)) == "<", slot["w"])
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, ipos, key, slots, plain, item_windows, first_w, first_t): both fingerprints of the items' windows, where they differ.
+    """(item_id, ipos, key, slots, plain, code, at, item_windows): both fingerprints of the items' windows, where they differ, and the anchor.
 
     An item of fewer slots has one window, of all its words.
 
     The template of a window without PLAIN ordinary words is too common to be told by; its words still are.
     """
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(item).alias("item_id"), slots_of(F.col(text)).alias("s"))
-    found = rows.select("item_id", "s", hashed(F.col("s")).alias("h")).select("item_id", "s", "h", F.explode(windows(F.col("h"))).alias("both"))
-    found = found.select(
-        "item_id", F.col("both.pos").alias("ipos"), F.slice("s", F.col("both.pos") + 1, WINDOW).alias("slots"), "both.template", "both.plain",
-        *[pair(F.col(f"h.{c}"), F.col("both.pos")).alias(f"first_{c}") for c in ("w", "t")])
+    found = rows.select("item_id", "s", F.explode(windows(hashed(F.col("s")))).alias("both"))
+    found = found.select("item_id", F.col("both.pos").alias("ipos"), F.slice("s", F.col("both.pos") + 1, WINDOW).alias("slots"), "both.template", "both.plain")
     whole = F.xxhash64(F.transform("s", lambda x: F.xxhash64(x["w"])))
-    less = rows.filter(F.size("s").between(1, WINDOW - 1)).select("item_id", F.lit(0).alias("ipos"), F.col("s").alias("slots"), whole.alias("template"), whole.alias("plain"), *[F.lit(None).cast("long").alias(f"first_{c}") for c in ("w", "t")])
+    less = rows.filter(F.size("s").between(1, WINDOW - 1)).select("item_id", F.lit(0).alias("ipos"), F.col("s").alias("slots"), whole.alias("template"), whole.alias("plain"))
     found = found.union(less).distinct()
     plenty = F.size(F.filter("slots", lambda x: _value(x).isNull())) >= PLAIN
-    found = found.select("item_id", "ipos", "slots", "plain", "first_w", "first_t", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
+    found = found.withColumn("anchor", anchor(F.col("slots"), plenty))
+    found = found.select("item_id", "ipos", "slots", "plain", "anchor.code", "anchor.at", F.explode(F.array_distinct(F.array("plain", F.when(plenty, F.col("template")).otherwise(F.col("plain"))))).alias("key"))
     many = found.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("plain").alias("item_windows"))
     return found.join(many, F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
 
@@ -175,14 +214,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     known = items.count()
     short = sorted(r[0] for r in items.select(F.size("slots")).filter(F.size("slots") < WINDOW).distinct().collect())  # at most WINDOW - 1
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
-    every = rows.select("doc_id", "text_hash", F.explode(windows(hashes_of(F.col("text")), short, None if short else starting_pairs(items, known))).alias("both"))
-    # one key where the words have the fingerprint of the slots
-    plain, template = F.col("both.plain"), F.col("both.template")
-    told_by = F.when(plain == template, F.array(template)).otherwise(F.array(template, plain))
-    if short:  # and none where the text ends before
-        told_by = F.array_compact(F.concat(told_by, F.array(*[F.col(f"both.short{size}") for size in short])))
-    every = every.select("doc_id", "text_hash", F.col("both.pos").alias("pos"), F.explode(told_by).alias("key"))
-    hits = every.join(_side(items.drop("slots", "first_w", "first_t"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
+    every = probes(rows, items.select("code", "at").distinct(), known, short)
+    hits = every.join(_side(items.drop("slots", "code", "at"), known), "key").select("doc_id", "text_hash", "pos", "item_id", "ipos", "plain", "item_windows").distinct()
     hits = stored(hits, "hits")
     most = hits.count()
     # enough windows, whatever their slots; then the slots of those documents only

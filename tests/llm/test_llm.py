@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from llm import bpe, decontamination, histogram_shards, html_text, kneser_ney, prefix_tree_join, quality_rules, suffix_dedup, token_files, warc
 from llm.common import components, scratch_path
@@ -262,6 +263,40 @@ def test_decontamination_one_slot_changed(spark):
     assert got[1, 0] < got[3, 0]
 
 
+def test_decontamination_probes(spark):
+    """The places around anchors hold every window that an item has, and few others."""
+    rng = random.Random(4)
+    words = ["river", "Elbe", "flows", "past", "12", "km", "3rd", "Mary", "of", "the", "ΟΔΟΣ", "Σ.", "İzmir", "naïve", "a.b", "it's", "--", "«Le»", "Ⅷ", "10,5", "q…", "-x-"]
+
+    def text(n):
+        return rng.choice(["", " ", ".. "]) + "".join(rng.choice(words) + rng.choice(["", "", ".", ",", "?!"]) + rng.choice([" ", " ", "\n", "\t ", " - "]) for _ in range(n))
+
+    texts = [text(rng.randrange(50)) for _ in range(300)] + [None, "", " ", " .. . ", "-" * 100_000 + "x"]
+    items = [" ".join(t.split()[k : k + 14]).replace("12", "40") for t in texts[:80] for k in (0, 3)] + ["Mary", "the river", "ΟΔΟΣ Σ. 12 km Mary", "..."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text_hash", F.xxhash64("text"))
+    found = decontamination.item_windows(spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).cache()
+    keys, anchors = found.select("key").distinct(), found.select("code", "at").distinct()
+    short = sorted({r[0] for r in found.select(F.size("slots")).collect() if r[0] < decontamination.WINDOW})
+    assert 1 in short and 2 in short
+    probed = decontamination.probes(docs, anchors, found.count(), short)
+    got = {tuple(r) for r in probed.join(keys, "key").select("doc_id", "pos", "key").collect()}
+    slots = docs.select("doc_id", decontamination.hashed(decontamination.slots_of(F.col("text"))).alias("h"))
+    both = F.col("both")
+    every = slots.select("doc_id", F.explode(decontamination.windows(F.col("h"))).alias("both")).select("doc_id", both["pos"].alias("pos"), F.explode(F.array(both["template"], both["plain"])).alias("key"))
+    for size in short:
+        at = F.explode(F.expr(f"transform(filter(sequence(0, size(h.w)), i -> i + {size} <= size(h.w)), i -> struct(i AS pos, slice(h.w, i + 1, {size}) AS w))"))
+        every = every.union(slots.select("doc_id", at.alias("both")).select("doc_id", both["pos"], F.xxhash64(both["w"])))
+    want = {tuple(r) for r in every.join(keys, "key").select("doc_id", "pos", "key").collect()}
+    assert got == want and len({k for _, _, k in want}) > 300
+    # a frequent pair that a window only begins with is no anchor, and the words are split once
+    item = spark.createDataFrame([(1, "of the seventeen wonderful elephants that never forgot anything whatsoever")], "item_id long, text string")
+    known = decontamination.item_windows(item).cache()
+    plain = spark.createDataFrame([(1, "of the " * 500, 1)], "doc_id long, text string, text_hash long")
+    probed = decontamination.probes(plain, known.select("code", "at").distinct(), known.count())
+    assert probed.count() == 0
+    assert "size(split(" not in probed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bpe(docs, corpus, none):
     from tokenizers import Tokenizer
 
