@@ -32,8 +32,11 @@ from llm.common import small_batches
 
 NONE = 1 << 62
 SLICE = 4 << 20
+#: Latin letters, each a character of its own that composes with no other of them, and signs of which one piece is made.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+SIGNS = r"!-&(-/:;=?@\[-`{-~"
 #: Letters, then signs that form one piece: lower case and nothing else to normalise.
-PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:;=?@\[-`{-~]*)")
+PLAIN = re.compile(f"([{LETTERS}]+)([{SIGNS}]*)")
 
 
 class Known(dict):
@@ -88,6 +91,8 @@ class Bpe:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         #: capitals matter only next to combining marks, and in the names of added tokens
         self.as_written = "|".join(["[\u0300-\u036f]", *(f"(?i:{re.escape(a)})" for a in added)])
+        #: unless an added token ends with a letter and signs, these signs can be set apart from the letter
+        self.apart = not any(re.search(f"[{LETTERS}][{SIGNS}]+$", a) for a in added)
         self.library = library = Tokenizer.from_file(path)
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.names = {i: t for t, i in {**self.vocab, **added}.items()}
@@ -191,8 +196,9 @@ class Bpe:
             part = texts.slice(at, to - at)
             if not pc.any(pc.match_substring_regex(part, self.as_written)).as_py():
                 part = pc.ascii_lower(part)
-            # a full stop or comma after a word is a piece of its own: fewer distinct runs
-            lists = pc.ascii_split_whitespace(pc.replace_substring_regex(part, r"([A-Za-z])([.,])(\s)", r"\1 \2\3"))
+            if self.apart:  # signs between a letter and a blank are a piece of their own: fewer distinct runs
+                part = pc.replace_substring_regex(part, rf"([{LETTERS}])([{SIGNS}]+)(\s)", r"\1 \2\3")
+            lists = pc.ascii_split_whitespace(part)
             runs = lists.flatten().dictionary_encode()
             distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
             self.prepare(distinct)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from llm.bpe import PLAIN, Bpe, default_path
 from llm.bytescan import texts_of
@@ -39,33 +40,53 @@ LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(25
 
 
 class LibraryBpe(Bpe):
-    """Pieces are encoded by the tokenizers library itself."""
+    """Runs and pieces are encoded by the tokenizers library itself.
+
+    A piece is asked for without the normaliser and the pre-tokeniser, which have nothing left to do there.
+    """
 
     KEEP = 700_000
 
     def __init__(self, path: str):
         super().__init__(path)
         self.ranks = {}  # merging is the library's work here
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.whole = self.library  # for runs that are not plain words
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.library = Tokenizer(self.whole.model)
+
+    def letters_of(self, piece: str) -> str:
+        """The piece as the pre-tokeniser hands it to the model: a printable character for each byte."""
+        if piece.isascii() and piece.isprintable():
+            return piece
+        return "".join([self.letters[b] for b in piece.encode()])
 
     def piece(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.library.encode(self.letters_of(piece), add_special_tokens=False).ids, "<u4").tobytes()
 
     def prepare(self, runs: list[str]) -> None:
-        """Encode all new words, and all new runs that are not plain words, in one call of the library."""
-        words, others = set(), []
+        """Encode all new words, and all new runs that are not plain words, in few calls of the library; longer ones are not kept."""
+        words, made, others = {}, [], []
         for r in self.runs.missing(runs):
-            if plain := PLAIN.fullmatch(r):
-                words.add(plain[1].lower())
-            elif r:
-                others.append(r)
-        for asked, where in ((self.pieces.missing(list(words)), self.pieces), (others, self.runs)):
+            if len(r) <= 64:
+                if plain := PLAIN.fullmatch(r):
+                    word, signs = plain[1].lower(), plain[2]
+                    if word == r:
+                        words[r] = None
+                    else:
+                        made.append((r, word, signs))
+                elif r:
+                    others.append(r)
+        words.update(dict.fromkeys(self.runs.missing([word for _, word, _ in made])))
+        for asked, library in ((list(words), self.library), (others, self.whole)):
             for at in range(0, len(asked), ASKED):
                 part = asked[at : at + ASKED]
-                for text, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                    if len(text) <= 64:
-                        where.add(text, struct.pack(f"<{len(e)}I", *e.ids))
+                texts = part if library is self.whole else list(map(self.letters_of, part))
+                for run, e in zip(part, library.encode_batch_fast(texts, add_special_tokens=False)):
+                    ids = e.ids
+                    self.runs.add(run, struct.pack(f"<{len(ids)}I", *ids))
+        for r, word, signs in made:
+            self.runs.add(r, self.runs[word] + (self.pieces[signs] if signs else b""))
 
 
 @functools.lru_cache(2)
